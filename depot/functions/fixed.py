@@ -8,6 +8,9 @@ different value would give different answers, so they are stated as they are.
 # any text is kept as "extra". [0-9] because Java and Python disagree on \d.
 VERSION_PATTERN = r"^([0-9]+)(?:\.([0-9]+)(?:\.([0-9]+)(?:\.(.+))?)?)?"
 
+# A digit starts a version, unless one of the three parts is too long for a bigint.
+VERSION_START_PATTERN = r"^(?!(?:[0-9]+\.){0,2}[0-9]{19})[0-9]"
+
 # Characters that end a line, and blanks trimmed from its ends.
 LINE_BREAK_PATTERN = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 BLANKS = " \t\u001f\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"

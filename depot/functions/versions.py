@@ -17,31 +17,26 @@ def parse_version(text) -> Column:
 
     Missing parts are 0, text after the numeric prefix is ignored unless it is a
     fourth dotted part, and ``repr`` keeps the text, so ``2.0`` and ``2.0.0`` differ
-    and structs order by the numbers first. A part above bigint gives null.
+    and structs order by the numbers first. A numeric part of 19 digits or more does
+    not fit a bigint and gives null.
     """
     text = _col(text)
-    # One regex pass: the four groups come out as one delimited text. Everything the
-    # struct needs also stands in the condition, so that it is computed once per row.
-    groups = F.split(
-        F.regexp_replace(text, "(?s)" + fixed.VERSION_PATTERN + ".*$", "$1|$2|$3|$4"), r"\|", 4
-    )
-    major = F.get(groups, F.lit(0)).try_cast("bigint")
+
+    def part(i: int) -> Column:
+        return F.regexp_extract(text, fixed.VERSION_PATTERN, i)
 
     def number(i: int) -> Column:
-        part = F.get(groups, F.lit(i))
-        return F.when(part == "", F.lit(0).cast("bigint")).otherwise(part.try_cast("bigint"))
+        # the leading zero stands for a missing part
+        return F.concat(F.lit("0"), part(i)).cast("bigint")
 
-    minor, patch = number(1), number(2)
-    is_version = (
-        text.rlike("^[0-9]") & major.isNotNull() & minor.isNotNull() & patch.isNotNull()
-    )
+    # Every part stands here once: filters compute repeated expressions repeatedly.
     return F.when(
-        is_version,
+        text.rlike(fixed.VERSION_START_PATTERN),
         F.struct(
-            major.alias("major"),
-            minor.alias("minor"),
-            patch.alias("patch"),
-            F.get(groups, F.lit(3)).alias("extra"),
+            number(1).alias("major"),
+            number(2).alias("minor"),
+            number(3).alias("patch"),
+            part(4).alias("extra"),
             text.alias("repr"),
         ),
     )

@@ -144,7 +144,7 @@ def library_paths(defs: DataFrame) -> DataFrame:
 
 
 def with_rule(df: DataFrame, rules: DataFrame, version: str = "torch") -> DataFrame:
-    """Add ``python_min, python_max, cudas`` of the rule for a version.
+    """Add ``_lo, _hi`` (Python range as versions) and ``cudas`` of the rule for a version.
 
     The exact version text goes first, then its ``major.minor``; both are equality
     joins, so a rule table of any size joins by hash and a small one is broadcast by
@@ -154,7 +154,11 @@ def with_rule(df: DataFrame, rules: DataFrame, version: str = "torch") -> DataFr
     def named(suffix: str) -> DataFrame:
         return rules.select(
             F.col("version").alias(f"_k{suffix}"),
-            F.struct("python_min", "python_max", "cudas").alias(f"_rule{suffix}"),
+            F.struct(
+                parse_version("python_min").alias("_lo"),
+                parse_version("python_max").alias("_hi"),
+                "cudas",
+            ).alias(f"_rule{suffix}"),
         )
 
     minor = major_minor(parse_version(version))
@@ -169,8 +173,7 @@ def with_rule(df: DataFrame, rules: DataFrame, version: str = "torch") -> DataFr
 
 
 def _in_range(python: Column) -> Column:
-    p = parse_version(python)
-    return (p >= parse_version("python_min")) & (p <= parse_version("python_max"))
+    return parse_version(python).between(F.col("_lo"), F.col("_hi"))
 
 
 def compatible(matrix: DataFrame, rules: DataFrame) -> DataFrame:
@@ -359,7 +362,7 @@ def matrix_summary(
         F.collect_list(item).alias("_v"),
     )
     venvs = F.transform(F.sort_array("_v", asc=False), lambda e: e["v"])
-    return (
+    joined = (
         defs.select(
             F.col("id").alias("snapshot"),
             F.map_keys("cuda").alias("cuda_versions"),
@@ -370,3 +373,14 @@ def matrix_summary(
         .join(torch_cudas, "snapshot", "left")
         .join(docs.select("snapshot", "part", "parts", venvs.alias("venvs")), "snapshot", "left")
     )
+    # a snapshot that allows no environment still has a document
+    return joined.withColumns(
+        {
+            "part": F.coalesce("part", F.lit(0)),
+            "parts": F.coalesce("parts", F.lit(1)),
+            "venvs": F.coalesce("venvs", F.array()),
+            "torch_cudas": F.coalesce(
+                "torch_cudas", F.create_map().cast("map<string,array<string>>")
+            ),
+        }
+    )

@@ -77,7 +77,7 @@ def definition_rules() -> dict[str, Column]:
         "cuda_full_extends_short": full_extends_short("cuda"),
         "cudnn_full_extends_short": full_extends_short("cudnn"),
         "python_full_extends_short": full_extends_short("python"),
-        "packages_pinned": F.forall("pip_pkgs", is_pinned),
+        "packages_pinned": F.forall("pip_pkgs", lambda p: is_pinned(p)),
         "cuda_and_cudnn_together": (F.size("cuda") == 0) == (F.size("cudnn") == 0),
     }
 

@@ -1,10 +1,10 @@
 """All queries over the given tables: name -> (query, SQL of the same rows)."""
 
-from depot.workloads import diffs
+from depot.workloads import diffs, matrices
 
 
 def all_queries() -> dict:
     found = {}
-    for module in (diffs,):
+    for module in (diffs, matrices):
         found.update(module.QUERIES)
     return found
