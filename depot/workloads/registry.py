@@ -1,10 +1,10 @@
 """All queries over the given tables: name -> (query, SQL of the same rows)."""
 
-from depot.workloads import diffs, matrices
+from depot.workloads import caches, diffs, inventories, matrices
 
 
 def all_queries() -> dict:
     found = {}
-    for module in (diffs, matrices):
+    for module in (diffs, matrices, caches, inventories):
         found.update(module.QUERIES)
     return found
