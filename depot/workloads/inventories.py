@@ -141,17 +141,17 @@ SET_FINGERPRINTS = _fingerprint_sql("lineitem", "l_suppkey", "l_partkey")
 
 
 def fingerprint_changes(spark: SparkSession, sf: str) -> DataFrame:
-    """Users whose set of event types differs between the halves of the month."""
-    events = table(spark, sf, "events").select("user_id", "event_type", "ts")
+    """Users active at other hours in the second half of the month than in the first."""
+    events = table(spark, sf, "events").select("user_id", F.hour("ts").alias("hour"), "ts")
     half = F.lit("2024-01-16").cast("timestamp_ntz")
-    first = set_fingerprint(events.where(F.col("ts") < half), ["user_id"], "event_type")
-    second = set_fingerprint(events.where(F.col("ts") >= half), ["user_id"], "event_type")
+    first = set_fingerprint(events.where(F.col("ts") < half), ["user_id"], "hour")
+    second = set_fingerprint(events.where(F.col("ts") >= half), ["user_id"], "hour")
     return changed_sets(second, first, ["user_id"])
 
 
 FINGERPRINT_CHANGES = f"""
-WITH a AS ({_fingerprint_sql("(SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-16')", "user_id", "event_type")}),
-b AS ({_fingerprint_sql("(SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-16')", "user_id", "event_type")})
+WITH a AS ({_fingerprint_sql("(SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-16')", "user_id", "hour(ts)")}),
+b AS ({_fingerprint_sql("(SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-16')", "user_id", "hour(ts)")})
 SELECT b.* FROM b LEFT JOIN a ON a.user_id = b.user_id AND a.fingerprint = b.fingerprint
 WHERE a.user_id IS NULL"""
 

@@ -1,10 +1,10 @@
 """All queries over the given tables: name -> (query, SQL of the same rows)."""
 
-from depot.workloads import caches, diffs, inventories, matrices
+from depot.workloads import caches, diffs, inventories, matrices, streams
 
 
 def all_queries() -> dict:
     found = {}
-    for module in (diffs, matrices, caches, inventories):
+    for module in (diffs, matrices, caches, inventories, streams):
         found.update(module.QUERIES)
     return found
