@@ -11,7 +11,7 @@ SNAPSHOT_SCHEMA = (
     "id int, cuda map<string,string>, cudnn map<string,string>, python map<string,string>, "
     "torch array<string>, pip_pkgs array<string>, environment string"
 )
-MARKER_SCHEMA = "timestamp string, attributes map<string,string>"
+MARKER_SCHEMA = "timestamp string, attributes map<string,string>, _broken string"
 FEED_SCHEMA = "data struct<results:array<struct<data:map<string,string>>>>"
 RELEASE_SCHEMA = "name string, assets array<struct<name:string,browser_download_url:string>>"
 STATE_MAP_SCHEMA = "map<string,struct<url:string,size:bigint,etag:string>>"
@@ -79,8 +79,10 @@ def parse_markers(df: DataFrame, text: str = "text") -> DataFrame:
     Missing, empty and broken markers are simply not done.
     """
     others = [c for c in df.columns if c != text]
-    parsed = F.from_json(text, MARKER_SCHEMA)
-    return df.select(*others, parsed.alias("_m")).select(
+    # a text cut short may still parse in part
+    parsed = F.from_json(text, MARKER_SCHEMA, {"columnNameOfCorruptRecord": "_broken"})
+    whole = F.when(F.col("_m._broken").isNull(), F.col("_m"))
+    return df.select(*others, parsed.alias("_m")).withColumn("_m", whole).select(
         *others,
         F.col("_m.timestamp").try_cast("timestamp").alias("timestamp"),
         F.col("_m.attributes").alias("attributes"),
@@ -89,7 +91,11 @@ def parse_markers(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_markers(spark: SparkSession, path: str) -> DataFrame:
-    """Marker files below a path with the directory each stands for."""
+    """Marker files below a path with the directory each stands for.
+
+    Spark does not list hidden files, so markers need a name without a leading dot; an
+    empty file gives no row, which is as good as not done.
+    """
     texts = read_texts(spark, path)
     placed = texts.select(F.regexp_replace("file", "/[^/]*$", "").alias("dir"), "text")
     return parse_markers(placed)
