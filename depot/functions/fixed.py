@@ -11,9 +11,11 @@ VERSION_PATTERN = r"^([0-9]+)(?:\.([0-9]+)(?:\.([0-9]+)(?:\.(.+))?)?)?"
 # A digit starts a version, unless one of the three parts is too long for a bigint.
 VERSION_START_PATTERN = r"^(?!(?:[0-9]+\.){0,2}[0-9]{19})[0-9]"
 
-# Characters that end a line, and blanks trimmed from its ends.
-LINE_BREAK_PATTERN = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
-BLANKS = " \t\u001f\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+# Characters that end a line besides the newline ("\r\n" is one end), and blanks trimmed
+# from the ends of a line besides the space.
+LINE_ENDS = "\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029"
+RARE_BLANKS = "\t\u001f\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+BLANKS = " " + RARE_BLANKS
 
 # Snapshot directory label and environment key.
 SNAPSHOT_LABEL_PATTERN = r"^g([0-9]+)$"
@@ -61,7 +63,7 @@ TORCH_RULES = [
     ("2.1", "3.8", "3.11", ["cpu", "11.8", "12.1"]),
     ("2.0", "3.8", "3.11", ["cpu", "11.7", "11.8"]),
 ]
-TORCH_RULES_SCHEMA = "version string, python_min string, python_max string, cudas array<string>"
+TORCH_RULES_COLUMNS = "version, python_min, python_max, cudas"
 
 # Torch -> companion releases (torchaudio, torchvision).
 TORCH_COMPANIONS = [
@@ -83,7 +85,7 @@ TORCH_COMPANIONS = [
     ("2.0.1", "2.0.2", "0.15.2"),
     ("2.0.0", "2.0.0", "0.15.0"),
 ]
-TORCH_COMPANIONS_SCHEMA = "torch string, torchaudio string, torchvision string"
+TORCH_COMPANIONS_COLUMNS = "torch, torchaudio, torchvision"
 
 # Requirements an environment needs below a torch version.
 NUMPY_CAP_BELOW = "2.6.0"

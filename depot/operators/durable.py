@@ -27,6 +27,22 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A table written out in the plan, for a handful of rows the driver holds anyway.
+
+    Its size is known to the planner, which then broadcasts it; a frame made from Python
+    rows has no known size and would be joined by shuffling the other side.
+    """
+
+    def literal(v) -> str:
+        if isinstance(v, (list, tuple)):
+            return "array(" + ", ".join(literal(x) for x in v) + ")"
+        return "'" + v + "'" if isinstance(v, str) else str(v)
+
+    values = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -13,15 +13,16 @@ from pyspark.sql import functions as F
 
 from depot.functions import fixed
 from depot.functions.envs import cuda_suffix, env_key, index_url
-from depot.functions.versions import _col, drop_last_part, major_minor, parse_version, version_literal
+from depot.functions.versions import drop_last_part, major_minor, parse_version, version_literal
+from depot.operators.durable import small_table
 
 
 def torch_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(fixed.TORCH_RULES, fixed.TORCH_RULES_SCHEMA)
+    return small_table(spark, fixed.TORCH_RULES, fixed.TORCH_RULES_COLUMNS)
 
 
 def torch_companions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(fixed.TORCH_COMPANIONS, fixed.TORCH_COMPANIONS_SCHEMA)
+    return small_table(spark, fixed.TORCH_COMPANIONS, fixed.TORCH_COMPANIONS_COLUMNS)
 
 
 def long_form(defs: DataFrame) -> DataFrame:
@@ -172,14 +173,11 @@ def with_rule(df: DataFrame, rules: DataFrame, version: str = "torch") -> DataFr
     return joined.select(*df.columns, "_rule.*")
 
 
-def _in_range(python: Column) -> Column:
-    return parse_version(python).between(F.col("_lo"), F.col("_hi"))
-
-
 def compatible(matrix: DataFrame, rules: DataFrame) -> DataFrame:
     """Matrix rows (with python, torch, cuda) that their rule allows."""
     kept = with_rule(matrix, rules).where(
-        F.array_contains(F.col("cudas"), F.col("cuda")) & _in_range(F.col("python"))
+        F.array_contains(F.col("cudas"), F.col("cuda"))
+        & parse_version("python").between(F.col("_lo"), F.col("_hi"))
     )
     return kept.select(*matrix.columns)
 
@@ -190,14 +188,16 @@ def compatible_matrix(defs: DataFrame, rules: DataFrame, with_cpu: bool = True)
     Rules are joined per torch version, before the other dimensions are exploded, and
     the arrays are filtered first, so combinations that a rule forbids never exist.
     """
-    torches = defs.select(
-        F.col("id").alias("snapshot"),
-        F.explode("torch").alias("torch"),
-        F.map_entries("python").alias("_p"),
-        _accelerators(with_cpu).alias("_c"),
+    python = F.transform(
+        F.map_entries("python"),
+        lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), parse_version(e["key"]).alias("v")),
+    )
+    dims = defs.select(
+        F.col("id").alias("snapshot"), "torch", python.alias("_p"), _accelerators(with_cpu).alias("_c")
     )
+    torches = dims.select("snapshot", F.explode("torch").alias("torch"), "_p", "_c")
     ruled = with_rule(torches, rules)
-    allowed_p = F.filter("_p", lambda e: _in_range(e["key"]))
+    allowed_p = F.filter("_p", lambda e: e["v"].between(F.col("_lo"), F.col("_hi")))
     rows = ruled.select(
         "snapshot",
         "torch",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from depot.functions.versions import parse_version
-from depot.operators.durable import materialize
+from depot.operators.durable import materialize, small_table
 
 
 def order_by_version(df: DataFrame, column: str, *ties: str) -> DataFrame:
@@ -61,8 +61,7 @@ def running_total(df: DataFrame, order: Sequence[str], value: str, name: str = "
     for row in sorted(sums, key=lambda r: r["_part"]):
         offsets.append((row["_part"], total))
         total += row["_sum"] or 0
-    spark = df.sparkSession
-    base = spark.createDataFrame(offsets, "_part int, _offset bigint")
+    base = small_table(df.sparkSession, offsets or [(0, 0)], "_part, _offset")
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         ranged.withColumn(name, F.sum(value).over(inside))

@@ -9,9 +9,31 @@ from depot.functions.versions import parse_version
 from depot.operators.diff import last_wins
 
 
+def _plain(text: Column, rare: str) -> Column:
+    """Whether a text is ASCII and free of the rare ASCII characters in ``rare``.
+
+    Byte searches: a character class with this many members costs a multiple.
+    """
+    ok = F.octet_length(text) == F.length(text)
+    for c in rare:
+        if c.isascii():
+            ok = ok & ~text.contains(c)
+    return ok
+
+
+def _strip(text: Column) -> Column:
+    """Trim all blanks; plain spaces, the usual case, have a faster trim."""
+    return F.when(_plain(text, fixed.RARE_BLANKS), F.trim(text)).otherwise(
+        F.btrim(text, F.lit(fixed.BLANKS))
+    )
+
+
 def _split_once(line: Column, mark: str) -> list[Column]:
-    parts = F.split(line, mark, 2)
-    return [F.btrim(parts.getItem(i), F.lit(fixed.BLANKS)) for i in (0, 1)]
+    """Both sides of the first ``mark``, blanks trimmed."""
+    return [
+        _strip(F.substring_index(line, mark, 1)),
+        _strip(F.substr(line, F.instr(line, mark) + len(mark))),
+    ]
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -25,12 +47,24 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def split_lines(df: DataFrame, text: str = "text") -> DataFrame:
-    """Explode a text column into ``line_no`` (from 0) and ``line``, blanks trimmed."""
+    """Explode a text column into ``line_no`` (from 0) and ``line``, blanks trimmed.
+
+    Plain texts, told once per text, take a plain split and a plain trim.
+    """
     others = [c for c in df.columns if c != text]
-    lines = df.select(
-        *others, F.posexplode(F.split(text, fixed.LINE_BREAK_PATTERN)).alias("line_no", "line")
+    unix = F.replace(F.col(text), F.lit("\r\n"), F.lit("\n"))
+    newlines = "\n" * len(fixed.LINE_ENDS)
+    plain = _plain(F.col(text), fixed.LINE_ENDS + fixed.RARE_BLANKS)
+    prepared = df.select(*others, text, plain.alias("_plain")).select(
+        *others,
+        "_plain",
+        F.when(F.col("_plain"), F.col(text))
+        .otherwise(F.translate(unix, fixed.LINE_ENDS, newlines))
+        .alias("_t"),
     )
-    return lines.withColumn("line", F.btrim("line", F.lit(fixed.BLANKS)))
+    lines = prepared.select(*others, "_plain", F.posexplode(F.split("_t", "\n")).alias("line_no", "line"))
+    trimmed = F.when(F.col("_plain"), F.trim("line")).otherwise(F.btrim("line", F.lit(fixed.BLANKS)))
+    return lines.withColumn("line", trimmed).drop("_plain")
 
 
 def parse_lines(lines: DataFrame, known_paths: DataFrame | None = None, cwd: str = "/") -> DataFrame:
