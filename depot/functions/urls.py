@@ -1,5 +1,6 @@
 """URL normalisation, keys and content fingerprints (no UDF)."""
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -39,9 +40,12 @@ def resolve_dots(path) -> Column:
 
 
 def is_presigned(url, hosts: Sequence[str] = tuple(fixed.PRESIGNED_HOSTS)) -> Column:
-    h = host(url)
-    storage = h.contains(fixed.PRESIGNED_HOST_PART) & h.endswith(fixed.PRESIGNED_HOST_SUFFIX)
-    return (h.isin(list(hosts)) | storage) if hosts else storage
+    """Whether the host is one of ``hosts`` or a storage endpoint (one regex per URL)."""
+    part, suffix = re.escape(fixed.PRESIGNED_HOST_PART), re.escape(fixed.PRESIGNED_HOST_SUFFIX[1:])
+    # the dot that ends the part may be the one that starts the suffix
+    names = [re.escape(h) for h in hosts] + [rf"[^/?#:@]*{part}(?:[^/?#:@]*\.)?{suffix}"]
+    pattern = rf"(?i)^[a-z][a-z0-9+.\-]*://(?:[^/?#]*@)?(?:{'|'.join(names)})(?::[0-9]*)?(?:[/?#]|$)"
+    return _col(url).rlike(pattern)
 
 
 def normalize_url(url, hosts: Sequence[str] = tuple(fixed.PRESIGNED_HOSTS)) -> Column:

@@ -93,33 +93,41 @@ def sync_summary(plan: DataFrame) -> DataFrame:
     )
 
 
-def has_prefix(df: DataFrame, url: str, prefixes: DataFrame | Sequence[str], name: str) -> DataFrame:
-    """Add ``name``: whether the URL starts with any of the prefixes.
+def _starts_with_any(url: str, prefixes: Sequence[str]) -> Column:
+    tests = [F.col(url).startswith(p) for p in prefixes if p]
+    return reduce(or_, tests) if tests else F.lit(False)
 
-    A list is compiled into the expression. A table of prefixes is joined by equality:
-    the lengths that occur cut every URL into its candidate prefixes, the distinct
-    candidates are looked up, and no URL meets a prefix it does not start with. No
-    prefix, or an empty one, matches nothing.
+
+def _prefix_flags(urls: DataFrame, url: str, prefixes: DataFrame, name: str) -> DataFrame:
+    """Distinct ``urls`` with ``name``: whether they start with any prefix of the table.
+
+    The lengths that occur cut every URL into its candidate prefixes, which are looked
+    up by equality, so no URL meets a prefix it does not start with.
     """
-    if not isinstance(prefixes, DataFrame):
-        tests = [F.col(url).startswith(p) for p in prefixes if p]
-        return df.withColumn(name, reduce(or_, tests) if tests else F.lit(False))
     table = prefixes.select(F.col(prefixes.columns[0]).alias("_c")).where("_c <> ''").distinct()
     # at most one number per prefix length
     lengths = [r["n"] for r in table.select(F.length("_c").alias("n")).distinct().collect()]
     if not lengths:
-        return df.withColumn(name, F.lit(False))
+        return urls.withColumn(name, F.lit(False))
     cuts = F.array_distinct(F.array(*[F.substring(url, 1, n) for n in sorted(lengths)]))
-    hits = (
-        df.select(url)
-        .distinct()
-        .select(url, F.explode(cuts).alias("_c"))
-        .join(table, "_c", "left_semi")
-        .select(url)
-        .distinct()
-        .withColumn(name, F.lit(True))
+    return (
+        urls.select(url, F.explode(cuts).alias("_c"))
+        .join(table.withColumn("_hit", F.lit(True)), "_c", "left")
+        .groupBy(url)
+        .agg(F.coalesce(F.max("_hit"), F.lit(False)).alias(name))
     )
-    return df.join(hits, url, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+
+
+def has_prefix(df: DataFrame, url: str, prefixes: DataFrame | Sequence[str], name: str) -> DataFrame:
+    """Add ``name``: whether the URL starts with any of the prefixes.
+
+    A list is compiled into the expression; a table is joined on the distinct URLs. No
+    prefix, or an empty one, matches nothing.
+    """
+    if not isinstance(prefixes, DataFrame):
+        return df.withColumn(name, _starts_with_any(url, prefixes))
+    flags = _prefix_flags(df.select(url).distinct(), url, prefixes, name)
+    return df.join(flags, url, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
 def route(
@@ -132,18 +140,26 @@ def route(
 
     ``requests`` has url and extract; ``known`` lists cached objects ``(name, is_dir)``
     by sha256 of the URL. A cached directory serves only requests that extract; other
-    requests for it, and URLs with a configured prefix, bypass the cache.
+    requests for it, and URLs with a configured prefix, bypass the cache. Both lookups
+    are made once per distinct URL, and the requests themselves are joined once.
     """
     cached = known.groupBy(F.col("name").alias("_hash")).agg(F.max("is_dir").alias("_dir"))
-    flagged = has_prefix(requests.withColumn("_hash", url_key("url")), "url", prefixes, "_prefix")
-    joined = flagged.join(cached, "_hash", "left")
+    urls = requests.select("url").distinct()
+    if isinstance(prefixes, DataFrame):
+        flags = _prefix_flags(urls, "url", prefixes, "_prefix")
+    else:
+        flags = urls.withColumn("_prefix", _starts_with_any("url", prefixes))
+    flags = flags.withColumn("_hash", url_key("url")).join(cached, "_hash", "left").drop("_hash")
+    # only URLs that a lookup found anything for are needed on the request side
+    found = flags.where(F.col("_prefix") | F.col("_dir").isNotNull())
+    joined = requests.join(found, "url", "left")
     hit = F.col("_dir").isNotNull()
     how = (
         F.when(hit & (F.col("extract") | ~F.col("_dir")), F.lit("local"))
-        .when(hit | F.col("_prefix"), F.lit("bypass"))
+        .when(hit | F.coalesce(F.col("_prefix"), F.lit(False)), F.lit("bypass"))
         .otherwise(F.lit("lazy") if lazy_available else F.lit("bypass"))
     )
-    return joined.withColumn("route", how).drop("_hash", "_dir", "_prefix")
+    return joined.withColumn("route", how).drop("_dir", "_prefix")
 
 
 def lazy_names(requests: DataFrame, hosts: Sequence[str] = tuple(fixed.PRESIGNED_HOSTS)) -> DataFrame:

@@ -90,16 +90,16 @@ def default_in_list(default: Column, versions: Column) -> Column:
 def set_fingerprint(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Fingerprint of the distinct values of every group, whatever their order.
 
-    Values are hashed one by one and the hashes are added up in nine lanes of 28 bits,
+    Values are hashed one by one and the hashes are added up in six lanes of 28 bits,
     so a group of any size is combined map-side and never gathered.
     """
     hashed = df.select(*groups, F.col(value).cast("string").alias("_v")).distinct()
     hashed = hashed.withColumn("_h", F.sha2("_v", 256))
-    lanes = [F.conv(F.substring("_h", 1 + 7 * i, 7), 16, 10).cast("bigint") for i in range(9)]
+    lanes = [F.conv(F.substring("_h", 1 + 7 * i, 7), 16, 10).cast("bigint") for i in range(6)]
     sums = hashed.groupBy(*groups).agg(
         F.count("_v").alias("members"), *[F.sum(x).alias(f"_s{i}") for i, x in enumerate(lanes)]
     )
-    text = F.concat_ws("|", F.col("members").cast("string"), *[F.col(f"_s{i}").cast("string") for i in range(9)])
+    text = F.concat_ws("|", F.col("members").cast("string"), *[F.col(f"_s{i}").cast("string") for i in range(6)])
     return sums.select(*groups, "members", F.sha2(text, 256).alias("fingerprint"))
 
 

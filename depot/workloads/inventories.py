@@ -130,7 +130,7 @@ def set_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fingerprint_sql(source: str, group: str, value: str) -> str:
-    lanes = [f"('0x' || substr(h, {1 + 7 * i}, 7))::BIGINT" for i in range(9)]
+    lanes = [f"('0x' || substr(h, {1 + 7 * i}, 7))::BIGINT" for i in range(6)]
     text = " || '|' || ".join(["count(v)", *[f"sum({x})" for x in lanes]])
     return f"""SELECT {group}, count(v) AS members, sha256({text}) AS fingerprint
 FROM (SELECT {group}, v, sha256(v) AS h FROM (SELECT DISTINCT {group}, ({value})::VARCHAR AS v FROM {source}))
