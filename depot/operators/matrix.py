@@ -195,23 +195,26 @@ def compatible_matrix(defs: DataFrame, rules: DataFrame, with_cpu: bool = True)
     dims = defs.select(
         F.col("id").alias("snapshot"), "torch", python.alias("_p"), _accelerators(with_cpu).alias("_c")
     )
-    torches = dims.select("snapshot", F.explode("torch").alias("torch"), "_p", "_c")
+    # outer forms: a plain explode makes Spark repeat the array expression in a filter
+    torches = dims.select("snapshot", F.explode_outer("torch").alias("torch"), "_p", "_c")
     ruled = with_rule(torches, rules)
     allowed_p = F.filter("_p", lambda e: e["v"].between(F.col("_lo"), F.col("_hi")))
     rows = ruled.select(
         "snapshot",
         "torch",
-        F.explode(allowed_p).alias("_p"),
+        F.explode_outer(allowed_p).alias("_p"),
         F.array_intersect("_c", "cudas").alias("_c"),
     )
-    rows = rows.select(
+    rows = rows.where(F.col("_p").isNotNull()).select(
         "snapshot",
         F.col("_p.key").alias("python"),
         F.col("_p.value").alias("python_full"),
         "torch",
-        F.explode("_c").alias("cuda"),
+        F.explode_outer("_c").alias("cuda"),
+    )
+    return rows.where(F.col("cuda").isNotNull()).withColumn(
+        "env", env_key("python", "torch", "cuda")
     )
-    return rows.withColumn("env", env_key("python", "torch", "cuda"))
 
 
 @dataclass(frozen=True)

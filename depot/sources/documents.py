@@ -108,13 +108,11 @@ def parse_feed(df: DataFrame, text: str = "text", mode: str = "fail") -> DataFra
     empty the whole cache. Ranks count all result rows, so they keep the feed's order.
     """
     others = [c for c in df.columns if c != text]
-    results = F.col("_f.data.results")
     feeds = df.select(*others, F.from_json(text, FEED_SCHEMA).alias("_f"))
+    # the outer form keeps Spark from repeating the JSON parse in a filter below it
+    rows = feeds.select(*others, F.posexplode_outer("_f.data.results").alias("rank", "_r"))
     if mode == "fail":
-        feeds = _fail_unless(
-            feeds, F.coalesce(F.size(results), F.lit(0)) > 0, F.lit("empty ranked feed")
-        )
-    rows = feeds.select(*others, F.posexplode(results).alias("rank", "_r"))
+        rows = _fail_unless(rows, F.col("rank").isNotNull(), F.lit("empty ranked feed"))
     return rows.select(
         *others, "rank", F.col("_r.data").getItem(fixed.FEED_URL_KEY).alias("url")
     ).where(F.col("url").isNotNull())
@@ -131,9 +129,9 @@ def parse_releases(df: DataFrame, text: str = "text") -> DataFrame:
     rows = docs.select(
         *others,
         F.col("_r.name").alias("release"),
-        F.posexplode("_r.assets").alias("position", "_a"),
+        F.posexplode_outer("_r.assets").alias("position", "_a"),
     )
-    return rows.select(
+    return rows.where(F.col("position").isNotNull()).select(
         *others,
         "release",
         "position",
@@ -173,5 +171,6 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def parse_state(df: DataFrame, text: str = "text") -> DataFrame:
     """Import a cache state held as one JSON map per row."""
     others = [c for c in df.columns if c != text]
-    rows = df.select(*others, F.explode(F.from_json(text, STATE_MAP_SCHEMA)).alias("hash", "_o"))
-    return rows.select(*others, "hash", "_o.url", "_o.size", "_o.etag")
+    states = df.select(*others, F.from_json(text, STATE_MAP_SCHEMA).alias("_s"))
+    rows = states.select(*others, F.explode_outer("_s").alias("hash", "_o"))
+    return rows.where(F.col("hash").isNotNull()).select(*others, "hash", "_o.url", "_o.size", "_o.etag")

@@ -28,6 +28,9 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("name", sorted(driver.queries()))
 def test_query_matches_sql(spark, duck, name):
     df = driver.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for node in ("NestedLoop", "CartesianProduct", "EvalPython", "ExistingRDD"):
+        assert node not in plan
     columns = sorted(df.columns)
     got = sorted((repr(tuple(r)) for r in df.select(*columns).collect()))
     result = duck.execute(driver.oracle_sql()[name])
