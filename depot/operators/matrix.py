@@ -182,8 +182,10 @@ def compatible(matrix: DataFrame, rules: DataFrame) -> DataFrame:
     return kept.select(*matrix.columns)
 
 
-def compatible_matrix(defs: DataFrame, rules: DataFrame, with_cpu: bool = True) -> DataFrame:
-    """Allowed environments of every snapshot, with ``env``.
+def compatible_matrix(
+    defs: DataFrame, rules: DataFrame, with_cpu: bool = True, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Allowed environments of every snapshot, with ``env`` and the definition's ``carry`` columns.
 
     Rules are joined per torch version, before the other dimensions are exploded, and
     the arrays are filtered first, so combinations that a rule forbids never exist.
@@ -193,10 +195,14 @@ def compatible_matrix(defs: DataFrame, rules: DataFrame, with_cpu: bool = True)
         lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), parse_version(e["key"]).alias("v")),
     )
     dims = defs.select(
-        F.col("id").alias("snapshot"), "torch", python.alias("_p"), _accelerators(with_cpu).alias("_c")
+        F.col("id").alias("snapshot"),
+        "torch",
+        python.alias("_p"),
+        _accelerators(with_cpu).alias("_c"),
+        *carry,
     )
     # outer forms: a plain explode makes Spark repeat the array expression in a filter
-    torches = dims.select("snapshot", F.explode_outer("torch").alias("torch"), "_p", "_c")
+    torches = dims.select("snapshot", F.explode_outer("torch").alias("torch"), "_p", "_c", *carry)
     ruled = with_rule(torches, rules)
     allowed_p = F.filter("_p", lambda e: e["v"].between(F.col("_lo"), F.col("_hi")))
     rows = ruled.select(
@@ -204,6 +210,7 @@ def compatible_matrix(defs: DataFrame, rules: DataFrame, with_cpu: bool = True)
         "torch",
         F.explode_outer(allowed_p).alias("_p"),
         F.array_intersect("_c", "cudas").alias("_c"),
+        *carry,
     )
     rows = rows.where(F.col("_p").isNotNull()).select(
         "snapshot",
@@ -211,6 +218,7 @@ def compatible_matrix(defs: DataFrame, rules: DataFrame, with_cpu: bool = True)
         F.col("_p.value").alias("python_full"),
         "torch",
         F.explode_outer("_c").alias("cuda"),
+        *carry,
     )
     return rows.where(F.col("cuda").isNotNull()).withColumn(
         "env", env_key("python", "torch", "cuda")
@@ -243,9 +251,8 @@ RUNTIMES = [
 
 
 def _rule_packages(rule: PinRule, torch: Column, cu: Column) -> Column:
-    names = F.array(*[F.lit(p) for p in rule.packages])
-    if rule.per_cuda:
-        names = F.transform(names, lambda p: F.concat(p, F.lit("-"), F.substring(cu, 1, 4)))
+    tail = [F.lit("-"), F.substring(cu, 1, 4)] if rule.per_cuda else []
+    names = F.array(*[F.concat(F.lit(p), *tail) for p in rule.packages])
     applies = torch < version_literal(rule.below)
     if rule.gpu_only:
         applies = applies & (cu != "cpu")
@@ -289,8 +296,11 @@ def expected_pins(
     nothing but gives an environment without companions no rows of its own, and a
     single row with null ``requirement``.
     """
-    rows = lookup_strict(envs, companions, ["torch"], on_missing)
-    torch, cu = parse_version("torch"), cuda_suffix("cuda")
+    # parsed in a step of its own: the requirements refer to both many times
+    rows = lookup_strict(envs, companions, ["torch"], on_missing).withColumns(
+        {"_v": parse_version("torch"), "_cu": cuda_suffix("cuda")}
+    )
+    torch, cu = F.col("_v"), F.col("_cu")
     base = index_url("cuda", True)
     py = F.concat(F.lit("cp"), F.regexp_replace("python", r"\.", ""))
 
@@ -334,9 +344,11 @@ def matrix_summary(
 ) -> DataFrame:
     """The version matrix document of every snapshot.
 
-    ``venvs`` is cut into ``parts`` of about ``env_chunk`` environments: a snapshot of
-    usual size is one row, and a huge one never has to fit one task. The other lists
-    come from the definition row itself. Versions are in descending order, CPU first.
+    ``venvs`` is cut into ``parts`` of at most about ``env_chunk`` environments: a snapshot
+    of usual size is one row, and a huge one never has to fit one task. The size of the
+    unfiltered product decides the number of parts, so environments are read once. The
+    other lists come from the definition row itself. Versions are in descending order,
+    CPU first.
     """
     torch_cudas = with_rule(
         defs.select(F.col("id").alias("snapshot"), F.explode(F.array_distinct("torch")).alias("torch")), rules
@@ -346,13 +358,12 @@ def matrix_summary(
             F.collect_list(F.struct("torch", F.expr("filter(cudas, c -> c <> 'cpu')").alias("c")))
         ).alias("torch_cudas")
     )
-    counts = envs.groupBy("snapshot").agg(F.count("*").alias("_n"))
-    parts = F.greatest(F.ceil(F.col("_n") / env_chunk), F.lit(1)).cast("int")
+    product = F.size("python") * F.size("torch") * (F.size("cuda") + 1)
+    parts = F.greatest(F.ceil(product / env_chunk), F.lit(1)).cast("int")
     # rows go to parts by hash: within a part the order is by version, descending
-    chunked = (
-        envs.join(counts.select("snapshot", parts.alias("parts")), "snapshot")
-        .withColumn("part", F.pmod(F.xxhash64("python", "torch", "cuda"), F.col("parts")).cast("int"))
-    )
+    part = F.pmod(F.xxhash64("python", "torch", "cuda"), F.col("parts")).cast("int")
+    sized = defs.select(F.col("id").alias("snapshot"), parts.alias("parts"))
+    chunked = envs.join(sized, "snapshot").withColumn("part", part)
     ordered = F.struct(
         parse_version("python").alias("p"),
         parse_version("torch").alias("t"),

@@ -181,9 +181,7 @@ FROM p GROUP BY 1, 2"""
 
 def expected_pins_query(spark: SparkSession, sf: str) -> DataFrame:
     """Requirements of every allowed environment; nightlies have no companions."""
-    defs = _defs(spark, sf)
-    envs = compatible_matrix(defs, torch_rules(spark))
-    envs = envs.join(defs.select(F.col("id").alias("snapshot"), "pip_pkgs"), "snapshot")
+    envs = compatible_matrix(_defs(spark, sf), torch_rules(spark), carry=["pip_pkgs"])
     return expected_pins(envs, torch_companions(spark), on_missing="report")
 
 
