@@ -1,5 +1,7 @@
 """Immutable pin tables, matrix documents, markers, requirement text, versioned state."""
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,14 +51,14 @@ def marker(kind: str, attributes: dict[str, Column], at: Column | None = None) -
 
 
 def append_marker(
-    df: DataFrame, path: str, kind: str, attributes: dict[str, Column], keys: list[str] = [],
+    df: DataFrame, path: str, kind: str, attributes: dict[str, Column], keys: Sequence[str] = (),
     at: Column | None = None,
 ) -> None:
     """Append one marker per row of ``df`` to the audit table."""
     df.select(*keys, *marker(kind, attributes, at)).write.mode("append").json(path)
 
 
-def write_requirements(df: DataFrame, path: str, keys: list[str] = ["env"]) -> None:
+def write_requirements(df: DataFrame, path: str, keys: Sequence[str] = ("env",)) -> None:
     """Requirement text files, one folder per key, sorted by package."""
     text = df.select(*keys, "package", requirement_text("package", "raw_version").alias("value"))
     # a range sort on key and package: an environment with very many rows is cut, in order

@@ -44,11 +44,10 @@ def duplicate_content_query(spark: SparkSession, sf: str) -> DataFrame:
 
 DUPLICATE_CONTENT = f"""
 SELECT sha256(text) AS content_hash, n_chars AS size, count(*) AS copies,
-       min((source, doc_id)).source AS keeper_source, min((source, doc_id)).doc_id AS keeper_doc_id,
+       min(f).source AS keeper_source, min(f).doc_id AS keeper_doc_id,
        n_chars * (count(*) - 1) AS bytes_saved
-FROM (SELECT text, n_chars, {{'source': source, 'doc_id': doc_id}} AS f, source, doc_id FROM documents)
-WHERE n_chars >= {MIN_CHARS} GROUP BY 1, 2 HAVING count(*) > 1
-""".replace("min((source, doc_id))", "min(f)")
+FROM (SELECT text, n_chars, {{'source': source, 'doc_id': doc_id}} AS f FROM documents)
+WHERE n_chars >= {MIN_CHARS} GROUP BY 1, 2 HAVING count(*) > 1"""
 
 
 def duplicate_links(spark: SparkSession, sf: str) -> DataFrame:
