@@ -11,10 +11,13 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from depot.llm.decontam import contamination
+from depot.llm.fertility import quality
 from depot.llm.packing import pack
 from depot.llm.tokens import read_tokens, write_tokens
+from depot.llm.toxicity import toxicity
 
-WORDS = "word_bpe_49k.json"
+WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def tasks_find_package(spark: SparkSession) -> None:
@@ -38,7 +41,24 @@ def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return read_tokens(write_tokens(documents(spark, sf), public_tokenizers.path(WORDS), 2))
 
 
+def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")).drop(
+        "item_ids"
+    )
+
+
+def op7_fertility(spark: SparkSession, sf: str) -> DataFrame:
+    return quality(documents(spark, sf), public_tokenizers.path(PIECES))
+
+
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
 QUERIES = {
     "op2_packing": (op2_packing, None),
     "op3_token_files": (op3_token_files, None),
+    "op5_decontamination": (op5_decontamination, None),
+    "op7_fertility": (op7_fertility, None),
+    "op10_toxicity": (op10_toxicity, None),
 }
