@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from depot.llm.decontam import contamination
 from depot.llm.fertility import quality
 from depot.llm.packing import pack
+from depot.llm.pii import private_data
+from depot.llm.simhash import near_duplicates
 from depot.llm.tokens import read_tokens, write_tokens
 from depot.llm.toxicity import toxicity
 
@@ -33,6 +35,10 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op1_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return private_data(documents(spark, sf))
+
+
 def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(documents(spark, sf), public_tokenizers.path(WORDS))
 
@@ -51,14 +57,20 @@ def op7_fertility(spark: SparkSession, sf: str) -> DataFrame:
     return quality(documents(spark, sf), public_tokenizers.path(PIECES))
 
 
+def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf))
+
+
 def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
 
 
 QUERIES = {
+    "op1_personal_data": (op1_personal_data, None),
     "op2_packing": (op2_packing, None),
     "op3_token_files": (op3_token_files, None),
     "op5_decontamination": (op5_decontamination, None),
     "op7_fertility": (op7_fertility, None),
+    "op9_simhash": (op9_simhash, None),
     "op10_toxicity": (op10_toxicity, None),
 }
