@@ -10,6 +10,7 @@ from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from depot.llm.decontam import contamination
 from depot.llm.fertility import quality
@@ -18,6 +19,7 @@ from depot.llm.pii import private_data
 from depot.llm.simhash import near_duplicates
 from depot.llm.tokens import read_tokens, write_tokens
 from depot.llm.toxicity import toxicity
+from depot.llm.warc import merged_index, read_captures, write_archives
 
 WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -57,6 +59,27 @@ def op7_fertility(spark: SparkSession, sf: str) -> DataFrame:
     return quality(documents(spark, sf), public_tokenizers.path(PIECES))
 
 
+def op8_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages have no time of capture; page n counts as captured n seconds into 2024."""
+    tasks_find_package(spark)
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    time = start + F.make_dt_interval(secs=F.col("page_id"))
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    pages = pages.withColumn("captured", F.date_format(time, "yyyyMMddHHmmss"))
+    captures = read_captures(merged_index(write_archives(pages)))
+    return captures.drop("url", "captured", "key_range", "place")
+
+
+OP8_SQL = """
+SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+       sha256(coalesce(html, '')) AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM (SELECT *, octet_length(encode(coalesce(html, ''))) AS n,
+             min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+"""
+
+
 def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(documents(spark, sf))
 
@@ -71,6 +94,7 @@ QUERIES = {
     "op3_token_files": (op3_token_files, None),
     "op5_decontamination": (op5_decontamination, None),
     "op7_fertility": (op7_fertility, None),
+    "op8_warc": (op8_warc, OP8_SQL),
     "op9_simhash": (op9_simhash, None),
     "op10_toxicity": (op10_toxicity, None),
 }

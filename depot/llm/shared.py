@@ -19,7 +19,7 @@ def create(path: str):
     """A stream that writes a new file; `path` is a URI or an absolute path."""
     system, local = fs.FileSystem.from_uri(path)
     system.create_dir(local.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(local)
+    return system.open_output_stream(local, compression=None)
 
 
 def reader(path: str):
