@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from depot.llm.decontam import contamination
 from depot.llm.fertility import quality
+from depot.llm.kneser import language_scores
 from depot.llm.packing import pack
 from depot.llm.pii import private_data
 from depot.llm.simhash import near_duplicates
+from depot.llm.substrings import dedup
 from depot.llm.tokens import read_tokens, write_tokens
 from depot.llm.toxicity import toxicity
 from depot.llm.warc import merged_index, read_captures, write_archives
@@ -49,12 +51,72 @@ def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return read_tokens(write_tokens(documents(spark, sf), public_tokenizers.path(WORDS), 2))
 
 
+def op4_kneser_ney(spark: SparkSession, sf: str) -> DataFrame:
+    return language_scores(documents(spark, sf))
+
+
 def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return contamination(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")).drop(
         "item_ids"
     )
 
 
+OP5_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+patterns AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[start:start + n - 1], ' ') AS win
+  FROM (SELECT item_id, w, least(10, len(w)) AS n,
+               unnest(range(1, len(w) - least(10, len(w)) + 2)) AS start
+        FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM patterns),
+windows AS (
+  SELECT doc_id, n, start, array_to_string(w[start:start + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS start
+        FROM words, sizes WHERE len(w) >= n)),
+hits AS (SELECT doc_id, item_id, n, start FROM windows JOIN patterns USING (n, win)),
+hit AS (
+  SELECT doc_id, count(DISTINCT i) AS n_hit
+  FROM (SELECT doc_id, unnest(range(start, start + n)) AS i FROM hits) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
+def op6_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup(documents(spark, sf)).drop("kept")
+
+
+OP6_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, w, start, array_to_string(w[start:start + 19], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS start FROM words)),
+later AS (
+  SELECT doc_id, start FROM windows
+  QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, start) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS i FROM later),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept
+  FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op7_fertility(spark: SparkSession, sf: str) -> DataFrame:
     return quality(documents(spark, sf), public_tokenizers.path(PIECES))
 
@@ -92,7 +154,9 @@ QUERIES = {
     "op1_personal_data": (op1_personal_data, None),
     "op2_packing": (op2_packing, None),
     "op3_token_files": (op3_token_files, None),
-    "op5_decontamination": (op5_decontamination, None),
+    "op4_kneser_ney": (op4_kneser_ney, None),
+    "op5_decontamination": (op5_decontamination, OP5_SQL),
+    "op6_substrings": (op6_substrings, OP6_SQL),
     "op7_fertility": (op7_fertility, None),
     "op8_warc": (op8_warc, OP8_SQL),
     "op9_simhash": (op9_simhash, None),

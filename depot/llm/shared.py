@@ -6,6 +6,9 @@ count, so the file of a lost or repeated attempt is never read.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 import pyarrow.fs as fs
@@ -30,3 +33,23 @@ def reader(path: str):
 
 def read_at(file, start: int, length: int) -> bytes:
     return file.read_at(length, start) if length else b""
+
+
+def local_copy(path: str) -> str:
+    """A local path of a shared file, for memory maps.
+
+    A folder that the nodes mount is mapped in place, so the system keeps one copy of its
+    pages for all workers of a node. Other stores are copied to the worker's own folder once.
+    """
+    system, local = fs.FileSystem.from_uri(path)
+    if isinstance(system, fs.LocalFileSystem):
+        return local
+    if path not in _copies:
+        folder = tempfile.mkdtemp(prefix="depot-map-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _copies[path] = f"{folder}/file"
+        fs.copy_files(path, _copies[path])
+    return _copies[path]
+
+
+_copies: dict[str, str] = {}
