@@ -5,9 +5,6 @@ Each reads whole tables and applies its operator with production parameters.
 
 from __future__ import annotations
 
-import os
-from pathlib import Path
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +14,7 @@ from depot.llm.fertility import quality
 from depot.llm.kneser import language_scores
 from depot.llm.packing import pack
 from depot.llm.pii import private_data
+from depot.llm.shared import tasks_find_package
 from depot.llm.simhash import near_duplicates
 from depot.llm.substrings import dedup
 from depot.llm.tokens import read_tokens, write_tokens
@@ -26,14 +24,6 @@ from depot.llm.warc import merged_index, read_captures, write_archives
 WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
-def tasks_find_package(spark: SparkSession) -> None:
-    """Lets Python workers import this package where it is not installed on them."""
-    root, held = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    paths = held.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        held["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
-
-
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     tasks_find_package(spark)
     return spark.read.parquet(f"{sf}/documents.parquet")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depot.llm.texts import lower_words, rows
+from depot.llm.texts import hashes, lower_words, rows, window_hashes
 from depot.operators.durable import materialize
 
 #: Fingerprints of a tile, at most about.
@@ -247,3 +247,178 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     return found.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+# ---- near copies: a wide radius, then the share of common shingles -----------------------
+
+#: Slots of a sketch: each keeps one byte of the smallest shingle hash that falls into it.
+SLOTS = 256
+#: Words of a shingle of near copies, and the share of common shingles from which they are.
+COPY_SHINGLE, SIMILARITY = 5, 0.8
+#: Fingerprints of texts that are this similar differ in no more bits (see README).
+COPY_RADIUS = 12
+#: Pairs whose sketches are compared at a time.
+CHECKED = 50_000
+
+
+def sketch(words: list[bytes], shingle: int = COPY_SHINGLE) -> tuple[int, bytes]:
+    """Number of different shingles, and one byte for each slot; 0 stands for none."""
+    found = np.unique(window_hashes(hashes(words), min(shingle, max(1, len(words)))))
+    slot = (found >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(found) else []
+    out = np.zeros(SLOTS, np.uint8)
+    out[slot[first]] = found[first] % np.uint64(255) + np.uint64(1)
+    return len(found), out.tobytes()
+
+
+def resemblance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated share of common shingles of sketches, row by row."""
+    filled = ((a | b) > 0).sum(1)
+    same = ((a == b) & (a > 0)).sum(1) / np.maximum(filled, 1)
+    return (same - 1 / 255) / (1 - 1 / 255)  # different hashes share a byte so often
+
+
+def copy_links(classes: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect classes (cls, fp, size, sketch) of near copies.
+
+    Sizes of near copies lie within the similarity of each other, so a band of sizes is only
+    compared with itself and the next one; bands of many classes are cut into tiles by hash.
+    """
+    step = float(np.log(1 / similarity))
+    banded = classes.withColumn("band", F.floor(F.log(F.col("size") + 1.0) / step).cast("int"))
+    # bands of sizes up to 2 ** 31 are fewer than a hundred
+    tiles = materialize(
+        banded.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "bands"
+    )
+    placed = banded.join(F.broadcast(tiles), "band").withColumn(
+        "tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
+    )
+    # a class is compared in its own band's tiles up to its own, and in those of the band below
+    below = tiles.select((F.col("band") + 1).alias("band"), F.col("tiles").alias("tiles_below"))
+    sent = placed.join(F.broadcast(below), "band", "left")
+    own = F.transform(
+        F.sequence(F.lit(0), F.col("tile")), lambda t: F.struct(F.col("band").alias("owner"), t.alias("part"))
+    )
+    lower = F.transform(
+        F.sequence(F.lit(0), F.coalesce("tiles_below", F.lit(1)) - 1),
+        lambda t: F.struct((F.col("band") - 1).alias("owner"), t.alias("part")),
+    )
+    places = F.when(F.col("tiles_below").isNull(), own).otherwise(F.concat(own, lower))
+    dealt = sent.select(F.explode(places).alias("at"), "band", "tile", "cls", "fp", "size", "sketch")
+    mine = (F.col("band") == F.col("at.owner")) & (F.col("tile") == F.col("at.part"))
+    dealt = dealt.select(
+        "at.owner", "at.part", (~mine).cast("int").alias("later"), "cls", "fp", "size", "sketch"
+    )
+    dealt = dealt.repartition("owner", "part").sortWithinPartitions("owner", "part", "later")
+
+    def compare(batches):
+        current, own, parent = None, None, {}
+        for batch in batches:
+            n = batch.num_rows
+            where = np.stack([batch.column(c).to_numpy() for c in ("owner", "part", "later")], 1)
+            cuts = np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), n], strict=True):
+                part = batch.slice(a, b - a)
+                block = (
+                    part.column("cls").to_numpy(),
+                    part.column("fp").to_numpy().view(np.uint64),
+                    part.column("size").to_numpy(),
+                    np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS),
+                )
+                if tuple(where[a, :2]) != current:
+                    current, own, parent = tuple(where[a, :2]), None, {}
+                if where[a, 2] == 0:  # the tile itself may come in several batches
+                    pairs = [block] if own is None else [own, block]
+                    out = [] if own is None else _copies(own, block, radius, similarity, parent)
+                    out += _copies(block, block, radius, similarity, parent)
+                    own = tuple(np.concatenate(c) for c in zip(*pairs, strict=True))
+                else:
+                    out = [] if own is None else _copies(own, block, radius, similarity, parent)
+                if out:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"]
+                    )
+
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def _copies(own: tuple, other: tuple, radius: int, similarity: float, parent: dict) -> list[tuple[int, int]]:
+    """Links between two blocks that join classes which `parent` does not hold together yet."""
+    out: list[tuple[int, int]] = []
+    ids, fps, sizes, sketches = own
+    for at in range(0, len(ids), 512):
+        rows_ = slice(at, at + 512)
+        near = np.bitwise_count(fps[rows_, None] ^ other[1][None, :]) <= radius
+        if not near.any():
+            continue
+        a, b = np.nonzero(near)
+        a += at
+        low, high = np.minimum(sizes[a], other[2][b]), np.maximum(sizes[a], other[2][b])
+        keep = (low >= similarity * high) & (ids[a] != other[0][b])
+        a, b = a[keep], b[keep]
+        for k in range(0, len(a), CHECKED):
+            i, j = a[k : k + CHECKED], b[k : k + CHECKED]
+            if parent:  # what is joined already needs no look
+                ri, rj = (np.array([_root(parent, x) for x in u.tolist()])[v] for u, v in
+                          (np.unique(ids[i], return_inverse=True), np.unique(other[0][j], return_inverse=True)))
+                i, j = i[ri != rj], j[ri != rj]
+            close = resemblance(sketches[i], other[3][j]) >= similarity
+            out += _forest(ids[i[close]], other[0][j[close]], parent)
+    return out
+
+
+def _root(parent: dict, x: int) -> int:
+    while (up := parent.get(x, x)) != x:
+        x = up
+    return x
+
+
+def one_of_each(
+    docs: DataFrame, radius: int = COPY_RADIUS, similarity: float = SIMILARITY, shingle: int = 3
+) -> DataFrame:
+    """The documents with one of each group of near copies: that with the smallest doc_id.
+
+    Near copies differ in at most `radius` bits of their fingerprints and share at least
+    `similarity` of their five-word shingles, as sketches of 256 slots estimate it; groups are
+    what such links connect. Of rows with equal ids and texts one stays. Null ids stay only
+    where a group has no other. Texts without words are copies of each other.
+    """
+    text = docs.columns.index("text")
+    schema = docs.select("*", *[F.lit(None).cast(t).alias(c) for c, t in _EXTRA]).schema
+
+    def measure(batches):
+        for batch in batches:
+            extra: list[tuple] = []
+            for (texts,) in rows(iter([pa.RecordBatch.from_arrays([batch.column(text)], ["t"])]), "t"):
+                for t in texts:
+                    words = lower_words(t)
+                    fp, (size, sk) = fingerprint(words, shingle), sketch(words)
+                    cls = xxhash.xxh64_intdigest(sk + size.to_bytes(8, "little") + fp.to_bytes(8, "little"))
+                    extra.append((cls - (1 << 63), fp - (1 << 64) if fp >> 63 else fp, size, sk))
+            columns = list(zip(*extra, strict=True)) or [[], [], [], []]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=schema.names)
+
+    measured = docs.mapInArrow(measure, schema).withColumn("_row", F.monotonically_increasing_id())
+    measured = materialize(measured, "near-copies")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    classes = materialize(
+        measured.groupBy("_cls").agg(
+            first.alias("first"), *[F.first(f"_{c}").alias(c) for c in ("fp", "size", "sketch")]
+        ),
+        "copy-classes",
+    )
+    narrow = classes.select(F.col("_cls").alias("cls"), "fp", "size", "sketch")
+    rooted = components(copy_links(narrow, radius, similarity))
+    chosen = (
+        classes.select("_cls", "first")
+        .join(rooted, classes["_cls"] == rooted.node, "left")
+        .groupBy(F.coalesce("root", "_cls").alias("root"))
+        .agg(F.min("first").alias("first"))
+        .select(F.col("first._row").alias("_row"))
+    )
+    return measured.join(chosen, "_row", "left_semi").select(*docs.columns)
+
+
+_EXTRA = (("_cls", "long"), ("_fp", "long"), ("_size", "long"), ("_sketch", "binary"))
