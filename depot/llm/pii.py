@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depot.llm.texts import rows
+from depot.llm.texts import field_rows, rows, whole
 from depot.operators.durable import materialize
 
 #: Words on either side of an entity that count as its surroundings.
@@ -211,7 +211,7 @@ def _documents_with(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """All columns of the documents with `_base` (spans of patterns) and `_added` (of words).
+    """The rows as `doc` with `base` (spans of patterns) and `added` (of words).
 
     Spans are (start, end, kind) in code points, end exclusive. Null texts have none. Rows
     are written to the shared folder on the way, so their numbers stay as they are.
@@ -219,54 +219,53 @@ def find(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     terms = materialize(disclosing_terms(docs), "disclosing-terms")
     held = spark.sparkContext.broadcast(_filter(terms.select("term")))
-    text = docs.columns.index("text")
+    docs = whole(docs)
     span = "array<struct<start:int,end:int,kind:string>>"
     word = "array<struct<start:int,end:int,term:bigint>>"
-    schema = docs.select("*", F.lit(None).cast(span).alias("_base"), F.lit(None).cast(word).alias("_words")).schema
+    schema = docs.select("*", F.lit(None).cast(span).alias("base"), F.lit(None).cast(word).alias("words")).schema
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
     word_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("term", pa.int64())]))
 
     def scan(batches):
-        for batch in batches:
+        for part, texts in field_rows(batches):
             base, words = [], []
-            for (texts,) in rows(iter([pa.RecordBatch.from_arrays([batch.column(text)], ["t"])]), "t"):
-                for t in texts:
-                    spans = base_spans(t)
-                    base.append([dict(zip(("start", "end", "kind"), s, strict=True)) for s in spans])
-                    found = [(a, b, term_hash(w)) for a, b, w in words_outside(t or "", spans)]
-                    may = _may_match(held.value, np.array([f[2] for f in found], np.int64))
-                    words.append(
-                        [
-                            dict(zip(("start", "end", "term"), found[i], strict=True))
-                            for i in np.flatnonzero(may).tolist()
-                        ]
-                    )
+            for t in texts:
+                spans = base_spans(t)
+                base.append([dict(zip(("start", "end", "kind"), s, strict=True)) for s in spans])
+                found = [(a, b, term_hash(w)) for a, b, w in words_outside(t or "", spans)]
+                may = _may_match(held.value, np.array([f[2] for f in found], np.int64))
+                words.append(
+                    [
+                        dict(zip(("start", "end", "term"), found[i], strict=True))
+                        for i in np.flatnonzero(may).tolist()
+                    ]
+                )
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(base, span_type), pa.array(words, word_type)],
+                [part.column("doc"), pa.array(base, span_type), pa.array(words, word_type)],
                 names=schema.names,
             )
 
     scanned = docs.mapInArrow(scan, schema)
-    scanned = materialize(scanned.withColumn("_row", F.monotonically_increasing_id()), "scanned")
-    some = scanned.where(F.size("_words") > 0)
+    scanned = materialize(scanned.withColumn("row", F.monotonically_increasing_id()), "scanned")
+    some = scanned.where(F.size("words") > 0)
     action = F.when(F.col("share") >= REMOVE, "removed").otherwise("generalised")
     added = (
-        some.select("_row", F.explode("_words").alias("w"))
-        .select("_row", "w.start", "w.end", "w.term")
+        some.select("row", F.explode("words").alias("w"))
+        .select("row", "w.start", "w.end", "w.term")
         .join(terms, "term")
-        .groupBy("_row")  # as many as the document has words
-        .agg(F.collect_list(F.struct("start", "end", action.alias("kind"))).alias("_added"))
+        .groupBy("row")  # as many as the document has words
+        .agg(F.collect_list(F.struct("start", "end", action.alias("kind"))).alias("added"))
     )
-    marked = some.join(added, "_row", "left").drop("_words", "_row")
-    plain = scanned.where(F.size("_words") == 0).withColumn("_added", F.lit(None).cast(span))
-    return plain.drop("_words", "_row").unionByName(marked)
+    marked = some.join(added, "row", "left").select("doc", "base", "added")
+    plain = scanned.where(F.size("words") == 0)
+    return plain.select("doc", "base", F.lit(None).cast(span).alias("added")).unionByName(marked)
 
 
 def private_data(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
 
     def spell(batches):
-        for ids, bases, addeds in rows(batches, "doc_id", "_base", "_added"):
+        for ids, bases, addeds in rows(batches, "doc_id", "base", "added"):
             out = []
             for doc_id, base, added in zip(ids, bases, addeds, strict=True):
                 base = [(s["start"], s["end"], s["kind"]) for s in base]
@@ -280,7 +279,7 @@ def private_data(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
             )
 
-    found = find(docs.select("doc_id", "text")).select("doc_id", "_base", "_added")
+    found = find(docs.select("doc_id", "text")).select("doc.doc_id", "base", "added")
     return found.mapInArrow(
         spell,
         "doc_id long, n_email long, n_ip long, n_card long, n_phone long, "
@@ -313,19 +312,18 @@ def sanitise(docs: DataFrame) -> DataFrame:
     text = columns.index("text")
 
     def mask(batches):
-        for batch in batches:
+        for part, texts in field_rows(batches):
             out = []
-            for texts, bases, addeds in rows(
-                iter([batch.select([columns[text], "_base", "_added"])]), columns[text], "_base", "_added"
-            ):
-                for t, base, added in zip(texts, bases, addeds, strict=True):
-                    spans = [(s["start"], s["end"], s["kind"]) for s in [*base, *(added or ())]]
-                    out.append(masked(t, spans) if spans else t)
-            arrays = [pa.array(out, pa.string()) if i == text else batch.column(i) for i in range(len(columns))]
+            lists = (part.column(c).to_pylist() for c in ("base", "added"))
+            for t, base, added in zip(texts, *lists, strict=True):
+                spans = [(s["start"], s["end"], s["kind"]) for s in [*base, *(added or ())]]
+                out.append(masked(t, spans) if spans else t)
+            arrays = part.column("doc").flatten()
+            arrays[text] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
     clean = find(docs).mapInArrow(mask, docs.schema)
     if "n_chars" in columns:
         kind = docs.schema["n_chars"].dataType
-        clean = clean.withColumn("n_chars", F.length("text").cast(kind)).select(*columns)
+        clean = clean.withColumn("n_chars", F.length("text").cast(kind))
     return clean

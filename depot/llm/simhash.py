@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depot.llm.texts import hashes, lower_words, rows, window_hashes
+from depot.llm.texts import field_rows, hashes, lower_words, rows, whole, window_hashes
 from depot.operators.durable import materialize
 
 #: Fingerprints of a tile, at most about.
@@ -383,42 +383,38 @@ def one_of_each(
     what such links connect. Of rows with equal ids and texts one stays. Null ids stay only
     where a group has no other. Texts without words are copies of each other.
     """
-    text = docs.columns.index("text")
-    schema = docs.select("*", *[F.lit(None).cast(t).alias(c) for c, t in _EXTRA]).schema
+    rows_ = whole(docs)
+    extra = (("cls", "long"), ("fp", "long"), ("size", "long"), ("sketch", "binary"))
+    schema = rows_.select("*", *[F.lit(None).cast(t).alias(c) for c, t in extra]).schema
 
     def measure(batches):
-        for batch in batches:
-            extra: list[tuple] = []
-            for (texts,) in rows(iter([pa.RecordBatch.from_arrays([batch.column(text)], ["t"])]), "t"):
-                for t in texts:
-                    words = lower_words(t)
-                    fp, (size, sk) = fingerprint(words, shingle), sketch(words)
-                    cls = xxhash.xxh64_intdigest(sk + size.to_bytes(8, "little") + fp.to_bytes(8, "little"))
-                    extra.append((cls - (1 << 63), fp - (1 << 64) if fp >> 63 else fp, size, sk))
-            columns = list(zip(*extra, strict=True)) or [[], [], [], []]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=schema.names)
-
-    measured = docs.mapInArrow(measure, schema).withColumn("_row", F.monotonically_increasing_id())
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        for part, texts in field_rows(batches):
+            found = []
+            for t in texts:
+                words = lower_words(t)
+                fp, (size, sk) = fingerprint(words, shingle), sketch(words)
+                cls = xxhash.xxh64_intdigest(sk + size.to_bytes(8, "little") + fp.to_bytes(8, "little"))
+                found.append((cls - (1 << 63), fp - (1 << 64) if fp >> 63 else fp, size, sk))
+            arrays = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc"), *arrays], names=schema.names)
+
+    measured = rows_.mapInArrow(measure, schema).withColumn("row", F.monotonically_increasing_id())
     measured = materialize(measured, "near-copies")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    doc_id = F.col("doc.doc_id")
+    first = F.min(F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), "row"))
     classes = materialize(
-        measured.groupBy("_cls").agg(
-            first.alias("first"), *[F.first(f"_{c}").alias(c) for c in ("fp", "size", "sketch")]
+        measured.groupBy("cls").agg(
+            first.alias("first"), *[F.first(c).alias(c) for c in ("fp", "size", "sketch")]
         ),
         "copy-classes",
     )
-    narrow = classes.select(F.col("_cls").alias("cls"), "fp", "size", "sketch")
-    rooted = components(copy_links(narrow, radius, similarity))
+    rooted = components(copy_links(classes.drop("first"), radius, similarity))
     chosen = (
-        classes.select("_cls", "first")
-        .join(rooted, classes["_cls"] == rooted.node, "left")
-        .groupBy(F.coalesce("root", "_cls").alias("root"))
+        classes.select("cls", "first")
+        .join(rooted, F.col("cls") == F.col("node"), "left")
+        .groupBy(F.coalesce("root", "cls").alias("group"))
         .agg(F.min("first").alias("first"))
-        .select(F.col("first._row").alias("_row"))
+        .select(F.col("first.row").alias("row"))
     )
-    return measured.join(chosen, "_row", "left_semi").select(*docs.columns)
-
-
-_EXTRA = (("_cls", "long"), ("_fp", "long"), ("_size", "long"), ("_sketch", "binary"))
+    return measured.join(chosen, "row", "left_semi").select("doc.*")

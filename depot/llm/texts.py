@@ -8,7 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Documents handed to the loop of an operator at a time, inside one Arrow batch.
 SLICE = 256
@@ -29,6 +32,19 @@ def rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
             yield tuple(part.column(c).to_pylist() for c in columns)
 
 
+def field_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of batches of whole rows (column `doc`), each with its texts."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            part = batch.slice(start, SLICE)
+            yield part, pa.compute.struct_field(part.column("doc"), "text").to_pylist()
+
+
+def whole(docs: DataFrame) -> DataFrame:
+    """Rows as one column `doc`, so that columns put beside it cannot clash with theirs."""
+    return docs.select(F.struct("*").alias("doc"))
+
+
 def space_words(text: str | None) -> list[bytes]:
     """Words of `[^\\x20\\x09-\\x0D]+` as UTF-8; bytes split on just these six characters."""
     return (text or "").encode().split()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depot.llm.texts import rows
+from depot.llm.texts import field_rows, rows, whole
 from depot.operators.durable import materialize
 
 #: Labelled training documents the lexicon and the curve are fitted on, at most; those with
@@ -148,7 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: list[int], folds: int) -> tup
     """Weights of terms, exception phrases and the curve, from labelled training documents.
 
     What the driver takes is bounded by SAMPLE, TERMS and PHRASES. Without toxic or without
-    harmless rows the lexicon is empty and every score is the share of toxic rows.
+    harmless rows the lexicon is empty and every score about the share of toxic rows; without
+    any labelled rows it is 0.
     """
     sample = _sample(docs, labels, train, folds)
     sizes = {bool(r.toxic): r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -214,27 +215,26 @@ def fit(docs: DataFrame, labels: DataFrame, train: list[int], folds: int) -> tup
     seen = sample.select("text", F.col("toxic").cast("int").alias("toxic"))
     found = seen.mapInArrow(features, "x array<double>, y int").collect()  # SAMPLE rows at most
     x = np.array([r.x for r in found], float).reshape(-1, 5)
-    theta = _curve(x, np.array([r.y > 0 for r in found], float))
+    theta = _curve(x, np.array([r.y > 0 for r in found], float)) if found else np.array([-30.0] + [0.0] * 4)
     return weights, exceptions, theta.tolist()
 
 
 def score(docs: DataFrame, fitted: tuple[dict, list, list]) -> DataFrame:
-    """All columns of the documents and `toxicity`, 0 to 1; null texts count as empty."""
+    """The rows as `doc` and their `toxicity`, 0 to 1; null texts count as empty."""
     held = docs.sparkSession.sparkContext.broadcast(fitted)
-    text = docs.columns.index("text")
+    docs = whole(docs)
     schema = docs.withColumn("toxicity", F.lit(0.0)).schema
 
     def run(batches):
         weights, exceptions, theta = held.value
         lexicon = Lexicon(weights, exceptions)
-        for batch in batches:
+        for part, texts in field_rows(batches):
             scores = []
-            for (texts,) in rows(iter([pa.RecordBatch.from_arrays([batch.column(text)], ["t"])]), "t"):
-                for t in texts:
-                    z = sum(a * b for a, b in zip(lexicon.features(folded_words(t)), theta, strict=True))
-                    scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+            for t in texts:
+                z = sum(a * b for a, b in zip(lexicon.features(folded_words(t)), theta, strict=True))
+                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(scores, pa.float64())], names=[f.name for f in schema]
+                [part.column("doc"), pa.array(scores, pa.float64())], names=schema.names
             )
 
     return docs.mapInArrow(run, schema)
@@ -247,9 +247,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     are held out. Null labels are ignored; of several labels of a document the highest counts.
     """
     fitted = fit(docs, labels, list(range(1, folds)), folds)
-    held_out = F.crc32(F.col("doc_id").cast("string")) % folds == 0
+    held_out = F.crc32(F.col("doc.doc_id").cast("string")) % folds == 0
     return score(docs.select("doc_id", "text"), fitted).select(
-        "doc_id",
+        "doc.doc_id",
         F.coalesce(held_out, F.lit(True)).alias("held_out"),
         F.col("toxicity").alias("score"),
         (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
