@@ -28,7 +28,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     tasks_find_package(spark)
     fitted = fit(docs, labels, list(range(1, FOLDS)), FOLDS)
-    return score(docs, fitted).where(F.col("toxicity") < 0.5).drop("toxicity")
+    return score(docs, fitted).where(F.col("toxicity") < 0.5).select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
