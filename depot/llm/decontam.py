@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depot.llm.texts import plain_words, rows
+from depot.llm.texts import field_rows, plain_words, rows, whole
 
 #: Words of a block.
 BLOCK = 2
@@ -177,20 +177,16 @@ def decontaminate(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, patterns: int = PATTERNS
 ) -> DataFrame:
     """The documents in which no benchmark window occurs, with all their columns."""
-    columns = docs.columns
-    text = columns.index("text")
 
     def step(kept: DataFrame, held) -> DataFrame:
         def scan(batches):
-            for batch in batches:
-                clean = []
-                for (texts,) in rows(iter([pa.RecordBatch.from_arrays([batch.column(text)], ["t"])]), "t"):
-                    clean += [not _occurs(plain_words(t), held.value) for t in texts]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+            for part, texts in field_rows(batches):
+                clean = [not _occurs(plain_words(t), held.value) for t in texts]
+                yield part.filter(pa.array(clean, pa.bool_()))
 
         return kept.mapInArrow(scan, kept.schema)
 
-    return _through(docs, benchmark, window, patterns, step)
+    return _through(whole(docs), benchmark, window, patterns, step).select("doc.*")
 
 
 def _occurs(words: list[bytes], searches: list[WuManber]) -> bool:

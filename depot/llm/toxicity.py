@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: list[int], folds: int) -> tup
     best = (
         _counts(sample, all_terms)
         .select("term", "bad", weight.alias("weight"), signal.alias("signal"))
-        .where("bad >= 4 and weight >= 1.5 and signal >= 3")
+        .where("bad >= 4 and weight >= 0.7 and signal >= 3")
         .orderBy(F.desc("signal"), "term")
         .limit(TERMS)
     )
@@ -200,6 +200,13 @@ def fit(docs: DataFrame, labels: DataFrame, train: list[int], folds: int) -> tup
     )
     exceptions = [r.term for r in harmless.collect() if r.term not in weights]
     weights = {t: w for t, w in weights.items() if t not in set(exceptions)}
+    # what a term is worth where it is the longest match and no exception takes it
+    lexicon = Lexicon(weights, exceptions)
+    matched = _counts(
+        sample, lambda text: {t for *_, t in lexicon.matches(marked(folded_words(text))) if t in weights}
+    )
+    weighed = matched.where(weight >= 1.0).select("term", weight.alias("weight"))
+    weights = {r.term: float(r.weight) for r in weighed.collect()}
     lexicon = Lexicon(weights, exceptions)
 
     def features(batches):
