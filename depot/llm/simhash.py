@@ -256,7 +256,7 @@ SLOTS = 256
 #: Words of a shingle of near copies, and the share of common shingles from which they are.
 COPY_SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints of texts that are this similar differ in no more bits (see README).
-COPY_RADIUS = 12
+COPY_RADIUS = 16
 #: Pairs whose sketches are compared at a time.
 CHECKED = 50_000
 
