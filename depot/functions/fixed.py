@@ -8,8 +8,8 @@ different value would give different answers, so they are stated as they are.
 # any text is kept as "extra". [0-9] because Java and Python disagree on \d.
 VERSION_PATTERN = r"^([0-9]+)(?:\.([0-9]+)(?:\.([0-9]+)(?:\.(.+))?)?)?"
 
-# A digit starts a version, unless one of the three parts is too long for a bigint.
-VERSION_START_PATTERN = r"^(?!(?:[0-9]+\.){0,2}[0-9]{19})[0-9]"
+# A digit starts a version.
+VERSION_START_PATTERN = r"^[0-9]"
 
 # Characters that end a line besides the newline ("\r\n" is one end), and blanks trimmed
 # from the ends of a line besides the space.

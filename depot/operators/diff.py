@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 ONLY_LEFT, ONLY_RIGHT, CHANGED = "only_left", "only_right", "changed"
 
@@ -123,21 +124,26 @@ def diff_chain(
     order: Sequence[str] = (),
     within: Sequence[str] = (),
 ) -> DataFrame:
-    """Diff of every snapshot against the next one (``snapshot`` + 1) in one pass.
+    """Diff of every snapshot against the next one there is, in one pass.
 
-    Every row is the left side of its own pair and the right side of the one before;
-    pairs without a left or right snapshot are dropped.
+    Ids may have gaps: the snapshot before comes from the distinct ids, a row each. Every
+    row is the left side of its own pair and the right side of the one before; the first
+    and the last snapshot have one side only.
     """
     cols = list(dict.fromkeys([*keys, *order, value]))
-    paired = df.select(
-        *cols,
-        F.explode(
-            F.array(
-                F.struct(F.col(snapshot).alias("_pair"), F.lit(0).alias("_side")),
-                F.struct((F.col(snapshot) - 1).alias("_pair"), F.lit(1).alias("_side")),
-            )
-        ).alias("_role"),
-    ).select(*cols, F.col("_role._pair").alias("_pair"), F.col("_role._side").alias("_side"))
+    ids = df.select(F.col(snapshot).alias("_id")).distinct()
+    # ids are as few as snapshots; all rows of one id stay together in this window
+    before = ids.select("_id", F.lag("_id").over(Window.orderBy("_id")).alias("_before"))
+    sides = F.array(
+        F.struct(F.col(snapshot).alias("_pair"), F.lit(0).alias("_side")),
+        F.struct(F.col("_before").alias("_pair"), F.lit(1).alias("_side")),
+    )
+    paired = (
+        df.join(before, F.col(snapshot) == F.col("_id"))
+        .select(*cols, F.explode(sides).alias("_role"))
+        .select(*cols, "_role._pair", "_role._side")
+        .where(F.col("_pair").isNotNull())
+    )
     result = _changes(_sides(paired, ["_pair", *keys], value, order), ["_pair", *keys])
     both = (
         paired.groupBy("_pair", *within)

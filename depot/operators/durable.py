@@ -1,25 +1,22 @@
 """Shared durable storage for cut lineage and job state."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``.
+    """Folder named by ``spark.checkpoint.dir``, or by ``spark.depot.shared.dir``.
 
-    A temporary folder stands in only when the session is local; on a cluster an unset
-    folder is an error, since executors could not see a machine-local one.
+    The second can be set in a running session. Without either this is an error whatever
+    the master is, since a folder chosen here might be one that executors cannot see.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="depot-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    for key in ("spark.checkpoint.dir", "spark.depot.shared.dir"):
+        if folder := spark.conf.get(key, None):
+            return folder.rstrip("/")
+    raise ValueError(
+        "set spark.checkpoint.dir or spark.depot.shared.dir to a folder all executors share"
+    )
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
@@ -37,7 +34,9 @@ def small_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFra
     def literal(v) -> str:
         if isinstance(v, (list, tuple)):
             return "array(" + ", ".join(literal(x) for x in v) + ")"
-        return "'" + v + "'" if isinstance(v, str) else str(v)
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return str(v)
 
     values = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depot.functions import fixed
-from depot.functions.versions import _col, parse_version
+from depot.functions.versions import _col, parse_version, part_text
 
 
 def align_layers(
@@ -37,7 +37,7 @@ def _distinct_parts(layers: Sequence[str], part: str) -> Column:
     """Distinct version parts over the layers; text that is no version stands for itself."""
 
     def one(name: str) -> Column:
-        number = parse_version(name).getField(part).cast("string")
+        number = part_text(parse_version(name), part)
         return F.coalesce(number, F.col(name))
 
     return F.size(F.array_distinct(F.array_compact(F.array(*[one(n) for n in layers]))))

@@ -75,12 +75,16 @@ def budget_prefix(df: DataFrame, order: Sequence[str], size: str, budget: int) -
     """Rows in ``order`` up to the first one that would exceed ``budget`` bytes.
 
     The prefix ends at the first overflow even if later rows would fit; exactly the
-    budget is kept. Sizes must not be negative and ``order`` must be unique. Parts
-    before the one where the sum crosses are taken whole, later ones not read; only
-    the crossing part is ordered.
+    budget is kept. Sizes must be there and not negative, else this is an error, and
+    ``order`` must be unique. Parts before the one where the sum crosses are taken whole,
+    later ones not read; only the crossing part is ordered.
     """
     ranged = _ranged(df, order, "budget")
-    sums = ranged.groupBy("_part").agg(F.sum(size).alias("_sum")).collect()  # one row per part
+    bad = F.count_if(F.col(size).isNull() | (F.col(size) < 0))
+    sums = ranged.groupBy("_part").agg(F.sum(size).alias("_sum"), bad.alias("_bad"))
+    sums = sums.collect()  # one row per part
+    if any(row["_bad"] for row in sums):
+        raise ValueError(f"{sum(row['_bad'] for row in sums)} rows have no usable {size}")
     total, edge, offset = 0, None, 0
     for row in sorted(sums, key=lambda r: r["_part"]):
         if total + (row["_sum"] or 0) > budget:

@@ -63,9 +63,12 @@ FROM lineitem GROUP BY l_orderkey
 
 
 def snapshot_chain_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """Every ship year against the next: what each supplier's parts changed to."""
+    """Every ship year against the next: what each supplier's parts changed to.
+
+    Years are squared to ids, so that between two snapshots there are always gaps.
+    """
     rows = table(spark, sf, "lineitem").select(
-        F.year("l_shipdate").alias("snapshot"),
+        (F.year("l_shipdate") * F.year("l_shipdate")).alias("snapshot"),
         "l_suppkey",
         "l_partkey",
         "l_shipdate",
@@ -93,7 +96,7 @@ common AS (SELECT a.y, a.l_suppkey FROM e a JOIN e b ON b.y = a.y + 1 AND a.l_su
 a AS (SELECT r.* FROM r JOIN common USING (y, l_suppkey)),
 b AS (SELECT r.y - 1 AS y, r.l_suppkey, r.l_partkey, r.v
       FROM r JOIN common c ON c.y = r.y - 1 AND c.l_suppkey = r.l_suppkey)
-SELECT coalesce(a.y, b.y) AS snapshot, coalesce(a.l_suppkey, b.l_suppkey) AS l_suppkey,
+SELECT coalesce(a.y, b.y) * coalesce(a.y, b.y) AS snapshot, coalesce(a.l_suppkey, b.l_suppkey) AS l_suppkey,
        coalesce(a.l_partkey, b.l_partkey) AS l_partkey,
        CASE WHEN b.y IS NULL THEN 'only_left' WHEN a.y IS NULL THEN 'only_right'
             ELSE 'changed' END AS status,

@@ -45,6 +45,26 @@ def key(url):
     return hashlib.sha256(url.encode()).hexdigest()
 
 
+@pytest.mark.parametrize("parts", ["1", "4", "16"])
+def test_budget_needs_sizes_and_ignores_parts(spark, rows, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        sized = spark.range(40).selectExpr("id", "(id * 7) % 13 AS n")
+        want, run = [], 0
+        for r in sized.orderBy("id").collect():
+            run += r.n
+            if run > 120:
+                break
+            want.append((r.id,))
+        assert rows(budget_prefix(sized, ["id"], "n", 120), "id") == sorted(want, key=repr)
+        for bad in ("IF(id = 39, NULL, n)", "IF(id = 3, -1, n)"):
+            with pytest.raises(ValueError, match="1 rows have no usable n"):
+                budget_prefix(sized.selectExpr("id", f"{bad} AS n"), ["id"], "n", 120)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_budget_stops_at_first_overflow(spark, rows):
     feed = spark.createDataFrame([(0, "a", 40, ""), (1, "b", 30, ""), (2, "c", 50, ""), (3, "d", 1, "")], FEED)
     # d would still fit, but the prefix has ended

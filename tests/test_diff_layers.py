@@ -82,8 +82,8 @@ def test_chain_equals_pairwise(spark, rows):
     df = spark.createDataFrame(data, "snapshot int, env string, package string, raw_version string")
     chain = diff_chain(df, "snapshot", ["env", "package"], "raw_version", within=["env"])
     want = []
-    for s in (1, 2):
-        a, b = df.where(f"snapshot = {s}"), df.where(f"snapshot = {s + 1}")
+    for s, after in ((1, 2), (2, 3), (3, 5)):
+        a, b = df.where(f"snapshot = {s}"), df.where(f"snapshot = {after}")
         want += [(s, *r) for r in rows(diff_snapshots(a, b, ["env", "package"], "raw_version", within=["env"]))]
     assert rows(chain, "snapshot", "env", "package", "status", "left_value", "right_value") == sorted(want, key=repr)
 
@@ -170,3 +170,15 @@ def test_version_orders(spark, rows):
     assert rows(latest_per_key(df, ["k"], "v")) == [("3.10", "3.10.1"), ("3.9", "3.9.22"), ("x", None)]
     assert [r.v for r in order_by_version(df, "v", "k").collect()] == ["3.10.1", "3.9.22", "3.9.3", "bad"]
     assert [r.v for r in distinct_versions(df.union(df), "v").collect()] == ["3.9.3", "3.9.22", "3.10.1", "bad"]
+
+
+def test_chain_over_gaps(spark, rows):
+    df = spark.createDataFrame(
+        [(14, "e", "a", "1"), (16, "e", "a", "2"), (17, "e", "a", "2"), (17, "e", "b", "1"), (90, "f", "a", "9")],
+        "snapshot int, env string, package string, raw_version string",
+    )
+    chain = diff_chain(df, "snapshot", ["env", "package"], "raw_version")
+    assert rows(chain, "snapshot", "package", "status") == sorted(
+        [(14, "a", "changed"), (16, "b", "only_right"), (17, "a", "only_left"), (17, "b", "only_left"),
+         (17, "a", "only_right")], key=repr,
+    )

@@ -33,12 +33,23 @@ def one(spark, column, **values):
     ],
 )
 def test_version_parts(spark, text, parts):
-    assert tuple(one(spark, X.parse_version("v"), v=text)) == (*parts, text)
+    got = one(spark, X.parse_version("v"), v=text)
+    assert (got.major, got.minor, got.patch, got.extra, got.repr) == (*parts, text)
+    assert not got.major_long and not got.minor_long and not got.patch_long
 
 
-@pytest.mark.parametrize(
-    "text", ["v1.2", "=1.0", "https://x", "", " 1", None, "12345678901234567890.1", "1.2.99999999999999999999"]
-)
+def test_versions_of_any_length_order(spark):
+    texts = ["9223372036854775806", "9223372036854775807", "9223372036854775808", "10000000000000000000",
+             "2.20240101000000000001", "2.20240101000000000002", "2.00000000000000000000003",
+             "3.1.123456789012345678901234567890", "3.1.99999999999999999999", "3.2"]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    got = [r.v for r in df.orderBy(X.parse_version("v")).collect()]
+    want = sorted(texts, key=lambda t: [int(p) for p in (t + ".0.0").split(".")[:3]])
+    assert got == want
+    assert one(spark, X.major_minor(X.parse_version("v")), v=texts[4]) == texts[4]
+
+
+@pytest.mark.parametrize("text", ["v1.2", "=1.0", "https://x", "", " 1", None])
 def test_not_a_version(spark, text):
     assert one(spark, X.parse_version("v"), v=text) is None
 
