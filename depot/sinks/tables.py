@@ -66,9 +66,13 @@ def write_requirements(df: DataFrame, path: str, keys: Sequence[str] = ("env",))
     ordered.write.mode("errorifexists").partitionBy(*keys).text(path)
 
 
+#: A commit names the version, the stream run and batch it comes from, and how far it got.
+COMMITS = "version bigint, run string, batch bigint, mark string"
+
+
 def latest_version(spark: SparkSession, root: str, before: int | None = None) -> int | None:
     """Newest committed version of a state table, optionally below ``before``."""
-    commits = _read_or_none(spark, f"{root}/commits", "version bigint")
+    commits = _read_or_none(spark, f"{root}/commits", COMMITS)
     if commits is None:
         return None
     if before is not None:
@@ -76,22 +80,36 @@ def latest_version(spark: SparkSession, root: str, before: int | None = None) ->
     return commits.agg(F.max("version").alias("v")).first()["v"]
 
 
-def is_committed(spark: SparkSession, root: str, version: int) -> bool:
-    commits = _read_or_none(spark, f"{root}/commits", "version bigint")
-    return commits is not None and not commits.where(F.col("version") == version).isEmpty()
+def is_committed(spark: SparkSession, root: str, run: str, batch: int) -> bool:
+    """Whether this batch of this stream run is in. Batch ids alone start again with every checkpoint."""
+    commits = _read_or_none(spark, f"{root}/commits", COMMITS)
+    if commits is None:
+        return False
+    return not commits.where((F.col("run") == run) & (F.col("batch") == batch)).isEmpty()
+
 
+def latest_mark(spark: SparkSession, root: str) -> str | None:
+    """How far the newest version got, in the writer's own terms."""
+    commits = _read_or_none(spark, f"{root}/commits", COMMITS)
+    return None if commits is None else commits.agg(F.max_by("mark", "version").alias("m")).first()["m"]
 
-def read_version(
-    spark: SparkSession, root: str, schema: str, before: int | None = None
-) -> DataFrame:
+
+def read_version(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """Rows of the newest committed version; no state yet is an empty table."""
-    version = latest_version(spark, root, before)
+    version = latest_version(spark, root)
     if version is None:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{root}/data/version={version}")
 
 
-def write_version(df: DataFrame, root: str, version: int) -> None:
+def next_version(spark: SparkSession, root: str) -> int:
+    last = latest_version(spark, root)
+    return 0 if last is None else last + 1
+
+
+def write_version(
+    df: DataFrame, root: str, version: int, run: str = "", batch: int | None = None, mark: str | None = None
+) -> None:
     """Write a version beside the others, then record it as committed.
 
     Readers follow the commit record, so they see the old version until the new one is
@@ -99,9 +117,8 @@ def write_version(df: DataFrame, root: str, version: int) -> None:
     """
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{root}/data/version={version}")
-    spark.range(version, version + 1, 1, 1).select(F.col("id").alias("version")).write.mode(
-        "append"
-    ).parquet(f"{root}/commits")
+    commit = spark.createDataFrame([(version, run, batch, mark)], COMMITS)
+    commit.coalesce(1).write.mode("append").parquet(f"{root}/commits")
 
 
 def read_cache_state(spark: SparkSession, root: str) -> DataFrame:
@@ -110,5 +127,4 @@ def read_cache_state(spark: SparkSession, root: str) -> DataFrame:
 
 def write_cache_state(df: DataFrame, root: str) -> None:
     """Replace the cache state, failed downloads included: they are retried next time."""
-    last = latest_version(df.sparkSession, root)
-    write_version(df, root, 0 if last is None else last + 1)
+    write_version(df, root, next_version(df.sparkSession, root))

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from depot.functions import fixed
 from depot.functions.urls import normalize_url
 from depot.operators.ranking import top_k_per_group
+from depot.streaming.runs import stream_run
 
 
 def demand(
@@ -73,13 +74,15 @@ def append_batches(
     transform: Callable[[DataFrame], DataFrame] = lambda df: df,
     mode: str = "append",
 ) -> StreamingQuery:
-    """Run a stream over what is available, one folder per micro-batch.
+    """Run a stream over what is available, one folder per stream run and micro-batch.
 
-    A batch that is replayed overwrites its own folder, so results count once.
+    A batch that is replayed overwrites its own folder, so results count once; a stream
+    with a new checkpoint writes beside what is there.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        run = stream_run(batch.sparkSession)
+        transform(batch).write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch_id}")
 
     return (
         stream.writeStream.outputMode(mode)

@@ -8,7 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from depot.operators.cache import STATE_SCHEMA
 from depot.plans.sync import plan_cache
-from depot.sinks.tables import is_committed, read_version, write_version
+from depot.sinks.tables import is_committed, latest_mark, next_version, read_version, write_version
+from depot.streaming.runs import stream_run
 
 
 def sync_batch(
@@ -17,25 +18,34 @@ def sync_batch(
     root: str,
     budget: int,
     listing: Callable[[], DataFrame] | None = None,
+    run: str | None = None,
 ) -> None:
     """One sync run: plan against the state before this batch, store plan and state.
 
-    ``batch`` holds feeds ``(feed_time, rank, url, size, etag)``; the newest one counts.
-    ``listing`` gives the files present, by default those of the stored state. A batch
-    that was committed before changes nothing.
+    ``batch`` holds feeds ``(feed_time, rank, url, size, etag)``; the newest one counts, and
+    only if it is newer than the feed the state was made from, so a late feed cannot roll
+    the cache back. ``listing`` gives the files present, by default those of the stored
+    state. A batch of the same ``run`` that was committed before changes nothing. Plan and
+    state have the same version number.
     """
     spark = batch.sparkSession
-    if is_committed(spark, f"{root}/state", batch_id):
+    run = run or stream_run(spark)
+    if is_committed(spark, f"{root}/state", run, batch_id):
         return
-    newest = batch.agg(F.max("feed_time").alias("t")).first()["t"]
-    if newest is None:  # nothing arrived: an empty feed must not empty the cache
+    mark = latest_mark(spark, f"{root}/state")
+    if mark is not None:
+        kind = batch.schema["feed_time"].dataType
+        batch = batch.where(F.col("feed_time") > F.lit(mark).cast(kind))
+    newest = batch.agg(F.max("feed_time").alias("t"), F.max("feed_time").cast("string").alias("m")).first()
+    if newest["t"] is None:  # nothing new arrived: an empty feed must not empty the cache
         return
-    feed = batch.where(F.col("feed_time") == F.lit(newest)).drop("feed_time")
-    old = read_version(spark, f"{root}/state", STATE_SCHEMA, before=batch_id)
+    feed = batch.where(F.col("feed_time") == F.lit(newest["t"])).drop("feed_time")
+    old = read_version(spark, f"{root}/state", STATE_SCHEMA)
     present = listing() if listing else old.select(F.col("hash").alias("name"), "size")
+    version = next_version(spark, f"{root}/state")
     plan, state = plan_cache(feed, old, present, budget)
-    plan.write.mode("overwrite").parquet(f"{root}/plans/batch={batch_id}")
-    write_version(state, f"{root}/state", batch_id)
+    plan.write.mode("overwrite").parquet(f"{root}/plans/version={version}")
+    write_version(state, f"{root}/state", version, run, batch_id, newest["m"])
 
 
 def stream_sync(
@@ -61,6 +71,7 @@ def latest_batch(
     keys: Sequence[str],
     order: Sequence[str],
     values: Sequence[str],
+    run: str | None = None,
 ) -> None:
     """Fold a batch into the latest row per key, marking keys whose values changed.
 
@@ -69,11 +80,12 @@ def latest_batch(
     one aggregate.
     """
     spark = batch.sparkSession
-    if is_committed(spark, f"{root}/state", batch_id):
+    run = run or stream_run(spark)
+    if is_committed(spark, f"{root}/state", run, batch_id):
         return
     cols = [*keys, *order, *values]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in batch.select(*cols).schema)
-    old = read_version(spark, f"{root}/state", schema, before=batch_id)
+    old = read_version(spark, f"{root}/state", schema)
     ranked = F.struct(*order, *values)
     none = F.lit(None).cast(batch.select(ranked.alias("r")).schema["r"].dataType)
     folded = (
@@ -92,12 +104,12 @@ def latest_batch(
         (newer & (F.col("_o").isNull() | ~same)).alias("changed"),
     )
     state = kept.select(*keys, *[F.col("_w").getField(c).alias(c) for c in [*order, *values]], "changed")
-    write_version(state, f"{root}/state", batch_id)
+    write_version(state, f"{root}/state", next_version(spark, f"{root}/state"), run, batch_id)
 
 
-def changes(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
-    """Keys that batch ``batch_id`` of :func:`stream_latest` changed."""
-    return spark.read.parquet(f"{root}/state/data/version={batch_id}").where("changed").drop("changed")
+def changes(spark: SparkSession, root: str, version: int) -> DataFrame:
+    """Keys that version ``version`` of :func:`stream_latest` changed."""
+    return spark.read.parquet(f"{root}/state/data/version={version}").where("changed").drop("changed")
 
 
 def stream_latest(

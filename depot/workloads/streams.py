@@ -38,7 +38,7 @@ def stream_demand_query(spark: SparkSession, sf: str) -> DataFrame:
     rows = demand(_event_stream(spark, sf), "1 day", "1 day")
     stream_demand(rows, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return _local_time(
-        spark.read.parquet(f"{root}/out").drop("batch"), "window_start", "window_end"
+        spark.read.parquet(f"{root}/out").drop("run", "batch"), "window_start", "window_end"
     )
 
 
@@ -55,7 +55,7 @@ def stream_top_k_query(spark: SparkSession, sf: str) -> DataFrame:
     root = run_dir(spark, "stream-top-k")
     rows = demand(_event_stream(spark, sf), "12 hours", "1 day")
     stream_top_k(rows, 3, f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return _local_time(spark.read.parquet(f"{root}/out").drop("batch"), "window_start")
+    return _local_time(spark.read.parquet(f"{root}/out").drop("run", "batch"), "window_start")
 
 
 STREAM_TOP_K = """
@@ -89,7 +89,7 @@ def stream_sync_query(spark: SparkSession, sf: str) -> DataFrame:
         feed.write.mode("append").parquet(f"{root}/feeds")
         arriving = spark.readStream.schema(feed.schema).parquet(f"{root}/feeds")
         stream_sync(arriving, root, budget, f"{root}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{root}/plans/batch=1")
+    return spark.read.parquet(f"{root}/plans/version=1")
 
 
 STREAM_SYNC = f"""

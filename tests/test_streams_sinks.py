@@ -67,7 +67,7 @@ def test_top_k_stream_equals_batch(spark, tmp_path, rows):
         "event_time", F.col("t").cast("timestamp")
     )
     want = window_top_k(demand(batch, "1 hour", None), 2)
-    got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
+    got = spark.read.parquet(str(tmp_path / "out")).drop("run", "batch")
     assert rows(got, "window_start", "url", "requests", "bytes", "rank") == rows(
         want, "window_start", "url", "requests", "bytes", "rank"
     )
@@ -87,7 +87,7 @@ def test_sync_stream_over_feeds_and_replay(spark, tmp_path, rows):
         stream_sync(spark.readStream.schema(FEED).parquet(f"{root}/feeds"), root, 25, f"{root}/cp").awaitTermination()
 
     def plan(i):
-        return rows(spark.read.parquet(f"{root}/plans/batch={i}"), "action", "bytes_downloaded")
+        return rows(spark.read.parquet(f"{root}/plans/version={i}"), "action", "bytes_downloaded")
 
     arrive((1, 0, "a", 10, "e"), (1, 1, "b", 10, "e"), (1, 2, "c", 10, "e"))
     assert plan(0) == [("download", 10), ("download", 10)]
@@ -97,10 +97,19 @@ def test_sync_stream_over_feeds_and_replay(spark, tmp_path, rows):
     state = rows(read_cache_state(spark, f"{root}/state"))
     # the same batch again changes nothing
     again = spark.createDataFrame([(9, 0, "q", 1, "e")], FEED)
-    sync_batch(again, 1, root, 25)
+    run = spark.read.parquet(f"{root}/state/commits").where("version = 1").first().run
+    sync_batch(again, 1, root, 25, run=run)
     assert rows(read_cache_state(spark, f"{root}/state")) == state and plan(1) == [("keep", 0), ("replace", 10)]
-    sync_batch(again.limit(0), 2, root, 25)
+    sync_batch(again.limit(0), 2, root, 25, run=run)
+    # a late feed does not roll the cache back
+    arrive((2, 0, "late", 1, "e"))
     assert rows(read_cache_state(spark, f"{root}/state")) == state
+    # with a new checkpoint batch ids start again: what is old stays out, what is new comes in
+    spark.createDataFrame([(7, 0, "new", 5, "e")], FEED).write.mode("append").parquet(f"{root}/feeds")
+    stream_sync(spark.readStream.schema(FEED).parquet(f"{root}/feeds"), root, 25, f"{root}/cp2").awaitTermination()
+    assert rows(read_cache_state(spark, f"{root}/state"), "url", "size") == [("new", 5)]
+    with pytest.raises(ValueError, match="which run"):
+        sync_batch(again, 0, root, 25)
 
 
 def test_latest_stream_emits_changes_only(spark, tmp_path, rows):
@@ -120,8 +129,13 @@ def test_latest_stream_emits_changes_only(spark, tmp_path, rows):
     assert rows(changes(spark, root, 2)) == [("b", 5, "w")]
     before = rows(spark.read.parquet(f"{root}/state/data/version=2"))
     assert [r[:3] for r in before] == [("a", 3, "y"), ("b", 5, "w"), ("c", 1, "z")]
-    latest_batch(spark.createDataFrame([("a", 9, "q")], schema), 2, root, ["k"], ["n"], ["v"])
+    run = spark.read.parquet(f"{root}/state/commits").first().run
+    late = spark.createDataFrame([("a", 9, "q")], schema)
+    latest_batch(late, 2, root, ["k"], ["n"], ["v"], run)
     assert rows(spark.read.parquet(f"{root}/state/data/version=2")) == before
+    # another run has batches of the same numbers
+    latest_batch(late, 2, root, ["k"], ["n"], ["v"], "another")
+    assert rows(changes(spark, root, 3)) == [("a", 9, "q")]
 
 
 def test_pins_are_immutable(spark, tmp_path):
