@@ -304,3 +304,11 @@ def test_url_keys():
     assert warc.url_key("HTTP://www.Shop.example.com:8080/A?q=1#x") == "com,example,shop:8080)/a?q=1"
     assert warc.url_key("https://example.org") == "org,example)/"
     assert warc.url_key(None) == ")/" and warc.url_key("http://[bad") == "http://[bad"
+
+
+def test_one_of_each_over_many_tiles(spark, monkeypatch):
+    for name, value in (("TILE", 8), ("BLOCK", 3), ("CHECKED", 5)):
+        monkeypatch.setattr(simhash, name, value)
+    test_one_of_each_keeps_what_is_different(spark)
+    monkeypatch.setattr(simhash, "MOST_IN_TILE", 6)
+    test_one_of_each_keeps_what_is_different(spark)
