@@ -339,44 +339,22 @@ def pending(desired: DataFrame, markers: DataFrame, keys: Sequence[str]) -> Data
     return missing(desired, markers.where(F.col("done")), keys)
 
 
-def matrix_summary(
-    defs: DataFrame, envs: DataFrame, rules: DataFrame, env_chunk: int = 10_000
-) -> DataFrame:
-    """The version matrix document of every snapshot.
+def matrix_summary(defs: DataFrame, rules: DataFrame) -> DataFrame:
+    """The head of the version matrix document: one row a snapshot, without its environments.
 
-    ``venvs`` is cut into ``parts`` of at most about ``env_chunk`` environments: a snapshot
-    of usual size is one row, and a huge one never has to fit one task. The size of the
-    unfiltered product decides the number of parts, so environments are read once. The
-    other lists come from the definition row itself. Versions are in descending order,
-    CPU first.
+    Those are rows of their own (:func:`matrix_venvs`), however many there are.
     """
     torch_cudas = with_rule(
         defs.select(F.col("id").alias("snapshot"), F.explode(F.array_distinct("torch")).alias("torch")), rules
     )
+    # as many entries as the definition has torch versions
     torch_cudas = torch_cudas.groupBy("snapshot").agg(
         F.map_from_entries(
             F.collect_list(F.struct("torch", F.expr("filter(cudas, c -> c <> 'cpu')").alias("c")))
         ).alias("torch_cudas")
     )
-    product = F.size("python") * F.size("torch") * (F.size("cuda") + 1)
-    parts = F.greatest(F.ceil(product / env_chunk), F.lit(1)).cast("int")
-    # rows go to parts by hash: within a part the order is by version, descending
-    part = F.pmod(F.xxhash64("python", "torch", "cuda"), F.col("parts")).cast("int")
-    sized = defs.select(F.col("id").alias("snapshot"), parts.alias("parts"))
-    chunked = envs.join(sized, "snapshot").withColumn("part", part)
-    ordered = F.struct(
-        parse_version("python").alias("p"),
-        parse_version("torch").alias("t"),
-        (F.col("cuda") == "cpu").alias("cpu"),
-        parse_version("cuda").alias("c"),
-    )
-    item = F.struct(ordered.alias("o"), F.struct("python", "torch", "cuda").alias("v"))
-    docs = chunked.groupBy("snapshot", "part").agg(
-        F.max("parts").alias("parts"),
-        F.collect_list(item).alias("_v"),
-    )
-    venvs = F.transform(F.sort_array("_v", asc=False), lambda e: e["v"])
-    joined = (
+    none = F.create_map().cast("map<string,array<string>>")
+    return (
         defs.select(
             F.col("id").alias("snapshot"),
             F.map_keys("cuda").alias("cuda_versions"),
@@ -385,16 +363,33 @@ def matrix_summary(
             F.col("torch").alias("torch_versions"),
         )
         .join(torch_cudas, "snapshot", "left")
-        .join(docs.select("snapshot", "part", "parts", venvs.alias("venvs")), "snapshot", "left")
+        .withColumn("torch_cudas", F.coalesce("torch_cudas", none))
     )
-    # a snapshot that allows no environment still has a document
-    return joined.withColumns(
-        {
-            "part": F.coalesce("part", F.lit(0)),
-            "parts": F.coalesce("parts", F.lit(1)),
-            "venvs": F.coalesce("venvs", F.array()),
-            "torch_cudas": F.coalesce(
-                "torch_cudas", F.create_map().cast("map<string,array<string>>")
-            ),
-        }
+
+
+def matrix_venvs(defs: DataFrame, rules: DataFrame) -> DataFrame:
+    """The environments of the document: snapshot, position, python, torch, cuda.
+
+    ``position`` orders a snapshot's environments by version, newest first and CPU before
+    CUDA. It is the place in the product of the definition's own sorted lists, so it needs
+    no sort or window over the snapshot; combinations that rules forbid leave gaps.
+    """
+
+    def newest_first(values: Column) -> Column:
+        keyed = F.transform(values, lambda v: F.struct(parse_version(v).alias("v"), v.alias("t")))
+        return F.transform(F.sort_array(keyed, asc=False), lambda e: e["t"])
+
+    carried = {
+        "_ps": newest_first(F.map_keys("python")),
+        "_ts": newest_first(F.array_distinct("torch")),
+        "_cs": F.concat(F.array(F.lit("cpu")), newest_first(F.map_keys("cuda"))),
+    }
+    envs = compatible_matrix(defs.withColumns(carried), rules, carry=list(carried))
+
+    def place(values: str, value: str) -> Column:
+        return F.array_position(values, F.col(value)) - 1
+
+    position = (place("_ps", "python") * F.size("_ts") + place("_ts", "torch")) * F.size("_cs")
+    return envs.select(
+        "snapshot", (position + place("_cs", "cuda")).alias("position"), "python", "torch", "cuda"
     )

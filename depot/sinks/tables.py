@@ -34,9 +34,14 @@ def write_pins(df: DataFrame, path: str) -> None:
     df.hint("rebalance", "snapshot").write.mode("append").partitionBy("snapshot").parquet(path)
 
 
-def write_matrix(docs: DataFrame, path: str) -> None:
-    """Matrix documents as JSON, one per snapshot (or part of one)."""
-    docs.write.mode("overwrite").json(path)
+def write_matrix(heads: DataFrame, venvs: DataFrame, path: str) -> None:
+    """Matrix documents as JSON: ``heads``, one row a snapshot, and ``venvs`` in their order.
+
+    The files of ``venvs`` follow each other in the order of snapshot and position, and a
+    snapshot of any size is cut over several.
+    """
+    heads.write.mode("overwrite").json(f"{path}/heads")
+    venvs.orderBy("snapshot", "position").write.mode("overwrite").json(f"{path}/venvs")
 
 
 def marker(kind: str, attributes: dict[str, Column], at: Column | None = None) -> list[Column]:

@@ -23,6 +23,7 @@ from depot.operators.matrix import (
     long_form,
     lookup_strict,
     matrix_summary,
+    matrix_venvs,
     missing,
     pending,
     select_dims,
@@ -247,9 +248,8 @@ SELECT snapshot, env FROM envs e WHERE NOT EXISTS (
 
 
 def matrix_summary_query(spark: SparkSession, sf: str) -> DataFrame:
-    """The version matrix document of every definition, nested lists as text."""
-    defs, rules = _defs(spark, sf), torch_rules(spark)
-    docs = matrix_summary(defs, compatible_matrix(defs, rules), rules)
+    """The head of the version matrix document of every definition, nested lists as text."""
+    docs = matrix_summary(_defs(spark, sf), torch_rules(spark))
 
     def text(column: str) -> Column:
         return F.array_join(column, ",").alias(column)
@@ -260,7 +260,6 @@ def matrix_summary_query(spark: SparkSession, sf: str) -> DataFrame:
             lambda e: F.concat(e["key"], F.lit(":"), F.array_join(e["value"], "/")),
         )
     )
-    venvs = F.transform("venvs", lambda v: F.concat_ws("/", v["python"], v["torch"], v["cuda"]))
     return docs.select(
         "snapshot",
         text("cuda_versions"),
@@ -268,8 +267,6 @@ def matrix_summary_query(spark: SparkSession, sf: str) -> DataFrame:
         text("python_versions"),
         text("torch_versions"),
         F.array_join(cudas, ",").alias("torch_cudas"),
-        "part",
-        F.array_join(venvs, ",").alias("venvs"),
     )
 
 
@@ -279,17 +276,33 @@ tc AS (SELECT id, torch, array_to_string(list_filter(cudas, lambda c: c <> 'cpu'
        FROM (SELECT id, unnest(torch) AS torch FROM defs) JOIN rules
          ON version = split_part(torch, '.', 1) || '.' || split_part(torch, '.', 2)),
 tt AS (SELECT id, string_agg(torch || ':' || t, ',' ORDER BY torch || ':' || t) AS torch_cudas
-       FROM tc GROUP BY id),
-v AS (SELECT snapshot, string_agg(python || '/' || torch || '/' || cuda, ',' ORDER BY
-        split_part(python, '.', 2)::INT DESC, split_part(torch, '.', 2)::INT DESC,
-        split_part(torch, '.', 3)::INT DESC, split_part(torch, '.', 4) DESC, cuda = 'cpu' DESC,
-        CASE WHEN cuda <> 'cpu' THEN cuda::DOUBLE END DESC) AS venvs
-      FROM envs GROUP BY snapshot)
+       FROM tc GROUP BY id)
 SELECT d.id AS snapshot, array_to_string(cuda, ',') AS cuda_versions,
        array_to_string(cudnn, ',') AS cudnn_versions, array_to_string(python, ',') AS python_versions,
        array_to_string(torch, ',') AS torch_versions,
-       coalesce(torch_cudas, '') AS torch_cudas, 0 AS part, coalesce(venvs, '') AS venvs
-FROM defs d LEFT JOIN tt ON tt.id = d.id LEFT JOIN v ON v.snapshot = d.id
+       coalesce(torch_cudas, '') AS torch_cudas
+FROM defs d LEFT JOIN tt ON tt.id = d.id
+"""
+
+
+def matrix_venvs_query(spark: SparkSession, sf: str) -> DataFrame:
+    """The environments of every document with their place in its order."""
+    return matrix_venvs(_defs(spark, sf), torch_rules(spark))
+
+
+MATRIX_VENVS = f"""
+WITH {ENVS_SQL},
+p AS (SELECT id, python, row_number() OVER (PARTITION BY id ORDER BY split_part(python, '.', 2)::INT DESC) - 1 AS i
+      FROM (SELECT id, unnest(python) AS python FROM defs)),
+t AS (SELECT id, torch, n, row_number() OVER (PARTITION BY id ORDER BY split_part(torch, '.', 2)::INT DESC,
+             split_part(torch, '.', 3)::INT DESC, split_part(torch, '.', 4) DESC) - 1 AS i
+      FROM (SELECT id, unnest(torch) AS torch, len(torch) AS n FROM defs)),
+c AS (SELECT id, cuda, n, row_number() OVER (PARTITION BY id ORDER BY cuda = 'cpu' DESC,
+             CASE WHEN cuda <> 'cpu' THEN cuda::DOUBLE END DESC) - 1 AS i
+      FROM (SELECT id, unnest(['cpu'] || cuda) AS cuda, len(cuda) + 1 AS n FROM defs))
+SELECT snapshot, ((p.i * t.n + t.i) * c.n + c.i)::BIGINT AS position, e.python, e.torch, e.cuda
+FROM envs e JOIN p ON p.id = snapshot AND p.python = e.python
+     JOIN t ON t.id = snapshot AND t.torch = e.torch JOIN c ON c.id = snapshot AND c.cuda = e.cuda
 """
 
 
@@ -444,6 +457,7 @@ QUERIES = {
     "unexpected_envs": (unexpected_envs, UNEXPECTED_ENVS),
     "pending_envs": (pending_envs_query, PENDING_ENVS),
     "matrix_summary": (matrix_summary_query, MATRIX_SUMMARY),
+    "matrix_venvs": (matrix_venvs_query, MATRIX_VENVS),
     "definition_checks": (definition_checks, DEFINITION_CHECKS),
     "definition_violations": (definition_violations, DEFINITION_VIOLATIONS),
     "env_indexes": (env_indexes, ENV_INDEXES),

@@ -12,6 +12,7 @@ from depot.operators.matrix import (
     long_form,
     lookup_strict,
     matrix_summary,
+    matrix_venvs,
     select_dims,
     torch_companions,
     torch_rules,
@@ -181,18 +182,18 @@ def test_definition_checks(spark, rows):
 
 def test_matrix_summary(spark, newest):
     rules = torch_rules(spark)
-    envs = compatible_matrix(newest, rules)
-    doc = matrix_summary(newest, envs, rules).first()
-    assert (doc.part, doc.parts, len(doc.venvs)) == (0, 1, 252)
-    assert tuple(doc.venvs[0]) == ("3.13", "2.7.1", "cpu") and tuple(doc.venvs[1]) == ("3.13", "2.7.1", "12.8")
-    assert tuple(doc.venvs[-1]) == ("3.8", "2.0.0", "11.7")
+    doc = matrix_summary(newest, rules).first()
     assert doc.torch_cudas["2.0.1"] == ["11.7", "11.8"]
     assert sorted(doc.cuda_versions) == list(NEWEST[1]) and doc.torch_versions == NEWEST[4]
-    cut = matrix_summary(newest, envs, rules, env_chunk=50).collect()
-    # 6 x 17 x 7 combinations before the rules
-    assert len(cut) == 15 and {r.parts for r in cut} == {15}
-    assert sum(len(r.venvs) for r in cut) == 252 and max(len(r.venvs) for r in cut) < 50
-    assert len({tuple(v) for r in cut for v in r.venvs}) == 252
+    venvs = matrix_venvs(newest, rules).orderBy("position").collect()
+    assert len(venvs) == len({r.position for r in venvs}) == 252
+    got = [(r.python, r.torch, r.cuda) for r in venvs]
+    assert got[:2] == [("3.13", "2.7.1", "cpu"), ("3.13", "2.7.1", "12.8")]
+    assert got[-1] == ("3.8", "2.0.0", "11.7")
+    version = lambda t: tuple(map(int, t.split(".")))
+    assert got == sorted(
+        got, key=lambda g: (version(g[0]), version(g[1]), (99,) if g[2] == "cpu" else version(g[2])), reverse=True
+    )
     unknown = spark.createDataFrame([(1, {}, {}, {"3.9": "3.9.1"}, ["1.0"], [], "t")], SNAPSHOT_SCHEMA)
-    empty = matrix_summary(unknown, compatible_matrix(unknown, rules), rules).first()
-    assert (empty.venvs, empty.torch_cudas, empty.parts) == ([], {}, 1)
+    assert matrix_summary(unknown, rules).first().torch_cudas == {}
+    assert matrix_venvs(unknown, rules).isEmpty()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from depot.operators.cache import STATE_SCHEMA
 from depot.operators.durable import materialize, shared_dir
-from depot.operators.matrix import compatible_matrix, matrix_summary, torch_rules
+from depot.operators.matrix import matrix_summary, matrix_venvs, torch_rules
 from depot.sinks.tables import (
     append_marker,
     latest_version,
@@ -165,10 +165,11 @@ def test_cache_state_versions(spark, tmp_path, rows):
 def test_matrix_document_and_requirements(spark, tmp_path):
     defs = spark.createDataFrame([(1, {"12.4": "12.4.1"}, {"9": "9.1"}, {"3.9": "3.9.1"}, ["2.6.0"], [], "t")], SNAPSHOT_SCHEMA)
     rules = torch_rules(spark)
-    write_matrix(matrix_summary(defs, compatible_matrix(defs, rules), rules), str(tmp_path / "m"))
-    doc = json.loads(spark.read.text(str(tmp_path / "m")).first().value)
+    write_matrix(matrix_summary(defs, rules), matrix_venvs(defs, rules), str(tmp_path / "m"))
+    doc = json.loads(spark.read.text(str(tmp_path / "m/heads")).first().value)
     assert doc["torch_cudas"] == {"2.6.0": ["11.8", "12.4", "12.6"]}
-    assert doc["venvs"] == [{"python": "3.9", "torch": "2.6.0", "cuda": c} for c in ("cpu", "12.4")]
+    venvs = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "m/venvs")).collect()]
+    assert [(v["python"], v["torch"], v["cuda"]) for v in venvs] == [("3.9", "2.6.0", c) for c in ("cpu", "12.4")]
     pins = spark.createDataFrame([("e", "b", "1"), ("e", "a", "https://h/a"), ("f", "c", "2")], "env string, package string, raw_version string")
     write_requirements(pins, str(tmp_path / "r"))
     assert [r.value for r in spark.read.text(str(tmp_path / "r/env=e")).collect()] == ["a @ https://h/a", "b==1"]
