@@ -72,11 +72,14 @@ def short_key(text) -> Column:
 
 
 def content_fingerprint(
-    url, size, etag, modified, hosts: Sequence[str] = tuple(fixed.PRESIGNED_HOSTS)
+    url, size, etag, modified, hosts: Sequence[str] = tuple(fixed.PRESIGNED_HOSTS), normalized: bool = False
 ) -> Column:
-    """sha256 of ``url|size|etag|modified``; a missing header counts as ``None``."""
+    """sha256 of ``url|size|etag|modified``; a missing header counts as ``None``.
+
+    ``normalized`` says that the URL is one already, so that it is not taken apart again.
+    """
     parts = [
-        normalize_url(url, hosts),
+        _col(url) if normalized else normalize_url(url, hosts),
         _col(size).cast("string"),
         _col(etag),
         _col(modified),

@@ -13,12 +13,12 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("occurrences")).where("occurrences > 1")
 
 
-def check(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """Rows checked and violated per rule, from a single pass.
+def check(df: DataFrame, rules: dict[str, Column], groups: Sequence[str] = ()) -> DataFrame:
+    """Rows checked and violated per rule (and group), from a single pass.
 
     A rule that gives null counts as violated.
     """
-    counts = df.agg(
+    counts = df.groupBy(*groups).agg(
         F.count("*").alias("_n"),
         *[
             F.count_if(~F.coalesce(ok, F.lit(False))).alias(f"_v{i}")
@@ -31,8 +31,8 @@ def check(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
             for i, name in enumerate(rules)
         ]
     )
-    return counts.select(F.explode(rows).alias("_r"), F.col("_n").alias("checked")).select(
-        "_r.rule", "checked", "_r.violations"
+    return counts.select(*groups, F.explode(rows).alias("_r"), F.col("_n").alias("checked")).select(
+        *groups, "_r.rule", "checked", "_r.violations"
     )
 
 
@@ -46,12 +46,15 @@ def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.withColumn("rule", F.explode(broken))
 
 
-def contiguous(df: DataFrame, column: str, start: int | None = None) -> DataFrame:
-    """One row that tells whether ids run without gap or repeat (from ``start``).
+def contiguous(
+    df: DataFrame, column: str, start: int | None = None, groups: Sequence[str] = ()
+) -> DataFrame:
+    """One row (for each group) that tells whether ids run without gap or repeat (from ``start``).
 
-    Counts decide it, so no row is ever numbered.
+    Counts decide it, so no row is ever numbered. Registries of several environments each
+    have ids of their own: name their column in ``groups``.
     """
-    span = df.agg(
+    span = df.groupBy(*groups).agg(
         F.count(column).alias("rows"),
         F.count_distinct(column).alias("ids"),
         F.min(column).alias("first_id"),

@@ -201,10 +201,9 @@ def _presigned(spark: SparkSession, sf: str) -> DataFrame:
 def url_normalise_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Requests per normalised URL and content fingerprint; errors lack an etag."""
     etag = F.when(F.col("event_type") != "error", F.md5(F.lit("x")))
-    rows = _presigned(spark, sf).select(
-        normalize_url("url").alias("url"),
-        content_fingerprint("url", "size", etag, F.lit(None).cast("string")).alias("fingerprint"),
-    )
+    plain = _presigned(spark, sf).withColumn("url", normalize_url("url"))
+    mark = content_fingerprint("url", "size", etag, F.lit(None).cast("string"), normalized=True)
+    rows = plain.select("url", mark.alias("fingerprint"))
     return rows.groupBy("url", "fingerprint").agg(F.count("*").alias("n"))
 
 

@@ -19,6 +19,7 @@ from depot.operators.inventory import (
 )
 from depot.operators.quality import (
     changed_sets,
+    check,
     contiguous,
     default_in_list,
     duplicates,
@@ -283,3 +284,14 @@ def test_pick_asset_modes(spark, rows):
     assert rows(pick_asset(df, ["k"], "pos", ["v"], pred, "null")) == [("k", "y"), ("l", None)]
     with pytest.raises(PySparkException, match="no matching asset for l"):
         pick_asset(df, ["k"], "pos", ["v"], pred).collect()
+
+
+def test_contiguous_per_registry(spark, rows):
+    ids = [("test", 0), ("test", 1), ("prod", 0), ("prod", 1), ("prod", 3)]
+    df = spark.createDataFrame(ids, "environment string, id int")
+    got = contiguous(df, "id", 0, ["environment"])
+    assert rows(got, "environment", "ok") == [("prod", False), ("test", True)]
+    counted = check(df, {"small": F.col("id") < 2}, ["environment"])
+    assert rows(counted, "environment", "rule", "checked", "violations") == [
+        ("prod", "small", 3, 1), ("test", "small", 2, 0),
+    ]
