@@ -5,6 +5,6 @@ from depot.workloads import caches, diffs, inventories, matrices, streams
 
 def all_queries() -> dict:
     found = {}
-    for module in (diffs, matrices, caches, inventories, streams):
+    for module in (streams, diffs, matrices, caches, inventories):
         found.update(module.QUERIES)
     return found
