@@ -144,6 +144,49 @@ def library_paths(defs: DataFrame) -> DataFrame:
     )
 
 
+def required_artifacts(defs: DataFrame) -> DataFrame:
+    """Archives a snapshot needs: (snapshot, kind, key), the keys being those of the catalogs.
+
+    Every CUDA version needs its toolkit, and every CuDNN version an archive for each major
+    CUDA version of the snapshot. Made from the definition row alone.
+    """
+    majors = F.array_distinct(F.transform(F.map_keys("cuda"), lambda c: F.substring_index(c, ".", 1)))
+    toolkits = F.transform(
+        F.map_values("cuda"), lambda full: F.struct(F.lit("cuda").alias("kind"), full.alias("key"))
+    )
+    libraries = F.flatten(
+        F.transform(
+            F.map_values("cudnn"),
+            lambda full: F.transform(
+                majors,
+                lambda m: F.struct(
+                    F.lit("cudnn").alias("kind"), F.concat(full, F.lit("-cuda"), m).alias("key")
+                ),
+            ),
+        )
+    )
+    rows = defs.select(
+        F.col("id").alias("snapshot"), F.explode(F.array_distinct(F.concat(toolkits, libraries))).alias("_a")
+    )
+    return rows.select("snapshot", "_a.kind", "_a.key")
+
+
+def artifact_plan(
+    defs: DataFrame, cuda: DataFrame, cudnn: DataFrame, on_missing: str = "error"
+) -> DataFrame:
+    """Required archives with their URL; one that no catalog has is an error, or ``found`` false.
+
+    A key that a catalog lists twice keeps the smallest URL, so rows are never multiplied.
+    """
+
+    def listed(catalog: DataFrame, kind: str) -> DataFrame:
+        known = catalog.where("valid").groupBy("key").agg(F.min("url").alias("url"))
+        return known.select(F.lit(kind).alias("kind"), "key", "url")
+
+    both = listed(cuda, "cuda").unionByName(listed(cudnn, "cudnn"))
+    return lookup_strict(required_artifacts(defs), both, ["kind", "key"], on_missing)
+
+
 def with_rule(df: DataFrame, rules: DataFrame, version: str = "torch") -> DataFrame:
     """Add ``_lo, _hi`` (Python range as versions) and ``cudas`` of the rule for a version.
 

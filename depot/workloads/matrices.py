@@ -15,6 +15,7 @@ from depot.functions import (
 )
 from depot.operators.matrix import (
     active,
+    artifact_plan,
     compatible,
     compatible_matrix,
     expand,
@@ -31,8 +32,9 @@ from depot.operators.matrix import (
     torch_rules,
 )
 from depot.operators.quality import check, definition_rules, violations
-from depot.sources.documents import cuda_catalog, parse_markers, parse_snapshots
+from depot.sources.documents import cuda_catalog, cudnn_catalog, parse_markers, parse_snapshots
 from depot.workloads.tables import (
+    CUDAS,
     DEFS_SQL,
     ENVS_SQL,
     NIGHTLY,
@@ -398,6 +400,39 @@ SELECT p_partkey, p_type <> 'SMALL' AS valid,
 FROM part"""
 
 
+def artifact_plan_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Archives every definition needs, against catalogs that lack CUDA 12.8 and CuDNN for CUDA 11."""
+    part = table(spark, sf, "part").where("p_partkey % 5 < 4")
+    version = F.element_at(F.array(*[F.lit(c) for c in CUDAS]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    base = F.concat(F.lit("https://dl.example.com/"), F.col("p_size"), F.lit("/"))
+    toolkit = F.when(F.col("p_type") == "SMALL", "cuda_11.8.0_520_linux.run").otherwise(
+        F.concat(F.lit("cuda_"), version, F.lit(".0_1_linux.run"))
+    )
+    library = F.lit("cudnn-linux-x86_64-9.8.0.87_cuda12-archive.tar.xz")
+    cuda = cuda_catalog(part.select(F.concat(base, toolkit).alias("url")))
+    cudnn = cudnn_catalog(part.where("p_size < 3").select(F.concat(base, library).alias("url")))
+    return artifact_plan(_defs(spark, sf), cuda, cudnn, on_missing="report")
+
+
+ARTIFACT_PLAN = f"""
+WITH {DEFS_SQL},
+parts AS (SELECT *, 'https://dl.example.com/' || p_size || '/' AS base FROM part WHERE p_partkey % 5 < 4),
+listed AS (
+  SELECT 'cuda' AS kind, CASE WHEN p_type = 'SMALL' THEN '11.8.0_520'
+           ELSE {sql_list(CUDAS)}[(p_partkey % 5 + 1)::INT] || '.0_1' END AS key,
+         base || 'cuda_' || CASE WHEN p_type = 'SMALL' THEN '11.8.0_520'
+           ELSE {sql_list(CUDAS)}[(p_partkey % 5 + 1)::INT] || '.0_1' END || '_linux.run' AS url FROM parts
+  UNION ALL SELECT 'cudnn', '9.8.0.87-cuda12', base || 'cudnn-linux-x86_64-9.8.0.87_cuda12-archive.tar.xz'
+  FROM parts WHERE p_size < 3),
+catalog AS (SELECT kind, key, min(url) AS url FROM listed GROUP BY 1, 2),
+c AS (SELECT id, cudnn, unnest(cuda) AS cuda FROM defs),
+needed AS (
+  SELECT DISTINCT id AS snapshot, 'cuda' AS kind, CASE WHEN cuda = '11.8' THEN '11.8.0_520' ELSE cuda || '.0_1' END AS key
+  FROM c
+  UNION SELECT id, 'cudnn', '9.8.0.87-cuda' || split_part(cuda, '.', 1) FROM c WHERE len(cudnn) > 0)
+SELECT snapshot, kind, key, url, url IS NOT NULL AS found FROM needed LEFT JOIN catalog USING (kind, key)"""
+
+
 def catalog_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Every shipped line against a catalog without large parts: hits and misses by flag."""
     catalog = table(spark, sf, "part").where("p_size < 40").select(
@@ -463,6 +498,7 @@ QUERIES = {
     "env_indexes": (env_indexes, ENV_INDEXES),
     "config_fingerprints": (config_fingerprints, CONFIG_FINGERPRINTS),
     "artifact_catalog": (artifact_catalog, ARTIFACT_CATALOG),
+    "artifact_plan": (artifact_plan_query, ARTIFACT_PLAN),
     "catalog_lookup": (catalog_lookup, CATALOG_LOOKUP),
     "source_specs": (source_specs, SOURCE_SPECS),
 }
