@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depot.functions import fixed
+from depot.operators.durable import materialize
 
 TOTAL = "."
 
@@ -51,6 +52,14 @@ def duplicate_candidates(files: DataFrame, min_size: int = fixed.DUPLICATE_MIN_S
     return large.join(shared, "size", "left_semi")
 
 
+def content_hashes(
+    files: DataFrame, content: Column, rank: Sequence[str], min_size: int = fixed.DUPLICATE_MIN_SIZE
+) -> DataFrame:
+    """Narrow rows (rank, size, content_hash) in the shared folder: contents are read and hashed once."""
+    large = files.where(F.col("size") >= min_size)
+    return materialize(large.select(*rank, "size", content.alias("content_hash")), "content-hashes")
+
+
 def duplicate_content(
     files: DataFrame,
     content: Column,

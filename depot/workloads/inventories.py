@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from depot.functions import file_version
 from depot.operators.inventory import (
     duplicate_candidates,
+    content_hashes,
     duplicate_content,
     links_to_make,
     orphans,
@@ -52,10 +53,9 @@ WHERE n_chars >= {MIN_CHARS} GROUP BY 1, 2 HAVING count(*) > 1"""
 
 def duplicate_links(spark: SparkSession, sf: str) -> DataFrame:
     """Every redundant document with the one to link it to."""
-    files, content = _files(spark, sf), F.sha2("text", 256)
-    rank = ["source", "doc_id"]
-    groups = duplicate_content(files, content, rank, MIN_CHARS)
-    return links_to_make(files.where(F.col("size") >= MIN_CHARS), groups, content, rank)
+    rank, content = ["source", "doc_id"], F.col("content_hash")
+    hashed = content_hashes(_files(spark, sf), F.sha2("text", 256), rank, MIN_CHARS)
+    return links_to_make(hashed, duplicate_content(hashed, content, rank, MIN_CHARS), content, rank)
 
 
 DUPLICATE_LINKS = f"""
