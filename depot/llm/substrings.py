@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from depot.operators.durable import materialize
 #: Words of an anchor.
 ANCHOR = 5
 #: Windows a task holds before it passes on what it has.
-CHUNK = 1_500_000
+CHUNK = 800_000
 #: Stands for a null id, which is before all others.
 NULL_ID = -(1 << 63)
 
@@ -94,13 +95,10 @@ def _runs(ids: np.ndarray, ties: np.ndarray, start: np.ndarray) -> Iterator[tupl
         yield i, t, both[cuts[k] : cuts[k + 1]].tobytes()
 
 
-def _run_batches(found: list[tuple[int, int, bytes]], bucket: bool) -> pa.RecordBatch:
-    columns = [pa.array([f[k] for f in found], t) for k, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.binary()))]
-    names = ["_id", "_tie", "runs"]
-    if bucket:
-        columns.insert(0, pa.nulls(len(found), pa.int32()))
-        names.insert(0, "bucket")
-    return pa.RecordBatch.from_arrays(columns, names=names)
+def _run_batch(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    kinds = ((0, pa.int64()), (1, pa.int32()), (2, pa.binary()))
+    columns = [pa.array([f[k] for f in found], t) for k, t in kinds]
+    return pa.RecordBatch.from_arrays(columns, names=["_id", "_tie", "runs"])
 
 
 def _pack_bucket(anchor, digest, ids, ties, start) -> bytes:
@@ -144,6 +142,8 @@ def repeats(docs: DataFrame, size: int, buckets: int) -> DataFrame:
     of one id apart, by their text.
     """
 
+    names = ["bucket", "_id", "_tie", "runs", "block"]
+
     def seed(batches):
         held: list[tuple] = []
         n = 0
@@ -156,8 +156,13 @@ def repeats(docs: DataFrame, size: int, buckets: int) -> DataFrame:
             order, later = _later(anchor, digest, ids, start)
             gone = order[later]
             out = list(_runs(ids[gone], ties[gone], start[gone]))
-            local = _run_batches(out, True).append_column("block", pa.nulls(len(out), pa.binary()))
-            yield local
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([k % buckets for k in range(len(out))], pa.int32()),
+                    *_run_batch(out).columns, pa.nulls(len(out), pa.binary()),
+                ],
+                names=names,
+            )
             left = np.sort(order[~later])
             anchor, digest, ids, ties, start = (x[left] for x in (anchor, digest, ids, ties, start))
             bucket = (anchor % np.uint64(buckets)).astype(np.int64)
@@ -171,7 +176,7 @@ def repeats(docs: DataFrame, size: int, buckets: int) -> DataFrame:
                         pa.array([b], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()),
                         pa.nulls(1, pa.binary()), pa.array([raw], pa.binary()),
                     ],
-                    names=["bucket", "_id", "_tie", "runs", "block"],
+                    names=names,
                 )
 
         for ids, ties, texts in rows(batches, "_id", "_tie", "text"):
@@ -188,10 +193,9 @@ def repeats(docs: DataFrame, size: int, buckets: int) -> DataFrame:
             yield from settle()
 
     schema = "bucket int, _id long, _tie int, runs binary, block binary"
-    seeded = materialize(docs.mapInArrow(seed, schema), "seeds")
-    dealt = seeded.where("bucket IS NOT NULL").select("bucket", "block")
-    # one bucket a task: their number follows the input
-    dealt = dealt.repartitionByRange(buckets, "bucket").sortWithinPartitions("bucket")
+    # repeats found within a chunk travel along with the blocks, so the texts are read once;
+    # a task has a few buckets, one after the other
+    dealt = docs.mapInArrow(seed, schema).repartition("bucket").sortWithinPartitions("bucket")
 
     def extend(batches):
         current, held = None, []
@@ -203,20 +207,24 @@ def repeats(docs: DataFrame, size: int, buckets: int) -> DataFrame:
             gone = order[later]
             found = list(_runs(ids[gone], ties[gone], start[gone]))
             for at in range(0, len(found), 20_000):
-                yield _run_batches(found[at : at + 20_000], False)
-
-        for numbers, blocks in rows(batches, "bucket", "block"):
-            for b, raw in zip(numbers, blocks, strict=True):
-                if b != current and held:
-                    yield from settle()
-                    held.clear()
-                current = b
-                held.append(raw)
+                yield _run_batch(found[at : at + 20_000])
+
+        for batch in batches:
+            local = batch.filter(pa.compute.is_null(batch.column("block")))
+            yield local.select(["_id", "_tie", "runs"])
+            for numbers, blocks in rows(iter([batch]), "bucket", "block"):
+                for b, raw in zip(numbers, blocks, strict=True):
+                    if raw is None:
+                        continue
+                    if b != current and held:
+                        yield from settle()
+                        held.clear()
+                    current = b
+                    held.append(raw)
         if held:
             yield from settle()
 
-    across = dealt.mapInArrow(extend, "_id long, _tie int, runs binary")
-    return seeded.where("bucket IS NULL").select("_id", "_tie", "runs").unionByName(across)
+    return dealt.mapInArrow(extend, "_id long, _tie int, runs binary")
 
 
 def dedup(docs: DataFrame, size: int = 20, buckets: int | None = None) -> DataFrame:
@@ -228,7 +236,7 @@ def dedup(docs: DataFrame, size: int = 20, buckets: int | None = None) -> DataFr
     """
     spark = docs.sparkSession
     if buckets is None:
-        buckets = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+        buckets = max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     keyed = docs.select(
         "doc_id",
         "text",
