@@ -68,11 +68,12 @@ def select_dims(
     cudnn: str | None = None,
     single: bool = False,
 ) -> DataFrame:
-    """Narrow definitions to CPU only, or to a single combination.
+    """Narrow definitions to CPU only, or to a single combination of the newest one.
 
-    With ``single`` the python key is required and must exist; torch, cuda and cudnn
-    are optional and empty when not given. ``balanced`` tells whether CUDA and CuDNN
-    are both set or both empty, as a usable definition must be.
+    With ``single`` the newest snapshot counts and older ones are not looked at; the python
+    key is required and must exist; torch, cuda and cudnn are optional and empty when not
+    given. ``balanced`` tells whether CUDA and CuDNN are both set or both empty, as a usable
+    definition must be.
     """
     empty_map = F.create_map().cast("map<string,string>")
     if single:
@@ -90,7 +91,8 @@ def select_dims(
                 F.map_filter(F.col(column), lambda k, _: k == key),
             ).otherwise(missing.cast("map<string,string>"))
 
-        defs = defs.select(
+        newest = defs.agg(F.max("id").alias("id"))  # one row
+        defs = defs.join(newest, "id", "left_semi").select(
             *[c for c in defs.columns if c not in ("python", "torch", "cuda", "cudnn")],
             pick("python", python).alias("python"),
             pick("cuda", cuda).alias("cuda"),
@@ -268,6 +270,14 @@ def compatible_matrix(
     )
 
 
+def single_environment(
+    defs: DataFrame, rules: DataFrame, python: str, torch: str, cuda: str | None = None, cudnn: str | None = None
+) -> DataFrame:
+    """The one environment of the newest snapshot: on CUDA if that is given, else on the CPU."""
+    one = select_dims(defs, single=True, python=python, torch=torch, cuda=cuda, cudnn=cudnn)
+    return compatible_matrix(one.where("balanced"), rules, with_cpu=cuda is None)
+
+
 @dataclass(frozen=True)
 class PinRule:
     """Requirements of environments whose torch is below a version."""

@@ -14,6 +14,7 @@ from depot.operators.matrix import (
     matrix_summary,
     matrix_venvs,
     select_dims,
+    single_environment,
     torch_companions,
     torch_rules,
     with_rule,
@@ -94,7 +95,14 @@ def test_select_dims(spark, newest):
     assert (row.python, row.torch, row.cuda, row.cudnn, row.balanced) == (
         {"3.12": "3.12.1"}, ["2.6.0"], {"12.4": "12.4.0_1"}, {"9": "9.8.0.87"}, True,
     )
-    assert compatible_matrix(one, torch_rules(spark)).count() == 2
+    rules = torch_rules(spark)
+    older = newest.withColumns({"id": F.lit(3), "python": F.create_map().cast("map<string,string>")})
+    both = newest.unionByName(older)
+    got = single_environment(both, rules, "3.12", "2.6.0", "12.4", "9").collect()
+    assert [(r.snapshot, r.env) for r in got] == [(19, "python3.12-torch2.6.0-cu124")]
+    got = single_environment(both, rules, "3.12", "2.6.0").collect()
+    assert [(r.snapshot, r.env) for r in got] == [(19, "python3.12-torch2.6.0-cpu")]
+    assert single_environment(both, rules, "3.12", "2.6.0", "12.4").isEmpty()
     assert not select_dims(newest, single=True, python="3.12", cuda="12.4").first().balanced
     with pytest.raises(PySparkException, match="no cuda 10.0 in snapshot 19"):
         select_dims(newest, single=True, python="3.12", cuda="10.0").collect()
