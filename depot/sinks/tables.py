@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depot.operators.cache import STATE_SCHEMA
+from depot.operators.durable import materialize
 from depot.operators.layers import requirement_text
 
 
@@ -23,15 +24,17 @@ def _read_or_none(spark: SparkSession, path: str, schema: str | None = None) ->
 def write_pins(df: DataFrame, path: str) -> None:
     """Add snapshots to a pin table; a snapshot that is already there is an error.
 
-    The rebalance hint writes few files per snapshot but still splits a large one over
-    several tasks.
+    The rows are fixed in the shared folder first, so that they are computed once and the
+    check and the table see the same; the check opens only folders of the new snapshots.
+    Writers of one snapshot must take turns. The rebalance hint writes few files per
+    snapshot but still splits a large one over several tasks.
     """
+    rows = materialize(df, "pins")
+    new = [r["snapshot"] for r in rows.select("snapshot").distinct().collect()]  # a handful
     present = _read_or_none(df.sparkSession, path)
-    if present is not None:
-        again = df.join(present.select("snapshot").distinct(), "snapshot", "left_semi")
-        if not again.isEmpty():
-            raise ValueError("a snapshot is immutable and already in the table")
-    df.hint("rebalance", "snapshot").write.mode("append").partitionBy("snapshot").parquet(path)
+    if present is not None and not present.where(F.col("snapshot").isin(new)).isEmpty():
+        raise ValueError("a snapshot is immutable and already in the table")
+    rows.hint("rebalance", "snapshot").write.mode("append").partitionBy("snapshot").parquet(path)
 
 
 def write_matrix(heads: DataFrame, venvs: DataFrame, path: str) -> None:

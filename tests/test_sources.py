@@ -72,36 +72,36 @@ def test_invalid_line_fails_or_is_rejected(spark, rows):
     assert rows(lock_rejects(bad, ["id"])) == [(1, 1, "invalid requirement: b>=2")]
 
 
-REQUESTS = "requests-2.28.1-py3-none-any.whl"
-GIT = "git+https://github.com/psf/requests"
-SHA = "4d394574f5555a8ddcc38f707e0c9f57f55d9a3b"
+WHEEL = "tabulate-0.9.0-py3-none-any.whl"
+GIT = "git+https://git.example.org/tables/tabulate"
+SHA = "0123456789abcdef0123456789abcdef01234567"
 
 
 @pytest.mark.parametrize(
     "line, want",
     [
-        ("requests==2.28.1", ("requests", "2.28.1")),
-        ("requests<=2.28.1", None),
-        (f"requests @ https://h/{REQUESTS}", ("requests", f"https://h/{REQUESTS}")),
-        (f"https://h/{REQUESTS}", None),
-        (f"requests @ https://h/{SHA}.zip", ("requests", f"https://h/{SHA}.zip")),
+        ("tabulate==0.9.0", ("tabulate", "0.9.0")),
+        ("tabulate<=0.9.0", None),
+        (f"tabulate @ https://h/{WHEEL}", ("tabulate", f"https://h/{WHEEL}")),
+        (f"https://h/{WHEEL}", None),
+        (f"tabulate @ https://h/{SHA}.zip", ("tabulate", f"https://h/{SHA}.zip")),
         (f"https://h/{SHA}.zip", None),
-        (f"requests @ {GIT}@v2.28.1", ("requests", f"{GIT}@v2.28.1")),
-        (f"{GIT}@v2.28.1", (GIT, "v2.28.1")),
-        (f"requests @ {GIT}@{SHA}", ("requests", f"{GIT}@{SHA}")),
+        (f"tabulate @ {GIT}@v0.9.0", ("tabulate", f"{GIT}@v0.9.0")),
+        (f"{GIT}@v0.9.0", (GIT, "v0.9.0")),
+        (f"tabulate @ {GIT}@{SHA}", ("tabulate", f"{GIT}@{SHA}")),
         (f"{GIT}@{SHA}", (GIT, SHA)),
-        (f"./{REQUESTS}", (f"/src/{REQUESTS}",) * 2),
-        (f"/src/{REQUESTS}", (f"/src/{REQUESTS}",) * 2),
-        ("./requests.zip", ("/src/requests.zip",) * 2),
-        ("/src/requests.zip", ("/src/requests.zip",) * 2),
-        ("./requests.git", ("/src/requests.git",) * 2),
-        ("/src/requests.git", ("/src/requests.git",) * 2),
-        ("youtokentome==1.0.6", ("youtokentome", "1.0.6")),
+        (f"./{WHEEL}", (f"/src/{WHEEL}",) * 2),
+        (f"/src/{WHEEL}", (f"/src/{WHEEL}",) * 2),
+        ("./tabulate.zip", ("/src/tabulate.zip",) * 2),
+        ("/src/tabulate.zip", ("/src/tabulate.zip",) * 2),
+        ("./tabulate.git", ("/src/tabulate.git",) * 2),
+        ("/src/tabulate.git", ("/src/tabulate.git",) * 2),
+        ("marisa-trie==1.2.1", ("marisa-trie", "1.2.1")),
     ],
 )
 def test_requirement_forms(spark, line, want):
     paths = spark.createDataFrame(
-        [(f"/src/{n}",) for n in (REQUESTS, "requests.zip", "requests.git")], "path string"
+        [(f"/src/{n}",) for n in (WHEEL, "tabulate.zip", "tabulate.git")], "path string"
     )
     r = parse_lines(split_lines(texts(spark, line)), paths, "/src").first()
     assert ((r.package, r.raw_version) if r.error is None else None) == want
