@@ -257,6 +257,8 @@ SLOTS = 256
 COPY_SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints of texts that are this similar differ in no more bits (see README).
 COPY_RADIUS = 16
+#: Tiles of a band, if these hold at most so many classes (about 300 bytes each), and classes of a block.
+BAND_TILES, MOST_IN_TILE, BLOCK = 8, 1 << 18, 512
 #: Pairs whose sketches are compared at a time.
 CHECKED = 50_000
 
@@ -282,16 +284,27 @@ def copy_links(classes: DataFrame, radius: int, similarity: float) -> DataFrame:
     """Links (a, b) that connect classes (cls, fp, size, sketch) of near copies.
 
     Sizes of near copies lie within the similarity of each other, so a band of sizes is only
-    compared with itself and the next one; bands of many classes are cut into tiles by hash.
+    compared with itself and the next one. Bands of many classes are cut into tiles by hash,
+    BAND_TILES or as many as keep a tile in memory: a class is sent to as many places as two
+    bands have tiles, so few large tiles move less than many small ones. What is sent are
+    blocks of classes, a row each.
     """
     step = float(np.log(1 / similarity))
     banded = classes.withColumn("band", F.floor(F.log(F.col("size") + 1.0) / step).cast("int"))
     # bands of sizes up to 2 ** 31 are fewer than a hundred
+    n = F.count("*")
+    wanted = F.greatest(F.ceil(n / MOST_IN_TILE), F.least(F.lit(BAND_TILES), F.ceil(n / TILE)))
     tiles = materialize(
-        banded.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "bands"
+        banded.groupBy("band").agg(wanted.cast("int").alias("tiles"), n.alias("n")), "bands"
     )
-    placed = banded.join(F.broadcast(tiles), "band").withColumn(
-        "tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
+    mixed = F.xxhash64("cls")
+    blocks = F.ceil(F.col("n") / F.col("tiles") / BLOCK)
+    placed = (
+        banded.join(F.broadcast(tiles), "band")
+        .withColumn("tile", F.pmod(mixed, F.col("tiles")).cast("int"))
+        .withColumn("block", F.pmod(F.shiftrightunsigned(mixed, 32), blocks))
+        .groupBy("band", "tile", "block")
+        .agg(F.collect_list(F.struct("cls", "fp", "size", "sketch")).alias("members"))
     )
     # a class is compared in its own band's tiles up to its own, and in those of the band below
     below = tiles.select((F.col("band") + 1).alias("band"), F.col("tiles").alias("tiles_below"))
@@ -304,30 +317,26 @@ def copy_links(classes: DataFrame, radius: int, similarity: float) -> DataFrame:
         lambda t: F.struct((F.col("band") - 1).alias("owner"), t.alias("part")),
     )
     places = F.when(F.col("tiles_below").isNull(), own).otherwise(F.concat(own, lower))
-    dealt = sent.select(F.explode(places).alias("at"), "band", "tile", "cls", "fp", "size", "sketch")
+    dealt = sent.select(F.explode(places).alias("at"), "band", "tile", "members")
     mine = (F.col("band") == F.col("at.owner")) & (F.col("tile") == F.col("at.part"))
-    dealt = dealt.select(
-        "at.owner", "at.part", (~mine).cast("int").alias("later"), "cls", "fp", "size", "sketch"
-    )
+    dealt = dealt.select("at.owner", "at.part", (~mine).cast("int").alias("later"), "members")
     dealt = dealt.repartition("owner", "part").sortWithinPartitions("owner", "part", "later")
 
     def compare(batches):
         current, own, parent = None, None, {}
         for batch in batches:
-            n = batch.num_rows
             where = np.stack([batch.column(c).to_numpy() for c in ("owner", "part", "later")], 1)
-            cuts = np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), n], strict=True):
-                part = batch.slice(a, b - a)
+            for a in range(batch.num_rows):
+                members = batch.column("members").slice(a, 1).flatten()
                 block = (
-                    part.column("cls").to_numpy(),
-                    part.column("fp").to_numpy().view(np.uint64),
-                    part.column("size").to_numpy(),
-                    np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS),
+                    members.field("cls").to_numpy(),
+                    members.field("fp").to_numpy().view(np.uint64),
+                    members.field("size").to_numpy(),
+                    np.frombuffer(b"".join(members.field("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS),
                 )
                 if tuple(where[a, :2]) != current:
                     current, own, parent = tuple(where[a, :2]), None, {}
-                if where[a, 2] == 0:  # the tile itself may come in several batches
+                if where[a, 2] == 0:  # the tile itself comes first, in one or more blocks
                     pairs = [block] if own is None else [own, block]
                     out = [] if own is None else _copies(own, block, radius, similarity, parent)
                     out += _copies(block, block, radius, similarity, parent)
