@@ -29,7 +29,7 @@ from depot.llm.texts import hashes, lower_words, mix, rows
 from depot.operators.durable import materialize, run_dir
 
 #: Tokens a task holds before it passes its counts on, and tokens scored together.
-CHUNK, SCORED = 3_000_000, 1_000_000
+CHUNK, SCORED = 1_200_000, 300_000
 #: Hash of the end of a text, which no word has for its own: the empty string is no word.
 END = xxhash.xxh64_intdigest(b"")
 #: Additive smoothing of the base score.

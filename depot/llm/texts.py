@@ -75,7 +75,7 @@ class Memo(dict):
 
 
 #: 64-bit hash of a word, kept per worker.
-word_hash = Memo(xxhash.xxh64_intdigest, 400_000)
+word_hash = Memo(xxhash.xxh64_intdigest, 250_000)
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
