@@ -9,6 +9,8 @@ Each comparison keeps the links that join something, never all pairs of a dense
 
 from __future__ import annotations
 
+import os
+import tempfile
 from itertools import product
 
 import numpy as np
@@ -17,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depot.llm.texts import field_rows, hashes, lower_words, rows, whole, window_hashes
+from depot.llm.texts import SLICE, field_rows, hashes, lower_words, rows, whole, window_hashes
 from depot.operators.durable import materialize
 
 #: Fingerprints of a tile, at most about.
@@ -255,6 +257,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
 SLOTS = 256
 #: Words of a shingle of near copies, and the share of common shingles from which they are.
 COPY_SHINGLE, SIMILARITY = 5, 0.8
+#: Sketches that estimate less are not looked at further; for a true 0.8 that is six standard errors.
+PREFILTER = 0.65
 #: Fingerprints of texts that are this similar differ in no more bits (see README).
 COPY_RADIUS = 16
 #: Tiles of a band, if these hold at most so many classes (about 300 bytes each), and classes of a block.
@@ -263,14 +267,18 @@ BAND_TILES, MOST_IN_TILE, BLOCK = 8, 1 << 18, 512
 CHECKED = 50_000
 
 
-def sketch(words: list[bytes], shingle: int = COPY_SHINGLE) -> tuple[int, bytes]:
-    """Number of different shingles, and one byte for each slot; 0 stands for none."""
-    found = np.unique(window_hashes(hashes(words), min(shingle, max(1, len(words)))))
+def shingles(words: list[bytes], shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """Sorted hashes of the different shingles; a shorter text is one."""
+    return np.unique(window_hashes(hashes(words), min(shingle, max(1, len(words)))))
+
+
+def sketch(found: np.ndarray) -> bytes:
+    """One byte of the smallest hash for each slot; 0 stands for none."""
     slot = (found >> np.uint64(56)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(found) else []
     out = np.zeros(SLOTS, np.uint8)
     out[slot[first]] = found[first] % np.uint64(255) + np.uint64(1)
-    return len(found), out.tobytes()
+    return out.tobytes()
 
 
 def resemblance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -280,14 +288,15 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same - 1 / 255) / (1 - 1 / 255)  # different hashes share a byte so often
 
 
-def copy_links(classes: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """Links (a, b) that connect classes (cls, fp, size, sketch) of near copies.
+def copy_places(classes: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """owner, part, later, cls: the places where a class (cls, fp, size, sketch) meets a possible
+    near copy; `later` is 0 for the classes of the place's own tile.
 
     Sizes of near copies lie within the similarity of each other, so a band of sizes is only
     compared with itself and the next one. Bands of many classes are cut into tiles by hash,
     BAND_TILES or as many as keep a tile in memory: a class is sent to as many places as two
     bands have tiles, so few large tiles move less than many small ones. What is sent are
-    blocks of classes, a row each.
+    blocks of classes, a row each. Only classes are named, not pairs: a dense group has few.
     """
     step = float(np.log(1 / similarity))
     banded = classes.withColumn("band", F.floor(F.log(F.col("size") + 1.0) / step).cast("int"))
@@ -323,37 +332,137 @@ def copy_links(classes: DataFrame, radius: int, similarity: float) -> DataFrame:
     dealt = dealt.repartition("owner", "part").sortWithinPartitions("owner", "part", "later")
 
     def compare(batches):
-        current, own, parent = None, None, {}
+        current, own, seen = None, None, np.empty(0, bool)
+
+        def named(ids, later):
+            n = len(ids)
+            arrays = [np.full(n, x) for x in (*current, later)]
+            return pa.RecordBatch.from_arrays(
+                [*[pa.array(x, pa.int32()) for x in arrays], pa.array(ids, pa.int64())], names=names
+            )
+
+        def mark(one, other, seen_one, seen_other):
+            settled = lambda i, j: seen_one[i] & seen_other[j]
+            for i, j in _candidates(one, other, radius, similarity, settled):
+                seen_one[i] = True
+                seen_other[j] = True
+
         for batch in batches:
             where = np.stack([batch.column(c).to_numpy() for c in ("owner", "part", "later")], 1)
             for a in range(batch.num_rows):
-                members = batch.column("members").slice(a, 1).flatten()
-                block = (
-                    members.field("cls").to_numpy(),
-                    members.field("fp").to_numpy().view(np.uint64),
-                    members.field("size").to_numpy(),
-                    np.frombuffer(b"".join(members.field("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS),
-                )
-                if tuple(where[a, :2]) != current:
-                    current, own, parent = tuple(where[a, :2]), None, {}
+                block = _block(batch.column("members").slice(a, 1).flatten().field)
+                if tuple(where[a, :2].tolist()) != current:
+                    if own is not None:
+                        yield named(own[0][seen], 0)
+                    current, own, seen = tuple(where[a, :2].tolist()), None, np.empty(0, bool)
+                fresh = np.zeros(len(block[0]), bool)
+                if own is not None:
+                    mark(own, block, seen, fresh)
                 if where[a, 2] == 0:  # the tile itself comes first, in one or more blocks
-                    pairs = [block] if own is None else [own, block]
-                    out = [] if own is None else _copies(own, block, radius, similarity, parent)
-                    out += _copies(block, block, radius, similarity, parent)
-                    own = tuple(np.concatenate(c) for c in zip(*pairs, strict=True))
-                else:
-                    out = [] if own is None else _copies(own, block, radius, similarity, parent)
+                    mark(block, block, fresh, fresh)
+                    own = block if own is None else _joined(own, block)
+                    seen = np.concatenate([seen, fresh])
+                elif fresh.any():
+                    yield named(block[0][fresh], 1)
+        if own is not None:
+            yield named(own[0][seen], 0)
+
+    names = ["owner", "part", "later", "cls"]
+    return dealt.mapInArrow(compare, "owner int, part int, later int, cls long")
+
+
+def copy_links(placed: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect the near copies of each place, by the exact share of shingles.
+
+    `placed` has the rows of copy_places with the class's fp, size, sketch and all its shingle
+    hashes. A place keeps a forest of confirmed links: pairs it holds together need no look.
+    """
+    dealt = placed.repartition("owner", "part").sortWithinPartitions("owner", "part", "later")
+
+    def confirm(batches):
+        current, own, parent, stored = None, None, {}, _Stored()
+
+        def links(one, other, shingles_one, shingles_other):
+            out = []
+            settled = lambda i, j: _together(parent, one[0], other[0], i, j)
+            for i, j in _candidates(one, other, radius, similarity, settled):
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    pair = int(one[0][x]), int(other[0][y])
+                    if _root(parent, pair[0]) != _root(parent, pair[1]) and alike(
+                        shingles_one[x], shingles_other[y], similarity
+                    ):
+                        out += _forest(np.array(pair[:1]), np.array(pair[1:]), parent)
+            return out
+
+        for batch in batches:
+            where = np.stack([batch.column(c).to_numpy() for c in ("owner", "part", "later")], 1)
+            new = np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1
+            cuts = np.unique(np.concatenate([new, np.arange(0, batch.num_rows, BLOCK), [batch.num_rows]]))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                part = batch.slice(a, b - a)
+                block = _block(part.column)
+                raw = part.column("shingles").to_pylist()
+                shingles = [np.frombuffer(x, np.uint64) for x in raw]
+                if tuple(where[a, :2]) != current:
+                    current, own, parent, stored = tuple(where[a, :2]), None, {}, _Stored()
+                out = [] if own is None else links(own, block, stored, shingles)
+                if where[a, 2] == 0:
+                    out += links(block, block, shingles, shingles)
+                    own = block if own is None else _joined(own, block)
+                    stored.add(raw)
                 if out:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"]
                     )
 
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(confirm, "a long, b long")
+
 
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets of sorted different hashes share that much of what both have."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= similarity * (len(both) - common) - 1e-9
 
-def _copies(own: tuple, other: tuple, radius: int, similarity: float, parent: dict) -> list[tuple[int, int]]:
-    """Links between two blocks that join classes which `parent` does not hold together yet."""
-    out: list[tuple[int, int]] = []
+
+class _Stored:
+    """Shingle hashes of a place's own classes, in a nameless file: memory holds those in use."""
+
+    def __init__(self):
+        self.file, self.ends = tempfile.TemporaryFile(buffering=0), [0]
+
+    def add(self, raw: list[bytes]) -> None:
+        for x in raw:
+            at = 0
+            while at < len(x):
+                at += self.file.write(memoryview(x)[at:])
+            self.ends.append(self.ends[-1] + len(x))
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        start, end = self.ends[k : k + 2]
+        return np.frombuffer(os.pread(self.file.fileno(), end - start, start), np.uint64)
+
+
+def _block(column) -> tuple:
+    """Arrays of the classes in these columns, see _candidates."""
+    return (
+        column("cls").to_numpy(),
+        column("fp").to_numpy().view(np.uint64),
+        column("size").to_numpy(),
+        np.frombuffer(b"".join(column("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS),
+    )
+
+
+def _joined(a: tuple, b: tuple) -> tuple:
+    return tuple(np.concatenate(c) for c in zip(a, b, strict=True))
+
+
+def _candidates(own: tuple, other: tuple, radius: int, similarity: float, settled):
+    """Row numbers (i, j) of pairs of two blocks that may be near copies, some at a time.
+
+    Pairs of which `settled` is true at the time are left out.
+    """
     ids, fps, sizes, sketches = own
     for at in range(0, len(ids), 512):
         rows_ = slice(at, at + 512)
@@ -363,17 +472,25 @@ def _copies(own: tuple, other: tuple, radius: int, similarity: float, parent: di
         a, b = np.nonzero(near)
         a += at
         low, high = np.minimum(sizes[a], other[2][b]), np.maximum(sizes[a], other[2][b])
-        keep = (low >= similarity * high) & (ids[a] != other[0][b])
+        keep = (low >= similarity * high - 1e-9) & (ids[a] != other[0][b])
+        if own is other:
+            keep &= a < b
         a, b = a[keep], b[keep]
         for k in range(0, len(a), CHECKED):
             i, j = a[k : k + CHECKED], b[k : k + CHECKED]
-            if parent:  # what is joined already needs no look
-                ri, rj = (np.array([_root(parent, x) for x in u.tolist()])[v] for u, v in
-                          (np.unique(ids[i], return_inverse=True), np.unique(other[0][j], return_inverse=True)))
-                i, j = i[ri != rj], j[ri != rj]
-            close = resemblance(sketches[i], other[3][j]) >= similarity
-            out += _forest(ids[i[close]], other[0][j[close]], parent)
-    return out
+            open_ = ~settled(i, j)
+            i, j = i[open_], j[open_]
+            close = resemblance(sketches[i], other[3][j]) >= PREFILTER
+            yield i[close], j[close]
+
+
+def _together(parent: dict, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of classes `parent` (union-find) holds together."""
+    if not parent:
+        return np.zeros(len(i), bool)
+    ri, rj = (np.array([_root(parent, x) for x in u.tolist()], np.int64)[v] for u, v in
+              (np.unique(a[i], return_inverse=True), np.unique(b[j], return_inverse=True)))
+    return ri == rj
 
 
 def _root(parent: dict, x: int) -> int:
@@ -387,9 +504,9 @@ def one_of_each(
 ) -> DataFrame:
     """The documents with one of each group of near copies: that with the smallest doc_id.
 
-    Near copies differ in at most `radius` bits of their fingerprints and share at least
-    `similarity` of their five-word shingles, as sketches of 256 slots estimate it; groups are
-    what such links connect. Of rows with equal ids and texts one stays. Null ids stay only
+    Near copies share at least `similarity` of their different five-word shingles, counted
+    exactly for pairs that differ in at most `radius` bits of their fingerprints and whose
+    sketches estimate PREFILTER or more; groups are what such links connect. Of rows with equal ids and texts one stays. Null ids stay only
     where a group has no other. Texts without words are copies of each other.
     """
     rows_ = whole(docs)
@@ -402,9 +519,9 @@ def one_of_each(
             found = []
             for t in texts:
                 words = lower_words(t)
-                fp, (size, sk) = fingerprint(words, shingle), sketch(words)
-                cls = xxhash.xxh64_intdigest(sk + size.to_bytes(8, "little") + fp.to_bytes(8, "little"))
-                found.append((cls - (1 << 63), fp - (1 << 64) if fp >> 63 else fp, size, sk))
+                fp, own = fingerprint(words, shingle), shingles(words)
+                cls = xxhash.xxh64_intdigest(own.tobytes() + fp.to_bytes(8, "little"))
+                found.append((cls - (1 << 63), fp - (1 << 64) if fp >> 63 else fp, len(own), sketch(own)))
             arrays = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc"), *arrays], names=schema.names)
 
@@ -418,7 +535,27 @@ def one_of_each(
         ),
         "copy-classes",
     )
-    rooted = components(copy_links(classes.drop("first"), radius, similarity))
+    places = materialize(copy_places(classes.drop("first"), radius, similarity), "copy-places")
+    # only what meets a possible copy needs all its shingles, made from the text of one row
+    some = classes.join(places.select("cls").distinct(), "cls", "left_semi")
+    some = some.select(F.col("first.row").alias("row"), "cls", "fp", "size", "sketch")
+    texts = measured.select("row", F.col("doc.text").alias("text"))
+
+    def unpack(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                own = [shingles(lower_words(t)).tobytes() for t in part.column("text").to_pylist()]
+                columns = [part.column(c) for c in ("cls", "fp", "size", "sketch")]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(own, pa.binary())],
+                    names=["cls", "fp", "size", "sketch", "shingles"],
+                )
+
+    full = texts.join(some, "row").mapInArrow(
+        unpack, "cls long, fp long, size long, sketch binary, shingles binary"
+    )
+    rooted = components(copy_links(places.join(full, "cls"), radius, similarity))
     chosen = (
         classes.select("cls", "first")
         .join(rooted, F.col("cls") == F.col("node"), "left")

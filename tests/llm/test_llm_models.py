@@ -312,3 +312,18 @@ def test_one_of_each_over_many_tiles(spark, monkeypatch):
     test_one_of_each_keeps_what_is_different(spark)
     monkeypatch.setattr(simhash, "MOST_IN_TILE", 6)
     test_one_of_each_keeps_what_is_different(spark)
+
+
+def test_one_of_each_decides_by_exact_similarity(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows, want = [], set()
+    for g in range(80):  # 300 shingles are common to both, of 375 (0.8) or 376 (0.798) in all
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, 304)]
+        more = words + [f"v{x}" for x in rng.integers(0, 1 << 40, 75 + g % 2)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(more))]
+        want |= {2 * g, 2 * g + 1} if g % 2 else {2 * g}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in simhash.one_of_each(df, 24).collect()} == want
+    for name, value in (("TILE", 8), ("BLOCK", 3), ("CHECKED", 5)):
+        monkeypatch.setattr(simhash, name, value)
+    assert {r.doc_id for r in simhash.one_of_each(df, 24).collect()} == want
