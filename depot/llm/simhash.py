@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depot.llm.texts import SLICE, field_rows, hashes, lower_words, rows, whole, window_hashes
+from depot.llm.texts import _ODD, SLICE, field_rows, hashes, lower_words, mix, rows, whole, window_hashes
 from depot.operators.durable import materialize
 
 #: Fingerprints of a tile, at most about.
@@ -259,8 +259,9 @@ SLOTS = 256
 COPY_SHINGLE, SIMILARITY = 5, 0.8
 #: Sketches that estimate less are not looked at further; for a true 0.8 that is six standard errors.
 PREFILTER = 0.65
-#: Fingerprints of texts that are this similar differ in no more bits (see README).
-COPY_RADIUS = 16
+#: Most differing bits of two fingerprints of different shingles, and of these with two more.
+#: Of pairs at a similarity of 0.8, fewer than 1 in 1,000 exceed either (see README).
+COPY_RADIUS, BOTH_RADIUS = 24, 44
 #: Tiles of a band, if these hold at most so many classes (about 300 bytes each), and classes of a block.
 BAND_TILES, MOST_IN_TILE, BLOCK = 8, 1 << 18, 512
 #: Pairs whose sketches are compared at a time.
@@ -272,6 +273,12 @@ def shingles(words: list[bytes], shingle: int = COPY_SHINGLE) -> np.ndarray:
     return np.unique(window_hashes(hashes(words), min(shingle, max(1, len(words)))))
 
 
+def majority(found: np.ndarray) -> int:
+    """Bits set in over half of the hashes, as a signed number."""
+    ones = np.unpackbits(found.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+    return int(((2 * ones > len(found)).astype(np.uint64) << _BITS).sum(dtype=np.uint64).view(np.int64))
+
+
 def sketch(found: np.ndarray) -> bytes:
     """One byte of the smallest hash for each slot; 0 stands for none."""
     slot = (found >> np.uint64(56)).astype(np.int64)
@@ -289,7 +296,7 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def copy_places(classes: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """owner, part, later, cls: the places where a class (cls, fp, size, sketch) meets a possible
+    """owner, part, later, cls: the places where a class (cls, fp, more, size, sketch) meets a possible
     near copy; `later` is 0 for the classes of the place's own tile.
 
     Sizes of near copies lie within the similarity of each other, so a band of sizes is only
@@ -313,7 +320,7 @@ def copy_places(classes: DataFrame, radius: int, similarity: float) -> DataFrame
         .withColumn("tile", F.pmod(mixed, F.col("tiles")).cast("int"))
         .withColumn("block", F.pmod(F.shiftrightunsigned(mixed, 32), blocks))
         .groupBy("band", "tile", "block")
-        .agg(F.collect_list(F.struct("cls", "fp", "size", "sketch")).alias("members"))
+        .agg(F.collect_list(F.struct("cls", "fp", "more", "size", "sketch")).alias("members"))
     )
     # a class is compared in its own band's tiles up to its own, and in those of the band below
     below = tiles.select((F.col("band") + 1).alias("band"), F.col("tiles").alias("tiles_below"))
@@ -374,8 +381,8 @@ def copy_places(classes: DataFrame, radius: int, similarity: float) -> DataFrame
 def copy_links(placed: DataFrame, radius: int, similarity: float) -> DataFrame:
     """Links (a, b) that connect the near copies of each place, by the exact share of shingles.
 
-    `placed` has the rows of copy_places with the class's fp, size, sketch and all its shingle
-    hashes. A place keeps a forest of confirmed links: pairs it holds together need no look.
+    `placed` has the rows of copy_places with the class's fp, more, size, sketch and all its
+    shingle hashes. A place keeps a forest of confirmed links: pairs it holds together need no look.
     """
     dealt = placed.repartition("owner", "part").sortWithinPartitions("owner", "part", "later")
 
@@ -449,6 +456,7 @@ def _block(column) -> tuple:
     return (
         column("cls").to_numpy(),
         column("fp").to_numpy().view(np.uint64),
+        column("more").to_numpy().view(np.uint64),
         column("size").to_numpy(),
         np.frombuffer(b"".join(column("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS),
     )
@@ -463,7 +471,7 @@ def _candidates(own: tuple, other: tuple, radius: int, similarity: float, settle
 
     Pairs of which `settled` is true at the time are left out.
     """
-    ids, fps, sizes, sketches = own
+    ids, fps, more, sizes, sketches = own
     for at in range(0, len(ids), 512):
         rows_ = slice(at, at + 512)
         near = np.bitwise_count(fps[rows_, None] ^ other[1][None, :]) <= radius
@@ -471,7 +479,10 @@ def _candidates(own: tuple, other: tuple, radius: int, similarity: float, settle
             continue
         a, b = np.nonzero(near)
         a += at
-        low, high = np.minimum(sizes[a], other[2][b]), np.maximum(sizes[a], other[2][b])
+        # by far the most pairs this near in 64 bits are not in 128
+        both = np.bitwise_count(fps[a] ^ other[1][b]) + np.bitwise_count(more[a] ^ other[2][b]) <= BOTH_RADIUS
+        a, b = a[both], b[both]
+        low, high = np.minimum(sizes[a], other[3][b]), np.maximum(sizes[a], other[3][b])
         keep = (low >= similarity * high - 1e-9) & (ids[a] != other[0][b])
         if own is other:
             keep &= a < b
@@ -480,7 +491,7 @@ def _candidates(own: tuple, other: tuple, radius: int, similarity: float, settle
             i, j = a[k : k + CHECKED], b[k : k + CHECKED]
             open_ = ~settled(i, j)
             i, j = i[open_], j[open_]
-            close = resemblance(sketches[i], other[3][j]) >= PREFILTER
+            close = resemblance(sketches[i], other[4][j]) >= PREFILTER
             yield i[close], j[close]
 
 
@@ -500,28 +511,31 @@ def _root(parent: dict, x: int) -> int:
 
 
 def one_of_each(
-    docs: DataFrame, radius: int = COPY_RADIUS, similarity: float = SIMILARITY, shingle: int = 3
+    docs: DataFrame, radius: int = COPY_RADIUS, similarity: float = SIMILARITY, shingle: int = COPY_SHINGLE
 ) -> DataFrame:
     """The documents with one of each group of near copies: that with the smallest doc_id.
 
     Near copies share at least `similarity` of their different five-word shingles, counted
-    exactly for pairs that differ in at most `radius` bits of their fingerprints and whose
+    exactly for pairs that differ in at most `radius` bits of their fingerprints (of different
+    shingles, so that repeats weigh nothing), in BOTH_RADIUS bits of two such, and whose
     sketches estimate PREFILTER or more; groups are what such links connect. Of rows with equal ids and texts one stays. Null ids stay only
     where a group has no other. Texts without words are copies of each other.
     """
     rows_ = whole(docs)
-    extra = (("cls", "long"), ("fp", "long"), ("size", "long"), ("sketch", "binary"))
+    extra = (("cls", "long"), ("fp", "long"), ("more", "long"), ("size", "long"), ("sketch", "binary"))
     schema = rows_.select("*", *[F.lit(None).cast(t).alias(c) for c, t in extra]).schema
 
     def measure(batches):
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        kinds = [*[pa.int64()] * 4, pa.binary()]
         for part, texts in field_rows(batches):
             found = []
             for t in texts:
-                words = lower_words(t)
-                fp, own = fingerprint(words, shingle), shingles(words)
-                cls = xxhash.xxh64_intdigest(own.tobytes() + fp.to_bytes(8, "little"))
-                found.append((cls - (1 << 63), fp - (1 << 64) if fp >> 63 else fp, len(own), sketch(own)))
+                own = shingles(lower_words(t), shingle)
+                cls = xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
+                # hashes mixed once more give bits of their own
+                with np.errstate(over="ignore"):
+                    more = majority(mix(own + np.uint64(_ODD)))
+                found.append((cls, majority(own), more, len(own), sketch(own)))
             arrays = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc"), *arrays], names=schema.names)
 
@@ -531,29 +545,29 @@ def one_of_each(
     first = F.min(F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), "row"))
     classes = materialize(
         measured.groupBy("cls").agg(
-            first.alias("first"), *[F.first(c).alias(c) for c in ("fp", "size", "sketch")]
+            first.alias("first"), *[F.first(c).alias(c) for c in ("fp", "more", "size", "sketch")]
         ),
         "copy-classes",
     )
     places = materialize(copy_places(classes.drop("first"), radius, similarity), "copy-places")
     # only what meets a possible copy needs all its shingles, made from the text of one row
     some = classes.join(places.select("cls").distinct(), "cls", "left_semi")
-    some = some.select(F.col("first.row").alias("row"), "cls", "fp", "size", "sketch")
+    some = some.select(F.col("first.row").alias("row"), "cls", "fp", "more", "size", "sketch")
     texts = measured.select("row", F.col("doc.text").alias("text"))
 
     def unpack(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                own = [shingles(lower_words(t)).tobytes() for t in part.column("text").to_pylist()]
-                columns = [part.column(c) for c in ("cls", "fp", "size", "sketch")]
+                own = [shingles(lower_words(t), shingle).tobytes() for t in part.column("text").to_pylist()]
+                columns = [part.column(c) for c in ("cls", "fp", "more", "size", "sketch")]
                 yield pa.RecordBatch.from_arrays(
                     [*columns, pa.array(own, pa.binary())],
-                    names=["cls", "fp", "size", "sketch", "shingles"],
+                    names=["cls", "fp", "more", "size", "sketch", "shingles"],
                 )
 
     full = texts.join(some, "row").mapInArrow(
-        unpack, "cls long, fp long, size long, sketch binary, shingles binary"
+        unpack, "cls long, fp long, more long, size long, sketch binary, shingles binary"
     )
     rooted = components(copy_links(places.join(full, "cls"), radius, similarity))
     chosen = (

@@ -327,3 +327,22 @@ def test_one_of_each_decides_by_exact_similarity(spark, monkeypatch):
     for name, value in (("TILE", 8), ("BLOCK", 3), ("CHECKED", 5)):
         monkeypatch.setattr(simhash, name, value)
     assert {r.doc_id for r in simhash.one_of_each(df, 24).collect()} == want
+
+
+def test_one_of_each_finds_edited_appended_and_repeated(spark):
+    rng = np.random.default_rng(9)
+
+    def some(n):
+        return [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+
+    rows, want = [], set()
+    for g in range(0, 150, 3):
+        words, line = some(304), some(12)
+        block = words[:100] + some(int(rng.integers(20, 30))) + words[128:]  # 268 common of 324 to 333
+        longer = words + some(int(rng.integers(55, 75)))
+        # a line once or 41 times: nearly all different shingles are common
+        rows += [(100 * g + k, " ".join(t)) for k, t in enumerate([words, block, longer])]
+        rows += [(100 * g + 10 + k, " ".join(line * k + words[::-1] + line)) for k in (0, 40)]
+        want |= {100 * g, 100 * g + 10}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == want
