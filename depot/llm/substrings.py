@@ -1,10 +1,10 @@
 """Substring dedup by seed and extend.
 
 Every window of `size` words has an anchor: the winnowed word group in it with the smallest
-hash. Windows with equal words have equal anchors at equal distances, so occurrences are
-joined on anchors, and only there are they extended: each occurrence brings digests of the
-windows that reach out from its anchor to either side, and windows that agree are repeats.
-Neighbouring repeats merge into maximal ones.
+hash. Windows with equal words have equal anchors, so windows are joined on anchor and
+64-bit digest together: those that agree are repeats. They are dealt by both, so that the
+windows around a frequent word group do not meet in one task. Neighbouring repeats merge
+into maximal ones.
 
 Tasks first settle what repeats within their own chunk of documents; of these only the first
 occurrence goes on. So a passage that a third of all documents share puts one occurrence a
@@ -22,18 +22,22 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depot.llm.texts import hashes, rows, space_words, window_hashes
+from depot.llm.texts import hashes, mix, rows, space_words, window_hashes
 from depot.operators.durable import materialize
 
 #: Words of an anchor.
 ANCHOR = 5
 #: Windows a task holds before it passes on what it has.
 CHUNK = 800_000
+#: Characters of text for a bucket, at most about: a bucket is held in memory.
+BUCKET_CHARS = 16_000_000
 #: Stands for a null id, which is before all others.
 NULL_ID = -(1 << 63)
 
-#: An occurrence of an anchor with some windows, and where the digests of these begin.
-_OCCURRENCE = [("anchor", "<u8"), ("id", "<i8"), ("tie", "<i4"), ("start", "<u4"), ("count", "u1")]
+#: A document with its number of windows in a bucket, and a window: 32 bits of its anchor tell
+#: windows apart beside the 64 of its digest.
+_DOCUMENT = [("id", "<i8"), ("tie", "<i4"), ("count", "<u4")]
+_WINDOW = [("start", "<u4"), ("anchor", "<u4"), ("digest", "<u8")]
 
 
 def sliding(f, values: np.ndarray, width: int) -> np.ndarray:
@@ -51,9 +55,9 @@ def windows(words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     h = hashes(words)
     grams = window_hashes(h, ANCHOR)
     if len(words) < size:
-        return np.empty(0, np.uint64), np.empty(0, np.uint32)
+        return np.empty(0, np.uint32), np.empty(0, np.uint64)
     anchors = sliding(np.minimum, grams, size - ANCHOR + 1)
-    return anchors, (window_hashes(h, size) >> np.uint64(32)).astype(np.uint32)
+    return (anchors >> np.uint64(32)).astype(np.uint32), window_hashes(h, size)
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -69,7 +73,7 @@ def _from_planes(raw: bytes, kind: str) -> np.ndarray:
 
 def _later(anchor, digest, ids, start) -> tuple[np.ndarray, np.ndarray]:
     """Order of windows by content and place, and which of them (in that order) have an earlier equal."""
-    order = np.lexsort((start, ids, digest, anchor))
+    order = np.lexsort((start, ids, anchor, digest))
     a, d, i, s = anchor[order], digest[order], ids[order], start[order]
     new = np.ones(len(order), bool)
     new[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])
@@ -102,37 +106,26 @@ def _run_batch(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def _pack_bucket(anchor, digest, ids, ties, start) -> bytes:
-    """Windows, in order of place, as occurrences of anchors with the digests of their windows."""
-    new = np.ones(len(anchor), bool)
-    new[1:] = (
-        (anchor[1:] != anchor[:-1]) | (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1])
-        | (start[1:] != start[:-1] + 1)
-    )
+    """Windows, in order of place, as documents and the windows of these."""
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1])
     at = np.flatnonzero(new)
-    count = np.diff(np.append(at, len(anchor)))
-    while len(count) and count.max() > 255:  # a repeated word group can be the anchor for long
-        new[at[count > 255] + 255] = True
-        at = np.flatnonzero(new)
-        count = np.diff(np.append(at, len(anchor)))
-    parts = [anchor[at], ids[at], ties[at], start[at], count]
-    columns = [p.astype(kind) for p, (_, kind) in zip(parts, _OCCURRENCE, strict=True)]
-    body = b"".join(map(_planes, columns)) + digest.astype("<u4").tobytes()
-    return len(at).to_bytes(8, "little") + body
+    documents = [ids[at], ties[at], np.diff(np.append(at, len(ids)))]
+    parts = zip([*documents, start, anchor, digest], _DOCUMENT + _WINDOW, strict=True)
+    head = np.array([len(at), len(ids)], "<u8").tobytes()
+    return head + b"".join(_planes(p.astype(kind)) for p, (_, kind) in parts)
 
 
 def _unpack_bucket(raw: bytes) -> tuple[np.ndarray, ...]:
-    n, at, parts = int.from_bytes(raw[:8], "little"), 8, []
-    for _, kind in _OCCURRENCE:
-        size = n * np.dtype(kind).itemsize
-        parts.append(_from_planes(raw[at : at + size], kind))
-        at += size
-    anchor, ids, ties, start, count = parts
-    digest = np.frombuffer(raw[at:], "<u4")
-    inside = np.arange(len(digest)) - np.repeat(np.cumsum(count, dtype=np.int64) - count, count)
-    return (
-        np.repeat(anchor, count), digest, np.repeat(ids, count), np.repeat(ties, count),
-        (np.repeat(start, count) + inside).astype(np.uint32),
-    )
+    n_documents, n = np.frombuffer(raw[:16], "<u8").tolist()
+    at, parts = 16, []
+    for many, kinds in ((n_documents, _DOCUMENT), (n, _WINDOW)):
+        for _, kind in kinds:
+            size = many * np.dtype(kind).itemsize
+            parts.append(_from_planes(raw[at : at + size], kind))
+            at += size
+    ids, ties, count, start, anchor, digest = parts
+    return anchor, digest, np.repeat(ids, count), np.repeat(ties, count), start
 
 
 def repeats(docs: DataFrame, size: int, buckets: int) -> DataFrame:
@@ -165,7 +158,7 @@ def repeats(docs: DataFrame, size: int, buckets: int) -> DataFrame:
             )
             left = np.sort(order[~later])
             anchor, digest, ids, ties, start = (x[left] for x in (anchor, digest, ids, ties, start))
-            bucket = (anchor % np.uint64(buckets)).astype(np.int64)
+            bucket = (mix(digest ^ anchor) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cuts)).tolist():
@@ -236,7 +229,10 @@ def dedup(docs: DataFrame, size: int = 20, buckets: int | None = None) -> DataFr
     """
     spark = docs.sparkSession
     if buckets is None:
-        buckets = max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+        chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+        buckets = max(
+            8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS)
+        )
     keyed = docs.select(
         "doc_id",
         "text",

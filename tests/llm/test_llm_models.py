@@ -346,3 +346,20 @@ def test_one_of_each_finds_edited_appended_and_repeated(spark):
         want |= {100 * g, 100 * g + 10}
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert {r.doc_id for r in simhash.one_of_each(df).collect()} == want
+
+
+def test_substrings_of_a_frequent_word_group(spark):
+    # 600,000 different windows around one word group with the smallest hash: 32 bits of a
+    # digest would take about forty for repeats, and all would meet in one bucket
+    rng = np.random.default_rng(10)
+    groups = [[f"g{k}_{j}".encode() for j in range(5)] for k in range(2000)]
+    least = min(groups, key=lambda g: substrings.window_hashes(substrings.hashes(g), 5)[0])
+    texts = []
+    for _ in range(40):
+        words = rng.integers(0, 1 << 40, (1000, 10))
+        texts.append(b" ".join(b" ".join([*[b"u%d" % x for x in w], *least]) for w in words).decode())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    assert substrings.dedup(df, 20, 8).where("n_removed > 0").isEmpty()
+    blocks = substrings.windows(texts[0].encode().split(), 20)
+    assert len(np.unique(substrings.mix(blocks[1] ^ blocks[0]) % np.uint64(8))) == 8
+    assert len(np.unique(blocks[0])) < len(blocks[0]) and blocks[1].dtype == np.uint64
