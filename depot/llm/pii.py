@@ -3,9 +3,9 @@
 The patterns find e-mail addresses, IP addresses, card numbers and phone numbers; each value
 is a protected entity. Whether a word near an entity reveals it is a matter of information:
 pointwise mutual information of word and entity, in relation to what the entity's name
-itself tells (its information content). Counts are of the whole corpus: in how many
-different surroundings the entity stands, in how many of these the word is, and in how many
-documents the word occurs at all. Words beyond the upper threshold are removed, those
+itself tells (its information content). Counts are of the different documents of the whole
+corpus (copies of a text count once): in how many the entity stands, in how many of these
+the word is near it, and in how many the word occurs at all. Words beyond the upper threshold are removed, those
 beyond the lower one are replaced by a general word, wherever they stand.
 """
 
@@ -26,7 +26,7 @@ from depot.operators.durable import materialize
 
 #: Words on either side of an entity that count as its surroundings.
 REACH = 6
-#: An entity, and an entity with a word, must be seen in so many different surroundings.
+#: An entity, and an entity with a word, must be seen in so many different documents.
 LEAST = 3
 #: Shares of the entity's information beyond which a word is generalised or removed.
 GENERALISE, REMOVE = 0.75, 0.95
@@ -43,7 +43,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-_WORD = re.compile(r"[^\W\d_]{3,}")
+_WORD = re.compile(r"[^\W_]+")
 _ALL_DIGITS = re.compile("[0-9]")
 
 Span = tuple[int, int, str]
@@ -115,48 +115,57 @@ def term_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
-def surroundings(text: str | None) -> Iterator[tuple[int, int, list[int]]]:
-    """Hash of the entity, hash of its surroundings and the words in them, for each entity."""
+def surroundings(text: str | None) -> Iterator[tuple[int, set[int]]]:
+    """Hash of the entity and the words around it, wherever it stands, for each entity."""
     spans = base_spans(text)
     if not spans:
         return
     words = list(words_outside(text, spans))
     starts = [w[0] for w in words]
+    around: dict[int, set[int]] = {}
     for start, end, kind in spans:
         value = text[start:end].lower()
         if kind in ("card", "phone"):
             value = "".join(_ALL_DIGITS.findall(value))
         left, right = np.searchsorted(starts, [start, end]).tolist()
-        near = sorted({w[2] for w in words[max(0, left - REACH) : left] + words[right : right + REACH]})
-        yield term_hash(f"{kind} {value}"), term_hash(" ".join(near)), [term_hash(w) for w in near]
+        near = {w[2] for w in words[max(0, left - REACH) : left] + words[right : right + REACH]}
+        around.setdefault(term_hash(f"{kind} {value}"), set()).update(map(term_hash, near))
+    yield from around.items()
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """term (hash) and share: how much of some entity's information the word gives, at most 1."""
 
     def scan(batches):
-        for (texts,) in rows(batches, "text"):
-            found = [(e, c, t) for text in texts for e, c, near in surroundings(text) for t in near]
+        for hashes, texts in rows(batches, "copy", "text"):
+            # a value without words around it is a row too, it counts for the value
+            found = [
+                (e, h, t)
+                for h, text in zip(hashes, texts, strict=True)
+                for e, near in surroundings(text)
+                for t in (near or (None,))
+            ]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f[k] for f in found], pa.int64()) for k in range(3)],
-                names=["entity", "context", "term"],
+                names=["entity", "copy", "term"],
             )
 
-    picked = docs.select("text")
-    # copies of a document have the same surroundings, which count once
+    # copies of a text have one hash, and count once everywhere
+    picked = docs.select(F.xxhash64("text").alias("copy"), "text")
     seen = materialize(
-        picked.mapInArrow(scan, "entity long, context long, term long").distinct(), "surroundings"
+        picked.mapInArrow(scan, "entity long, copy long, term long").distinct(), "surroundings"
     )
     entities = (
-        seen.groupBy("entity", "context").agg(F.lit(1).alias("one"))
+        seen.groupBy("entity", "copy").agg(F.lit(1).alias("one"))
         .groupBy("entity").agg(F.count("*").alias("n_entity"))
         .where(F.col("n_entity") >= LEAST)
     )
-    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    pairs = seen.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     pairs = materialize(pairs.where(F.col("n_both") >= LEAST).join(entities, "entity"), "pairs")
     wanted = _filter(pairs.select("term"))
-    everywhere = _documents_with(picked, wanted)
-    n = F.lit(float(max(2, picked.count())))
+    copies = materialize(picked.groupBy("copy").agg(F.count("*").alias("rows")), "copies")
+    everywhere = _documents_with(picked, wanted, _filter(copies.where("rows > 1").select(F.col("copy").alias("term"))))
+    n = F.lit(float(max(2, copies.count())))
     share = F.log2(F.col("n_both") * n / (F.col("n_entity") * F.col("n_docs"))) / F.log2(
         F.greatest(n / F.col("n_entity"), F.lit(2.0))
     )
@@ -189,9 +198,17 @@ def _may_match(filter_bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (filter_bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
 
 
-def _documents_with(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """term, n_docs: in how many documents each wanted word occurs."""
-    held = docs.sparkSession.sparkContext.broadcast(wanted)
+def _documents_with(docs: DataFrame, wanted: np.ndarray, copied: np.ndarray) -> DataFrame:
+    """term, n_docs: in how many different documents (copy, text) each wanted word occurs.
+
+    `copied` is a filter of the hashes of texts with copies: only these are dealt by hash.
+    """
+    held = docs.sparkSession.sparkContext.broadcast((wanted, copied))
+
+    def apart(batches, with_copies):
+        for batch in batches:
+            may = _may_match(held.value[1], batch.column("copy").to_numpy())
+            yield batch.filter(pa.array(may == with_copies))
 
     def count(batches):
         seen = np.empty(0, np.int64)
@@ -199,14 +216,17 @@ def _documents_with(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
         for (texts,) in rows(batches, "text"):
             each = [np.array(list(map(term_hash, {w.lower() for w in _WORD.findall(t or "")})), np.int64) for t in texts]
             new = np.concatenate(each)
-            new = new[_may_match(held.value, new)]
+            new = new[_may_match(held.value[0], new)]
             seen, back = np.unique(np.concatenate([seen, new]), return_inverse=True)
             times = np.bincount(
                 back, np.concatenate([times, np.ones(len(new), np.int64)]), len(seen)
             ).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(times)], names=["term", "n"])
 
-    counted = docs.mapInArrow(count, "term long, n long")
+    once = docs.mapInArrow(lambda b: count(apart(b, False)), "term long, n long")
+    several = docs.mapInArrow(lambda b: apart(b, True), "copy long, text string")
+    several = several.groupBy("copy").agg(F.first("text").alias("text")).select("text")
+    counted = once.unionByName(several.mapInArrow(count, "term long, n long"))
     return counted.groupBy("term").agg(F.sum("n").alias("n_docs"))
 
 

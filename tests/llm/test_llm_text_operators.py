@@ -260,6 +260,24 @@ def test_terms_that_give_an_entity_away(spark):
     assert clean[1] == rows[1][1]
 
 
+def test_terms_are_counted_by_different_documents(spark):
+    rng = np.random.default_rng(3)
+    common = ["with", "some", "people", "near", "house", "water", "always", "never", "great", "small"]
+    texts = [" ".join(rng.choice(common, 40)) for _ in range(400)]
+    for i in range(60):  # the same line in different documents
+        texts[i] += "\nregards Wu Kowalczyk b4x sig.one@corp.example"
+    for i in range(100, 103):  # few documents, of which there are many copies
+        words = texts[i].split()
+        words[20:20] = ["Zanzibarov", f"zed{i}", "z.boss@corp.example"]
+        texts[i] = " ".join(words)
+    rows = list(enumerate(texts + texts[100:103] * 100 + ["the notes of Wu Kowalczyk b4x and Zanzibarov"]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert len(clean) == len(rows) and clean[300] == texts[300]
+    for word in ("Wu", "Kowalczyk", "b4x", "Zanzibarov"):
+        assert not any(word in t for t in clean.values()), word
+
+
 def test_private_data_of_awkward_rows(awkward, nothing):
     got = pii.private_data(awkward).collect()
     assert len(got) == len(AWKWARD)
