@@ -10,6 +10,7 @@ are quartiles over all documents of the language, so they follow the corpus.
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -53,11 +54,13 @@ def _model(path: str) -> tuple:
 
 
 def script(text: str) -> str:
-    """Script of the first letters, as Unicode names it."""
-    for c in text[:200]:
+    """Commonest script of the letters, as Unicode names it; of equals the first by name."""
+    counts: dict[str, int] = {}
+    for c, n in Counter(text).items():
         if c.isalpha():
-            return unicodedata.name(c, "UNKNOWN").split(" ")[0]
-    return "NONE"
+            name = unicodedata.name(c, "UNKNOWN").split(" ")[0]
+            counts[name] = counts.get(name, 0) + n
+    return min(counts, key=lambda name: (-counts[name], name)) if counts else "NONE"
 
 
 def base_figures(text: str | None, words: list[bytes]) -> tuple[int, int, int, int]:

@@ -138,6 +138,12 @@ def test_fertility_rejects_outliers_of_a_language(spark):
     assert got[103].n_words == 0 and got[103].base_failed and got[103].lang == "script NONE"
 
 
+def test_script_of_the_whole_text():
+    assert fertility.script("1 - " * 60 + "слова") == "CYRILLIC"
+    assert fertility.script("A Latin title\n" + "длинный текст " * 20) == "CYRILLIC"
+    assert fertility.script("12 %") == fertility.script("") == "NONE"
+
+
 def test_fertility_of_awkward_rows(awkward, nothing):
     path = public_tokenizers.path("piece_bpe_32k.model")
     got = fertility.quality(awkward, path)
