@@ -26,12 +26,13 @@ SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 #: A band reaches this many quartile distances beyond the quartiles.
 REACH = 6.0
-#: Shorter documents, and languages with fewer documents, get no verdict from the bands.
-LEAST_TOKENS, LEAST_DOCS = 50, 30
+#: Texts of so many tokens at least are of one length class, shorter ones of one each; a band needs
+#: so many documents of its class, else that of the script, then that of all documents is taken.
+LEAST_TOKENS, LEAST_DOCS = (50, 25, 13), 30
 
 METRICS = ("chars_per_token", "byte_share", "entropy")
 _SCHEMA = (
-    "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+    "doc_id long, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double"
 )
 
@@ -110,9 +111,9 @@ def figures(docs: DataFrame, vocabulary: str) -> DataFrame:
                 words = space_words(text)
                 base = base_figures(text, words)
                 tokens = np.frombuffer(b"".join(map(of_word.__getitem__, words)), np.uint32)
-                lang = lang or f"script {script(text or '')}"
-                out.append((doc_id, lang, len(words), *base, *token_figures(base[0], tokens, is_byte)))
-            kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6, *[pa.float64()] * 3]
+                letters = f"script {script(text or '')}"
+                out.append((doc_id, lang or letters, letters, len(words), *base, *token_figures(base[0], tokens, is_byte)))
+            kinds = [pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 6, *[pa.float64()] * 3]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
                 names=[f.split(" ")[0] for f in _SCHEMA.split(", ")],
@@ -122,9 +123,21 @@ def figures(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """Lowest and highest allowed figure for each language with enough documents."""
-    long_enough = measured.where(F.col("n_tokens") >= LEAST_TOKENS)
-    quartiles = long_enough.groupBy("lang").agg(
+    """Lowest and highest allowed figure for each language, script and length class.
+
+    They are those of the language if it has enough documents of the class, else those of the
+    script, else those of all documents of the class, else those of all short ones; texts
+    without letters are not compared with all documents.
+    """
+    group = ["lang", "script", "length"]
+    everything = F.when(F.col("script") != "script NONE", F.lit(""))
+    length, shorter = F.col("length"), F.least("length", F.lit(1))
+    keys = [(F.col("lang"), length), (F.col("script"), length), (everything, length), (everything, shorter)]
+    levels = F.array(
+        *[F.struct(F.lit(k).alias("level"), x.alias("key"), n.alias("size")) for k, (x, n) in enumerate(keys)]
+    )
+    levelled = measured.select(*group, *METRICS, F.explode(levels).alias("at")).where("at.key is not null")
+    quartiles = levelled.groupBy("at").agg(
         F.count("*").alias("band_docs"),
         *[F.percentile_approx(m, [0.25, 0.75], 1000).alias(m) for m in METRICS],
     )
@@ -135,8 +148,15 @@ def bands(measured: DataFrame) -> DataFrame:
         reach = REACH * F.greatest(high - low, 0.01 * F.abs(high), F.lit(0.002))
         return [(low - reach).alias(f"{m}_low"), (high + reach).alias(f"{m}_high")]
 
-    return quartiles.where(F.col("band_docs") >= LEAST_DOCS).select(
-        "lang", *[c for m in METRICS for c in limits(m)]
+    found = quartiles.where(F.col("band_docs") >= LEAST_DOCS).select(
+        "at", F.struct(*[c for m in METRICS for c in limits(m)]).alias("band")
+    )
+    groups = measured.select(*group).distinct().withColumn("at", F.explode(levels))
+    return (
+        groups.join(found, "at")
+        .groupBy(*group)
+        .agg(F.min_by("band", "at.level").alias("band"))
+        .select(*group, "band.*")
     )
 
 
@@ -145,18 +165,21 @@ def quality(docs: DataFrame, vocabulary: str) -> DataFrame:
     base_failed, kept, then the token figures.
 
     base_failed: fewer than 10 words, or over a fifth of the words in repeated 5-word windows.
-    Null texts have no words. A document without a verdict of the bands (short, or of a rare
-    language) is kept unless its base fails. Missing `lang` columns count as null.
+    Null texts have no words. A document without a band (its language, script and all documents
+    of its length are too few) is kept unless its base fails. Missing `lang` columns count as null.
     """
-    measured = materialize(figures(docs, vocabulary), "fertility")
+    length = F.lit(len(LEAST_TOKENS))
+    for k, least in reversed(list(enumerate(LEAST_TOKENS))):
+        length = F.when(F.col("n_tokens") >= least, k).otherwise(length)
+    measured = materialize(figures(docs, vocabulary).withColumn("length", length), "fertility")
     failed = (F.col("n_words") < LEAST_WORDS) | (
         100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")
     )
     inside = F.lit(True)
     for m in METRICS:
         inside &= F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high"))
-    verdict = (F.col("n_tokens") < LEAST_TOKENS) | F.coalesce(inside, F.lit(True))
-    return measured.join(bands(measured), "lang", "left").select(
+    verdict = F.coalesce(inside, F.lit(True))
+    return measured.join(bands(measured), ["lang", "script", "length"], "left").select(
         "doc_id",
         *["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"],
         failed.alias("base_failed"),

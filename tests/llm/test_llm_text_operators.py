@@ -144,6 +144,24 @@ def test_script_of_the_whole_text():
     assert fertility.script("12 %") == fertility.script("") == "NONE"
 
 
+def test_fertility_judges_short_texts_and_rare_languages(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rng = np.random.default_rng(4)
+    vocabulary = ["people", "water", "country", "through", "little", "number", "great", "world", "house", "school"]
+    rows = [(i, " ".join(rng.choice(vocabulary, 15 if i % 2 else 80)), "en") for i in range(120)]
+    junk = [" ".join("q" + chr(0x1F300 + int(c)) for c in rng.integers(0, 200, n)) for n in (12, 80)]
+    rows += [(200, junk[0], "en"), (201, junk[1], "xx"), (202, " ".join(rng.choice(vocabulary, 80)), "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id: r.kept for r in fertility.quality(docs, path).where("not base_failed").collect()}
+    assert kept[202] and not kept[201]
+    short = [(300 + i, " ".join(rng.permutation(vocabulary)) + f" {i} school house", "en") for i in range(60)]
+    short.append((400, " ".join("q" + chr(0x1F300 + int(c)) for c in rng.integers(0, 200, 4)) + " a b c d e f g h", "en"))
+    docs = spark.createDataFrame(short, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in fertility.quality(docs, path).collect()}
+    assert all(got[300 + i].kept for i in range(60))
+    assert got[400].n_tokens < 50 and not got[400].base_failed and not got[400].kept
+
+
 def test_fertility_of_awkward_rows(awkward, nothing):
     path = public_tokenizers.path("piece_bpe_32k.model")
     got = fertility.quality(awkward, path)
