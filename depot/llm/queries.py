@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from depot.llm.decontam import contamination
 from depot.llm.fertility import quality
+from depot.llm.hardneg import hard_negatives
 from depot.llm.kneser import language_scores
 from depot.llm.packing import pack
 from depot.llm.pii import private_data
+from depot.llm.rangejoin import near_vectors
+from depot.llm.search import search
 from depot.llm.shared import tasks_find_package
 from depot.llm.simhash import near_duplicates
 from depot.llm.substrings import dedup
@@ -140,6 +143,92 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
 
 
+def op11_vector_join(spark: SparkSession, sf: str) -> DataFrame:
+    tasks_find_package(spark)
+    return near_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+OP11_SQL = """
+WITH RECURSIVE ready AS (
+  SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS length
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(embedding) > 0 AND
+              len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+  WHERE list_inner_product(v, v) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ready a JOIN ready b ON a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.v, b.v) / (a.length * b.length) >= 0.9),
+reached AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+lowest AS (SELECT a, min(b) AS low FROM reached GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+       vec_id <= coalesce(low, vec_id) AS kept
+FROM embeddings LEFT JOIN counts c ON vec_id = c.a LEFT JOIN lowest l ON vec_id = l.a
+"""
+
+
+def op12_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return search(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
+OP12_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+docs AS (SELECT doc_id, w, len(w) AS n FROM words WHERE len(w) > 0),
+size AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM docs),
+counts AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM docs)
+  GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
+item_terms AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+weights AS (
+  SELECT item_id, term, times, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w
+  FROM item_terms JOIN dfs USING (term), size),
+scores AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) //
+    (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms))))::BIGINT AS score
+  FROM counts JOIN weights USING (term), size GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank,
+       doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    tasks_find_package(spark)
+    return hard_negatives(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+OP13_SQL = """
+WITH ready AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND
+        len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id,
+         list_inner_product(a.v, r.v)::BIGINT AS score
+  FROM ready a JOIN ready r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 QUERIES = {
     "op1_personal_data": (op1_personal_data, None),
     "op2_packing": (op2_packing, None),
@@ -151,4 +240,7 @@ QUERIES = {
     "op8_warc": (op8_warc, OP8_SQL),
     "op9_simhash": (op9_simhash, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_vector_join": (op11_vector_join, OP11_SQL),
+    "op12_ranked_search": (op12_ranked_search, OP12_SQL),
+    "op13_hard_negatives": (op13_hard_negatives, OP13_SQL),
 }
