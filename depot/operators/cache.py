@@ -6,10 +6,12 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from depot.functions import fixed
 from depot.functions.urls import content_fingerprint, url_key
 from depot.operators.diff import last_wins
+from depot.operators.durable import materialize
 
 STATE_SCHEMA = "hash string, url string, size bigint, etag string"
 
@@ -101,21 +103,34 @@ def _starts_with_any(url: str, prefixes: Sequence[str]) -> Column:
 def _prefix_flags(urls: DataFrame, url: str, prefixes: DataFrame, name: str) -> DataFrame:
     """Distinct ``urls`` with ``name``: whether they start with any prefix of the table.
 
-    The lengths that occur cut every URL into its candidate prefixes, which are looked
-    up by equality, so no URL meets a prefix it does not start with.
+    A prefix is the interval of byte strings from itself to itself and the byte FF, which
+    no text holds. Intervals of prefixes lie apart or inside each other, so a URL has a
+    prefix exactly if the highest end of the prefixes at or before it in order lies beyond
+    it. URLs and prefixes are range-partitioned together, and inside a part and over the
+    parts before it the highest end is carried along: a URL is one row, whatever lengths
+    the prefixes have and however many there are. The parts are written, because a range
+    exchange that is planned twice may cut at different points.
     """
-    table = prefixes.select(F.col(prefixes.columns[0]).alias("_c")).where("_c <> ''").distinct()
-    # at most one number per prefix length
-    lengths = [r["n"] for r in table.select(F.length("_c").alias("n")).distinct().collect()]
-    if not lengths:
-        return urls.withColumn(name, F.lit(False))
-    cuts = F.array_distinct(F.array(*[F.substring(url, 1, n) for n in sorted(lengths)]))
-    return (
-        urls.select(url, F.explode(cuts).alias("_c"))
-        .join(table.withColumn("_hit", F.lit(True)), "_c", "left")
-        .groupBy(url)
-        .agg(F.coalesce(F.max("_hit"), F.lit(False)).alias(name))
+    key = F.col(url).cast("binary")
+    begin = F.col(prefixes.columns[0]).cast("binary")
+    table = prefixes.select(begin.alias("_k"), F.concat(begin, F.lit(b"\xff")).alias("_end"))
+    none = F.lit(None).cast("binary")
+    both = urls.select(key.alias("_k"), none.alias("_end")).where("_k is not null").unionByName(
+        table.where(F.length("_k") > 0).distinct()
+    )
+    dealt = materialize(
+        both.repartitionByRange("_k").withColumn("_part", F.spark_partition_id()), "prefix-parts"
     )
+    # one row a part
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = dealt.groupBy("_part").agg(F.max("_end").alias("_top"))
+    carried = carried.select("_part", F.max("_top").over(before).alias("_carried"))
+    # a prefix comes before the URL that is equal to it
+    order = ["_k", F.col("_end").isNull()]
+    so_far = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    highest = F.greatest(F.max("_end").over(so_far), F.col("_carried"))
+    flagged = dealt.join(carried, "_part").withColumn("_hit", F.coalesce(highest > F.col("_k"), F.lit(False)))
+    return flagged.where("_end is null").select(F.col("_k").cast("string").alias(url), F.col("_hit").alias(name))
 
 
 def has_prefix(df: DataFrame, url: str, prefixes: DataFrame | Sequence[str], name: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from depot.functions.versions import parse_version
@@ -38,24 +39,25 @@ def latest_pointer(snapshots: DataFrame, lo: int, hi: int, column: str = "snapsh
     )
 
 
-def _ranged(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """Range-partition by ``order``, fix the parts in storage and measure them.
-
-    Part numbers follow the order. They are written with the rows because a range
-    exchange that is planned twice may cut at different points.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    return materialize(ranged, name)
+#: Rows that a task orders at a time, at most about: of a part of a running sum, and of the
+#: range a budget ends in.
+ROWS_IN_ORDER = 1_000_000
+#: Ranges a budget's crossing range is cut into in a round, a power of two, and rows looked at for that.
+RANGES, LOOKED_AT = 64, 1024
 
 
 def running_total(df: DataFrame, order: Sequence[str], value: str, name: str = "running") -> DataFrame:
     """Running sum of ``value`` over the whole table in a unique ``order``.
 
-    Parts are summed side by side, offsets are added from one row per part, and the
-    window runs inside a part: no task sees the whole table.
+    The table is range-partitioned into parts of a bounded number of rows. They are summed
+    side by side, offsets are added from one row per part, and the window runs inside a
+    part: no task sees the whole table. Parts are written with their numbers because a range
+    exchange that is planned twice may cut at different points.
     """
-    ranged = _ranged(df, order, "running-total")
+    parts = -(-df.count() // ROWS_IN_ORDER) or 1
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    ranged = df.repartitionByRange(max(parts, min(cores, 4 * parts)), *order)
+    ranged = materialize(ranged.withColumn("_part", F.spark_partition_id()), "running-total")
     sums = ranged.groupBy("_part").agg(F.sum(value).alias("_sum")).collect()  # one row per part
     offsets, total = [], 0
     for row in sorted(sums, key=lambda r: r["_part"]):
@@ -76,31 +78,83 @@ def budget_prefix(df: DataFrame, order: Sequence[str], size: str, budget: int) -
 
     The prefix ends at the first overflow even if later rows would fit; exactly the
     budget is kept. Sizes must be there and not negative, else this is an error, and
-    ``order`` must be unique. Parts before the one where the sum crosses are taken whole,
-    later ones not read; only the crossing part is ordered.
+    ``order`` must be unique.
+
+    The end is found by weighted selection: sizes are summed by ranges of the order, and
+    only the range where the sum crosses the budget is cut again, at rows of it that
+    hashing picks, until few enough rows are left to be ordered. A round is one scan whose
+    sums are combined map-side. The result is a filter on ``df``: nothing is sorted or
+    written, and the rows beyond the prefix are never moved.
     """
-    ranged = _ranged(df, order, "budget")
-    bad = F.count_if(F.col(size).isNull() | (F.col(size) < 0))
-    sums = ranged.groupBy("_part").agg(F.sum(size).alias("_sum"), bad.alias("_bad"))
-    sums = sums.collect()  # one row per part
-    if any(row["_bad"] for row in sums):
-        raise ValueError(f"{sum(row['_bad'] for row in sums)} rows have no usable {size}")
-    total, edge, offset = 0, None, 0
-    for row in sorted(sums, key=lambda r: r["_part"]):
-        if total + (row["_sum"] or 0) > budget:
-            edge, offset = row["_part"], total
+    schema = StructType([StructField(c, df.schema[c].dataType) for c in order])
+    kinds = [f.dataType for f in schema]
+    key = F.struct(*order)
+
+    def point(values: Sequence) -> Column:
+        columns = [F.lit(v).cast(k).alias(c) for c, v, k in zip(order, values, kinds, strict=True)]
+        return F.struct(*columns)
+
+    def picked(rows: DataFrame, groups: Sequence[Column], many: int) -> list:
+        """Sums of groups, each with a row of it that stands for its place in the order."""
+        hashed = rows.select(F.xxhash64(*order).alias("_h"), *[c for c in dict.fromkeys([*order, size])], *groups)
+        return (
+            hashed.groupBy(*[c for c in hashed.columns if c.startswith("_g")], F.pmod("_h", F.lit(many)).alias("_m"))
+            .agg(
+                F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("sum"),
+                F.count_if(F.col(size).isNull() | (F.col(size) < 0)).alias("bad"),
+                F.min_by(key, F.struct("_h", *order)).alias("row"),
+            )
+            .collect()
+        )
+
+    inside, left = df, budget
+    found = picked(df, [], LOOKED_AT)
+    if bad := sum(r["bad"] for r in found):
+        raise ValueError(f"{bad} rows have no usable {size}")
+    if sum(r["sum"] for r in found) <= budget:
+        return df
+    while sum(r["n"] for r in found) > ROWS_IN_ORDER:
+        before = len(found), sum(r["n"] for r in found)
+        rows = _in_order(df.sparkSession, [r["row"] for r in found], schema)
+        edges = [rows[k * len(rows) // RANGES] for k in range(1, RANGES)]
+        edges = [e for e, last in zip(edges, [None, *edges], strict=False) if e != last]
+        group = _range_number(key, [point(e) for e in edges], 0)
+        by_range: dict[int, list] = {}
+        for r in picked(inside, [group.alias("_g")], LOOKED_AT // RANGES):
+            by_range.setdefault(r["_g"], []).append(r)
+        for crossing in sorted(by_range):
+            total = sum(r["sum"] for r in by_range[crossing])
+            if total > left:
+                break
+            left -= total
+        found = by_range[crossing]
+        if crossing > 0:
+            inside = inside.where(key >= point(edges[crossing - 1]))
+        if crossing < len(edges):
+            inside = inside.where(key < point(edges[crossing]))
+        if before == (len(found), sum(r["n"] for r in found)):  # equal rows, against the contract
             break
-        total += row["_sum"] or 0
-    if edge is None:
-        return ranged.drop("_part")
-    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    crossing = (
-        ranged.where(F.col("_part") == edge)
-        .withColumn("_run", F.sum(size).over(inside))
-        .where(F.col("_run") + offset <= budget)
-        .drop("_run")
+    # few rows: one task orders them
+    run = F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    over = inside.select(*order, run.alias("_run")).where(F.col("_run") > left)
+    first = over.agg(F.min(key).alias("row")).first()["row"]
+    return df.where(key < point(first))
+
+
+def _in_order(spark: SparkSession, rows: list, schema: StructType) -> list:
+    """A few collected rows in Spark's order of them (nulls first), which Python's need not be."""
+    table = spark.createDataFrame(rows, schema)
+    return table.orderBy(*table.columns).collect()
+
+
+def _range_number(key: Column, edges: list[Column], first: int) -> Column:
+    """How many edges are at or below ``key``, by halving."""
+    if not edges:
+        return F.lit(first)
+    half = len(edges) // 2
+    return F.when(key < edges[half], _range_number(key, edges[:half], first)).otherwise(
+        _range_number(key, edges[half + 1 :], first + half + 1)
     )
-    return ranged.where(F.col("_part") < edge).unionByName(crossing).drop("_part")
 
 
 def top_k(

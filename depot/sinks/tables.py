@@ -2,39 +2,51 @@
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depot.operators.cache import STATE_SCHEMA
-from depot.operators.durable import materialize
 from depot.operators.layers import requirement_text
+from depot.sinks.log import Conflict, Log, Version
 
 
-def _read_or_none(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
-    try:
-        reader = spark.read.schema(schema) if schema else spark.read
-        return reader.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+PIN_SCHEMA = "snapshot int, env string, package string, raw_version string"
 
 
-def write_pins(df: DataFrame, path: str) -> None:
-    """Add snapshots to a pin table; a snapshot that is already there is an error.
+def write_pins(df: DataFrame, path: str) -> int:
+    """Add snapshots to a pin table as one version; a snapshot that is already there is an error.
 
-    The rows are fixed in the shared folder first, so that they are computed once and the
-    check and the table see the same; the check opens only folders of the new snapshots.
-    Writers of one snapshot must take turns. The rebalance hint writes few files per
-    snapshot but still splits a large one over several tasks.
+    The rows are staged, one folder a snapshot, and published by one entry of the table's log.
+    Of writers that race with the same snapshot one succeeds and the others fail whole;
+    with different snapshots all succeed, one after the other. Returns the version. The
+    rebalance hint writes few files per snapshot but still splits a large one over several
+    tasks.
     """
-    rows = materialize(df, "pins")
-    new = [r["snapshot"] for r in rows.select("snapshot").distinct().collect()]  # a handful
-    present = _read_or_none(df.sparkSession, path)
-    if present is not None and not present.where(F.col("snapshot").isin(new)).isEmpty():
-        raise ValueError("a snapshot is immutable and already in the table")
-    rows.hint("rebalance", "snapshot").write.mode("append").partitionBy("snapshot").parquet(path)
+    log = Log(df.sparkSession, path)
+    stage = log.new_folder()
+    # the files keep the snapshot, so that folders of several stages can be read at once
+    staged = df.withColumn("_part", F.col("snapshot")).hint("rebalance", "_part")
+    staged.write.partitionBy("_part").parquet(log.folder(stage))
+    folders = {s: [f"{stage}/_part={s}"] for s in log.staged(stage, "_part")}
+
+    def against(last: Version) -> None:
+        if again := sorted(folders.keys() & last.parts.keys()):
+            raise Conflict(f"snapshots are immutable and {', '.join(again)} already in the table")
+
+    return log.commit({"put": folders}, against).number
+
+
+def read_pins(
+    spark: SparkSession,
+    path: str,
+    version: int | None = None,
+    snapshots: Sequence[int] | None = None,
+    schema: str = PIN_SCHEMA,
+) -> DataFrame:
+    """Pins as of a version, the newest by default; of all snapshots or the given ones."""
+    log = Log(spark, path)
+    live = log.at(version)
+    return log.read(schema, live, None if snapshots is None else [str(s) for s in snapshots])
 
 
 def write_matrix(heads: DataFrame, venvs: DataFrame, path: str) -> None:
@@ -74,65 +86,41 @@ def write_requirements(df: DataFrame, path: str, keys: Sequence[str] = ("env",))
     ordered.write.mode("errorifexists").partitionBy(*keys).text(path)
 
 
-#: A commit names the version, the stream run and batch it comes from, and how far it got.
-COMMITS = "version bigint, run string, batch bigint, mark string"
-
-
-def latest_version(spark: SparkSession, root: str, before: int | None = None) -> int | None:
-    """Newest committed version of a state table, optionally below ``before``."""
-    commits = _read_or_none(spark, f"{root}/commits", COMMITS)
-    if commits is None:
-        return None
-    if before is not None:
-        commits = commits.where(F.col("version") < before)
-    return commits.agg(F.max("version").alias("v")).first()["v"]
+def latest_version(spark: SparkSession, root: str) -> int | None:
+    """Newest version of a state table."""
+    number = Log(spark, root).at().number
+    return None if number < 0 else number
 
 
-def is_committed(spark: SparkSession, root: str, run: str, batch: int) -> bool:
-    """Whether this batch of this stream run is in. Batch ids alone start again with every checkpoint."""
-    commits = _read_or_none(spark, f"{root}/commits", COMMITS)
-    if commits is None:
-        return False
-    return not commits.where((F.col("run") == run) & (F.col("batch") == batch)).isEmpty()
+def read_version(spark: SparkSession, root: str, schema: str, number: int | None = None) -> DataFrame:
+    """Rows of a version of a state table, the newest by default; no state yet is an empty table."""
+    log = Log(spark, root)
+    return log.read(schema, log.at(number))
 
 
-def latest_mark(spark: SparkSession, root: str) -> str | None:
-    """How far the newest version got, in the writer's own terms."""
-    commits = _read_or_none(spark, f"{root}/commits", COMMITS)
-    return None if commits is None else commits.agg(F.max_by("mark", "version").alias("m")).first()["m"]
-
-
-def read_version(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """Rows of the newest committed version; no state yet is an empty table."""
-    version = latest_version(spark, root)
-    if version is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/data/version={version}")
-
-
-def next_version(spark: SparkSession, root: str) -> int:
-    last = latest_version(spark, root)
-    return 0 if last is None else last + 1
+def replace_state(
+    df: DataFrame, root: str, entry: dict | None = None, after: int | None = None
+) -> int:
+    """Replace a state table by ``df`` as a new version, and return its number.
 
+    ``entry`` has more for the log (runs, notes). With ``after`` the version must follow that
+    one: if another writer came between, this is a :class:`Conflict` and nothing changes.
+    """
+    log = Log(df.sparkSession, root)
+    stage = log.new_folder()
+    df.write.parquet(log.folder(stage))
 
-def write_version(
-    df: DataFrame, root: str, version: int, run: str = "", batch: int | None = None, mark: str | None = None
-) -> None:
-    """Write a version beside the others, then record it as committed.
+    def against(last: Version) -> None:
+        if after is not None and last.number != after:
+            raise Conflict(f"version {last.number} of {root} came between")
 
-    Readers follow the commit record, so they see the old version until the new one is
-    whole. A write that failed half-way is overwritten by its retry.
-    """
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{root}/data/version={version}")
-    commit = spark.createDataFrame([(version, run, batch, mark)], COMMITS)
-    commit.coalesce(1).write.mode("append").parquet(f"{root}/commits")
+    return log.commit({**(entry or {}), "replace_all": True, "put": {"all": [stage]}}, against).number
 
 
-def read_cache_state(spark: SparkSession, root: str) -> DataFrame:
-    return read_version(spark, root, STATE_SCHEMA)
+def read_cache_state(spark: SparkSession, root: str, number: int | None = None) -> DataFrame:
+    return read_version(spark, root, STATE_SCHEMA, number)
 
 
-def write_cache_state(df: DataFrame, root: str) -> None:
+def write_cache_state(df: DataFrame, root: str, after: int | None = None) -> int:
     """Replace the cache state, failed downloads included: they are retried next time."""
-    write_version(df, root, next_version(df.sparkSession, root))
+    return replace_state(df, root, after=after)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from depot.functions import fixed, parse_version, snapshot_label
 from depot.operators.diff import diff_chain, diff_envs, diff_snapshots, last_wins
+from depot.operators.durable import run_dir
 from depot.operators.layers import (
     align_layers,
     conflicts,
@@ -14,6 +15,7 @@ from depot.operators.layers import (
     split_by,
 )
 from depot.operators.ranking import distinct_versions, latest_per_key
+from depot.sinks.tables import read_pins, write_pins
 from depot.sources.locks import parse_lines, split_lines
 from depot.workloads.tables import CUT, LAYER_NAMES, LAYER_SQL, int_text, layer_rows, table
 
@@ -286,7 +288,35 @@ FROM lineitem LEFT JOIN (SELECT DISTINCT p_partkey FROM part WHERE p_size >= 40)
 GROUP BY 1, 2
 """
 
+def pin_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Pins of ship years, written in two versions and read back as of each: rows by year and supplier."""
+    path = run_dir(spark, "pins")
+    pins = table(spark, sf, "lineitem").select(
+        F.year("l_shipdate").alias("snapshot"),
+        F.concat(F.lit("s"), "l_suppkey").alias("env"),
+        F.concat(F.lit("part-"), "l_partkey").alias("package"),
+        F.concat(F.col("l_linenumber"), F.lit("."), int_text("l_quantity")).alias("raw_version"),
+    )
+    for years in (F.col("snapshot") < 1998, F.col("snapshot") >= 1998):
+        write_pins(pins.where(years), path)
+    as_of = [read_pins(spark, path, v).withColumn("as_of", F.lit(v)) for v in (0, 1)]
+    return (
+        as_of[0].unionByName(as_of[1]).groupBy("as_of", "snapshot", "env")
+        .agg(F.count("*").alias("pins"), F.max(F.concat_ws("==", "package", "raw_version")).alias("last"))
+    )
+
+
+PIN_HISTORY = """
+WITH pins AS (
+  SELECT year(l_shipdate)::INTEGER AS snapshot, 's' || l_suppkey AS env,
+         'part-' || l_partkey || '==' || l_linenumber || '.' || l_quantity::BIGINT AS pin FROM lineitem)
+SELECT as_of, snapshot, env, count(*) AS pins, max(pin) AS "last"
+FROM pins JOIN (VALUES (0, 1997), (1, 9999)) AS v(as_of, newest) ON snapshot <= newest
+GROUP BY as_of, snapshot, env"""
+
+
 QUERIES = {
+    "pin_history": (pin_history, PIN_HISTORY),
     "snapshot_diff": (snapshot_diff, SNAPSHOT_DIFF),
     "env_diff": (env_diff, ENV_DIFF),
     "snapshot_chain_diff": (snapshot_chain_diff, SNAPSHOT_CHAIN_DIFF),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from depot.operators.durable import run_dir
 from depot.sources.events import flatten_events
 from depot.streaming.demand import demand, stream_demand, stream_top_k
-from depot.streaming.state import changes, stream_latest, stream_sync
+from depot.streaming.state import changes, stream_latest, stream_sync, sync_plans
 from depot.workloads.tables import CUT, OBJECTS_SQL, part_objects, table
 
 
@@ -89,7 +89,7 @@ def stream_sync_query(spark: SparkSession, sf: str) -> DataFrame:
         feed.write.mode("append").parquet(f"{root}/feeds")
         arriving = spark.readStream.schema(feed.schema).parquet(f"{root}/feeds")
         stream_sync(arriving, root, budget, f"{root}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{root}/plans/version=1")
+    return sync_plans(spark, root, 1)
 
 
 STREAM_SYNC = f"""
@@ -129,12 +129,14 @@ def stream_latest_query(spark: SparkSession, sf: str) -> DataFrame:
 
 
 STREAM_LATEST = f"""
-WITH r AS (SELECT *, l_shipdate < TIMESTAMP '{CUT}' AS early FROM lineitem
-  QUALIFY row_number() OVER (PARTITION BY l_partkey, l_shipdate < TIMESTAMP '{CUT}' ORDER BY
-    l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_returnflag DESC) = 1)
-SELECT n.l_partkey, n.l_shipdate, n.l_orderkey, n.l_linenumber, n.l_suppkey, n.l_returnflag
-FROM (SELECT * FROM r WHERE NOT early) n LEFT JOIN (SELECT * FROM r WHERE early) o ON n.l_partkey = o.l_partkey
-WHERE o.l_partkey IS NULL OR (o.l_suppkey, o.l_returnflag) <> (n.l_suppkey, n.l_returnflag)"""
+WITH best AS (
+  SELECT l_partkey, max(w) FILTER (l_shipdate < TIMESTAMP '{CUT}') AS o, max(w) FILTER (l_shipdate >= TIMESTAMP '{CUT}') AS n
+  FROM (SELECT l_partkey, l_shipdate, {{'d': l_shipdate, 'o': l_orderkey, 'l': l_linenumber,
+                                        's': l_suppkey, 'f': l_returnflag}} AS w FROM lineitem)
+  GROUP BY l_partkey)
+SELECT l_partkey, n.d AS l_shipdate, n.o AS l_orderkey, n.l AS l_linenumber, n.s AS l_suppkey, n.f AS l_returnflag
+FROM best WHERE n IS NOT NULL AND (o IS NULL OR o.s IS DISTINCT FROM n.s OR o.f IS DISTINCT FROM n.f)"""
+
 
 QUERIES = {
     "stream_demand": (stream_demand_query, STREAM_DEMAND),

@@ -8,6 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from depot.operators import ranking
 from depot.operators.cache import STATE_SCHEMA, has_prefix, new_state, plan_sync, route, sync_summary, with_stat
 from depot.operators.inventory import (
     duplicate_candidates,
@@ -91,6 +92,63 @@ def test_running_sums_equal_global_window(spark, rows, shape):
         assert rows(got, "a", "b") == rows(want.where(F.col("running") <= budget), "a", "b")
 
 
+@pytest.mark.parametrize("shape", ["spread", "one order value", "texts and nulls"])
+def test_budget_is_found_in_rounds(spark, rows, monkeypatch, shape):
+    rng = random.Random(11)
+    for name, value in (("ROWS_IN_ORDER", 20), ("RANGES", 4), ("LOOKED_AT", 64)):
+        monkeypatch.setattr(ranking, name, value)
+
+    def first(i):
+        if shape == "one order value":
+            return "x"
+        return rng.choice([None, "", "é", "z", "\U0001f600"]) if shape == "texts and nulls" else f"{rng.randrange(90):03d}"
+
+    data = [(first(i), i, rng.randrange(9)) for i in range(3000)]
+    df = spark.createDataFrame(data, "a string, b int, n bigint").repartition(3)
+    want = df.withColumn("run", F.sum("n").over(Window.orderBy("a", "b").rowsBetween(Window.unboundedPreceding, 0)))
+    runs = [r.run for r in want.select("run").orderBy("run").collect()]
+    for budget in (0, runs[1500], runs[1500] + 1, runs[-1] - 1, runs[-1]):
+        got = budget_prefix(df, ["a", "b"], "n", budget)
+        assert rows(got, "a", "b") == rows(want.where(F.col("run") <= budget), "a", "b")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Sort" not in plan and "Window" not in plan
+
+
+def test_budget_moves_sums_only(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "ROWS_IN_ORDER", 1000)
+    df = spark.range(0, 200_000, 1, 4).withColumn("n", F.lit(3).cast("bigint"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("budget", "")
+    try:
+        assert budget_prefix(df, ["id"], "n", 300_000).count() == 100_000
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup("budget")) < 20
+
+
+def test_running_total_of_many_parts(spark, rows, monkeypatch):
+    monkeypatch.setattr(ranking, "ROWS_IN_ORDER", 50)
+    df = spark.range(0, 1000, 1, 3).select((F.col("id") * 7919 % 1000).alias("k"), F.col("id").alias("n"))
+    got = running_total(df, ["k"], "n").orderBy("k").collect()
+    total = 0
+    for r in got:
+        total += r.n
+        assert r.running == total
+
+
+def test_urls_meet_prefixes_of_any_length_as_one_row(spark, rows):
+    rng = random.Random(3)
+    prefixes = ["h/" + "a" * n for n in range(1, 500, 2)] + [f"p{k}" * k for k in range(1, 250)] + ["é", "\U0001f600x", ""]
+    urls = {"".join(rng.choice("ha/p1é\U0001f600x") for _ in range(rng.randrange(1, 7))) for _ in range(300)}
+    urls |= {p[: len(p) - 1] for p in prefixes if p} | {p + "b" for p in prefixes} | set(prefixes) | {"h/b", "i"}
+    df = spark.createDataFrame([(u,) for u in sorted(urls)], "url string").repartition(3)
+    table = spark.createDataFrame([(p,) for p in [*prefixes, prefixes[0]]], "p string")
+    want = [(u, any(p and u.startswith(p) for p in prefixes)) for u in urls]
+    assert rows(has_prefix(df, "url", table, "hit")) == sorted(want, key=repr)
+    nulls = df.unionByName(spark.createDataFrame([(None,)], "url string"))
+    assert rows(has_prefix(nulls, "url", table, "hit").where("url is null")) == [(None, False)]
+
+
 def state(spark, **objects):
     return spark.createDataFrame([(h, f"u-{h}", *v) for h, v in objects.items()], STATE_SCHEMA)
 

@@ -1,5 +1,7 @@
 import json
 import os
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,10 +9,12 @@ from pyspark.sql import functions as F
 from depot.operators.cache import STATE_SCHEMA
 from depot.operators.durable import materialize, shared_dir
 from depot.operators.matrix import matrix_summary, matrix_venvs, torch_rules
+from depot.sinks.log import Log
 from depot.sinks.tables import (
     append_marker,
     latest_version,
     read_cache_state,
+    read_pins,
     write_cache_state,
     write_matrix,
     write_pins,
@@ -19,7 +23,15 @@ from depot.sinks.tables import (
 from depot.sources import parse_markers, read_events
 from depot.sources.documents import SNAPSHOT_SCHEMA
 from depot.streaming.demand import demand, route_share, stream_demand, stream_top_k, window_top_k
-from depot.streaming.state import changes, latest_batch, stream_latest, stream_sync, sync_batch
+from depot.streaming.state import (
+    changes,
+    latest_batch,
+    latest_state,
+    stream_latest,
+    stream_sync,
+    sync_batch,
+    sync_plans,
+)
 
 
 def write_events(path, name, events):
@@ -87,27 +99,28 @@ def test_sync_stream_over_feeds_and_replay(spark, tmp_path, rows):
         stream_sync(spark.readStream.schema(FEED).parquet(f"{root}/feeds"), root, 25, f"{root}/cp").awaitTermination()
 
     def plan(i):
-        return rows(spark.read.parquet(f"{root}/plans/version={i}"), "action", "bytes_downloaded")
+        return rows(sync_plans(spark, root, i), "action", "bytes_downloaded")
 
     arrive((1, 0, "a", 10, "e"), (1, 1, "b", 10, "e"), (1, 2, "c", 10, "e"))
     assert plan(0) == [("download", 10), ("download", 10)]
     # two feeds in one batch: the newest counts
     arrive((2, 0, "z", 1, "e"), (3, 0, "b", 10, "f"), (3, 1, "a", 10, "e"))
     assert plan(1) == [("keep", 0), ("replace", 10)]
-    state = rows(read_cache_state(spark, f"{root}/state"))
+    state = rows(read_cache_state(spark, root))
     # the same batch again changes nothing
     again = spark.createDataFrame([(9, 0, "q", 1, "e")], FEED)
-    run = spark.read.parquet(f"{root}/state/commits").where("version = 1").first().run
+    [run] = Log(spark, root).at(1).runs
     sync_batch(again, 1, root, 25, run=run)
-    assert rows(read_cache_state(spark, f"{root}/state")) == state and plan(1) == [("keep", 0), ("replace", 10)]
+    assert rows(read_cache_state(spark, root)) == state and plan(1) == [("keep", 0), ("replace", 10)]
     sync_batch(again.limit(0), 2, root, 25, run=run)
     # a late feed does not roll the cache back
     arrive((2, 0, "late", 1, "e"))
-    assert rows(read_cache_state(spark, f"{root}/state")) == state
+    assert rows(read_cache_state(spark, root)) == state
     # with a new checkpoint batch ids start again: what is old stays out, what is new comes in
     spark.createDataFrame([(7, 0, "new", 5, "e")], FEED).write.mode("append").parquet(f"{root}/feeds")
     stream_sync(spark.readStream.schema(FEED).parquet(f"{root}/feeds"), root, 25, f"{root}/cp2").awaitTermination()
-    assert rows(read_cache_state(spark, f"{root}/state"), "url", "size") == [("new", 5)]
+    assert rows(read_cache_state(spark, root), "url", "size") == [("new", 5)]
+    assert rows(read_cache_state(spark, root, 1)) == state
     with pytest.raises(ValueError, match="which run"):
         sync_batch(again, 0, root, 25)
 
@@ -127,39 +140,130 @@ def test_latest_stream_emits_changes_only(spark, tmp_path, rows):
     assert rows(changes(spark, root, 1)) == [("c", 1, "z")]
     arrive(("b", 5, "w"))
     assert rows(changes(spark, root, 2)) == [("b", 5, "w")]
-    before = rows(spark.read.parquet(f"{root}/state/data/version=2"))
-    assert [r[:3] for r in before] == [("a", 3, "y"), ("b", 5, "w"), ("c", 1, "z")]
-    run = spark.read.parquet(f"{root}/state/commits").first().run
+    state = [("a", 3, "y"), ("b", 5, "w"), ("c", 1, "z")]
+    assert rows(latest_state(spark, root, schema, ["k"])) == state
+    # a replayed batch changes nothing
+    [run] = Log(spark, root).at().runs
     late = spark.createDataFrame([("a", 9, "q")], schema)
     latest_batch(late, 2, root, ["k"], ["n"], ["v"], run)
-    assert rows(spark.read.parquet(f"{root}/state/data/version=2")) == before
+    assert rows(latest_state(spark, root, schema, ["k"])) == state
     # another run has batches of the same numbers
     latest_batch(late, 2, root, ["k"], ["n"], ["v"], "another")
     assert rows(changes(spark, root, 3)) == [("a", 9, "q")]
+    # with a new checkpoint all rows come again, and none is newer
+    stream = spark.readStream.schema(schema).parquet(f"{root}/rows")
+    stream_latest(stream, root, ["k"], ["n"], ["v"], f"{root}/cp2").awaitTermination()
+    assert rows(changes(spark, root, 4)) == []
+    assert rows(latest_state(spark, root, schema, ["k"])) == [("a", 9, "q"), *state[1:]]
+    assert rows(latest_state(spark, root, schema, ["k"], 2)) == state
+
+
+def test_latest_batch_touches_the_buckets_of_its_keys(spark, tmp_path, rows):
+    root, schema = str(tmp_path), "k long, n int, v string"
+    log = Log(spark, root)
+
+    def batch(number, data):
+        df = spark.createDataFrame(data, schema)
+        latest_batch(df, number, root, ["k"], ["n"], ["v"], "r", buckets=8)
+        return log.at()
+
+    before = batch(0, [(k, 0, "x") for k in range(100)])
+    assert len(before.parts) == 8
+    want = {k: (k, 0, "x") for k in range(100)}
+    for n in range(1, 21):
+        after = batch(n, [(5, n, f"v{n}"), (5, n - 1, "late")])
+        changed = [b for b in after.parts if after.parts[b] != before.parts[b]]
+        assert len(changed) == 1
+        # nothing is written beside the row, except where folders are merged
+        assert rows(changes(spark, root, n)) == [(5, n, f"v{n}")]
+        assert max(map(len, after.parts.values())) <= 9
+        before = after
+    want[5] = (5, 20, "v20")
+    assert rows(latest_state(spark, root, schema, ["k"])) == sorted(want.values(), key=repr)
+    assert (20, "json") in [(int(n[:12]), n[13:]) for n in os.listdir(f"{root}/_log")]
+    gone = log.vacuum(keep=2)
+    assert len(gone) > 10 and rows(changes(spark, root, 19)) == [(5, 19, "v19")]
+    assert rows(latest_state(spark, root, schema, ["k"])) == sorted(want.values(), key=repr)
+    with pytest.raises(ValueError, match="vacuumed"):
+        log.at(3)
+    batch(21, [(5, 21, "w")])
+    assert rows(changes(spark, root, 21)) == [(5, 21, "w")]
+
+
+PINS = "snapshot int, env string, package string, raw_version string"
+
+
+def test_pins_are_immutable(spark, tmp_path, rows):
+    path = str(tmp_path / "pins")
+    one = spark.createDataFrame([(1, "e", "a", "1"), (1, "f", "a", "1")], PINS)
+    assert read_pins_or_none(spark, path) == []
+    assert write_pins(one, path) == 0
+    assert write_pins(one.withColumn("snapshot", F.lit(2)), path) == 1
+    # one snapshot is new and one is not: neither gets in
+    with pytest.raises(ValueError, match="immutable and 2 already"):
+        write_pins(one.withColumn("snapshot", F.col("env").eqNullSafe("e").cast("int") + 2), path)
+    assert rows(read_pins(spark, path), "snapshot", "env") == [(1, "e"), (1, "f"), (2, "e"), (2, "f")]
+    assert rows(read_pins(spark, path, 0), "snapshot", "env") == [(1, "e"), (1, "f")]
+    with pytest.raises(ValueError, match="no version 2"):
+        read_pins(spark, path, 2)
+
+
+def read_pins_or_none(spark, path):
+    return read_pins(spark, path).collect()
 
 
-def test_pins_are_immutable(spark, tmp_path):
+def test_of_racing_writers_one_publishes(spark, tmp_path, rows):
     path = str(tmp_path / "pins")
-    df = spark.createDataFrame([(1, "e", "a", "1"), (1, "f", "a", "1")], "snapshot int, env string, package string, raw_version string")
-    write_pins(df, path)
-    write_pins(df.withColumn("snapshot", F.lit(2)), path)
-    with pytest.raises(ValueError):
-        write_pins(df.withColumn("snapshot", F.lit(2)), path)
-    got = spark.read.parquet(path)
-    assert got.count() == 4 and got.where("snapshot = 2").count() == 2
+    df = spark.createDataFrame([(1, "e", "a", "1")], PINS)
+
+    def write(k):
+        try:
+            # two writers each of three snapshots, told apart by their version
+            return write_pins(df.select(F.lit(k % 3).alias("snapshot"), "env", "package", F.lit(f"{k}").alias("raw_version")), path)
+        except ValueError:
+            return None
+
+    with ThreadPoolExecutor(6) as pool:
+        got = list(pool.map(write, range(6)))
+    assert sorted(v for v in got if v is not None) == [0, 1, 2]
+    winners = sorted((k % 3, str(k)) for k, v in enumerate(got) if v is not None)
+    assert rows(read_pins(spark, path), "snapshot", "raw_version") == winners
+    # what the others staged is not read, and goes when it is old
+    log = Log(spark, path)
+    assert len(os.listdir(f"{path}/data")) == 6 and log.vacuum(keep=9) == []
+    assert len(log.vacuum(keep=9, staged_since_ms=int(time.time() * 1000) + 60_000)) == 3
+    assert rows(read_pins(spark, path), "snapshot", "raw_version") == winners
+
+
+def test_an_entry_is_created_once(spark, tmp_path):
+    log = Log(spark, str(tmp_path))
+    with ThreadPoolExecutor(8) as pool:
+        versions = list(pool.map(lambda k: log.commit({"put": {str(k): [str(k)]}}).number, range(25)))
+    assert sorted(versions) == list(range(25))
+    assert sorted(log.at().parts, key=int) == [str(k) for k in range(25)]
+    assert {n for n in os.listdir(f"{tmp_path}/_log") if "draft" in n} == set()
+    assert [n for n in sorted(os.listdir(f"{tmp_path}/_log")) if n.endswith("checkpoint")] == [
+        f"{n:012d}.checkpoint" for n in (9, 19)
+    ]
+    assert sorted(log.at(12).parts) == sorted(str(k) for k, v in enumerate(versions) if v <= 12)
 
 
 def test_cache_state_versions(spark, tmp_path, rows):
     root = str(tmp_path / "state")
     assert latest_version(spark, root) is None and read_cache_state(spark, root).isEmpty()
     one = spark.createDataFrame([("h", "u", 1, "e")], STATE_SCHEMA)
-    write_cache_state(one, root)
-    write_cache_state(one.withColumn("size", F.lit(2).cast("bigint")), root)
+    assert write_cache_state(one, root) == 0
+    assert write_cache_state(one.withColumn("size", F.lit(2).cast("bigint")), root, after=0) == 1
+    with pytest.raises(ValueError, match="came between"):
+        write_cache_state(one, root, after=0)
     assert rows(read_cache_state(spark, root), "size") == [(2,)]
-    assert latest_version(spark, root) == 1 and latest_version(spark, root, before=1) == 0
-    # a version without commit record is not seen
-    one.write.parquet(f"{root}/data/version=2")
+    assert rows(read_cache_state(spark, root, 0), "size") == [(1,)]
+    assert latest_version(spark, root) == 1
+    # a folder without entry is not seen
+    one.write.parquet(f"{root}/data/more")
     assert rows(read_cache_state(spark, root), "size") == [(2,)]
+    [old] = Log(spark, root).vacuum()
+    assert old not in os.listdir(f"{root}/data") and rows(read_cache_state(spark, root), "size") == [(2,)]
 
 
 def test_matrix_document_and_requirements(spark, tmp_path):
