@@ -114,13 +114,24 @@ def op7_fertility(spark: SparkSession, sf: str) -> DataFrame:
     return quality(documents(spark, sf), public_tokenizers.path(PIECES))
 
 
+def captured_pages(pages: DataFrame) -> DataFrame:
+    """Pages with a time of capture: their own `captured` where it is a time of 14 digits.
+
+    The given pages have none. Page n then counts as captured n seconds into 2024, and from
+    10 ** 9 seconds on (in 2055) again from its start, so that every id has a time.
+    """
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    seconds = F.coalesce(F.pmod(F.col("page_id").cast("long"), F.lit(10**9)), F.lit(0))
+    time = F.date_format(start + F.make_dt_interval(secs=seconds), "yyyyMMddHHmmss")
+    if "captured" in pages.columns:
+        own = F.col("captured").cast("string")
+        time = F.when(own.rlike("^[0-9]{14}$"), own).otherwise(time)
+    return pages.select("page_id", "url", "html", time.alias("captured"))
+
+
 def op8_warc(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages have no time of capture; page n counts as captured n seconds into 2024."""
     tasks_find_package(spark)
-    start = F.lit("2024-01-01").cast("timestamp_ntz")
-    time = start + F.make_dt_interval(secs=F.col("page_id"))
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
-    pages = pages.withColumn("captured", F.date_format(time, "yyyyMMddHHmmss"))
+    pages = captured_pages(spark.read.parquet(f"{sf}/pages.parquet"))
     captures = read_captures(merged_index(write_archives(pages)))
     return captures.drop("url", "captured", "key_range", "place")
 

@@ -23,10 +23,13 @@ from depot.llm.texts import field_rows, rows, whole
 from depot.operators.durable import materialize
 
 #: Labelled training documents the lexicon and the curve are fitted on, at most; those with
-#: the lowest hash of their id are taken. It bounds what the fit costs at any corpus size.
+#: the lowest hash of their id are taken, one text of an id. It bounds what the fit costs at
+#: any corpus size, and what the lexicon can hold; nothing else does.
 SAMPLE = 20_000
-#: Entries of the lexicon and exception phrases, at most, best first.
-TERMS, PHRASES = 4_000, 2_000
+#: A term is an entry if it is so many standard deviations commoner in toxic documents, and
+#: its smoothed logarithmic weight is at least this; a phrase with one is an exception below
+#: that weight; and an entry must be worth so much where it is the longest match.
+SIGNAL, TERM_WEIGHT, EXCEPTION_WEIGHT, MATCH_WEIGHT = 3.0, 0.7, 0.5, 1.0
 #: Beginnings of words have these lengths.
 SHORTEST, LONGEST = 3, 9
 
@@ -106,7 +109,12 @@ def _sample(docs: DataFrame, labels: DataFrame, train: list[int], folds: int) ->
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     # at most SAMPLE rows of 12 bytes; the documents' texts stay where they are
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    return materialize(texts.select("text", "toxic"), "toxicity-sample")
+    # rows may share an id, a third of all even: tasks reduce them to one text each
+    one = texts.groupBy("doc_id").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("toxic").alias("toxic")
+    )
+    half = (F.xxhash64("doc_id", F.lit("half")) % 2 == 0).alias("half")
+    return materialize(one.select("text", (F.col("toxic") > 0).alias("toxic"), half), "toxicity-sample")
 
 
 def _counts(sample: DataFrame, of_text) -> DataFrame:
@@ -144,14 +152,8 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return theta
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: list[int], folds: int) -> tuple[dict, list, list]:
-    """Weights of terms, exception phrases and the curve, from labelled training documents.
-
-    What the driver takes is bounded by SAMPLE, TERMS and PHRASES. Without toxic or without
-    harmless rows the lexicon is empty and every score about the share of toxic rows; without
-    any labelled rows it is 0.
-    """
-    sample = _sample(docs, labels, train, folds)
+def _lexicon(sample: DataFrame) -> tuple[dict[str, float], list[str]]:
+    """Weights of terms and exception phrases of a sample; both empty if it has one kind of label."""
     sizes = {bool(r.toxic): r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_bad, n_good = sizes.get(True, 0), sizes.get(False, 0)
     rate_bad = (F.col("bad") + 0.5) / (n_bad + 1)
@@ -161,18 +163,13 @@ def fit(docs: DataFrame, labels: DataFrame, train: list[int], folds: int) -> tup
     def all_terms(text: str | None) -> set[str]:
         return {t for w in set(folded_words(text)) for t in terms(w)}
 
-    # signal: how surely the term is commoner in toxic documents, in standard deviations
+    # signal: how surely the term is commoner in toxic documents, in standard deviations. The
+    # smoothed rates keep terms of a few documents below it, whatever the sample's size.
     signal = (rate_bad - rate_good) / F.sqrt(
         rate_bad * (1 - rate_bad) / (n_bad + 1) + rate_good * (1 - rate_good) / (n_good + 1)
     )
-    best = (
-        _counts(sample, all_terms)
-        .select("term", "bad", weight.alias("weight"), signal.alias("signal"))
-        .where("bad >= 4 and weight >= 0.7 and signal >= 3")
-        .orderBy(F.desc("signal"), "term")
-        .limit(TERMS)
-    )
-    weights = {r.term: float(r.weight) for r in best.collect()}
+    best = _counts(sample, all_terms).where((weight >= TERM_WEIGHT) & (signal >= SIGNAL))
+    weights = {r.term: float(r.weight) for r in best.select("term", weight.alias("weight")).collect()}
     words_only = Lexicon(weights, [])
 
     def around(text: str | None) -> set[str]:
@@ -191,38 +188,51 @@ def fit(docs: DataFrame, labels: DataFrame, train: list[int], folds: int) -> tup
                     out.add(marked(words[a:b]))
         return out
 
-    harmless = (
-        _counts(sample, around)
-        .where("good >= 3")
-        .where(weight < 0.5)
-        .orderBy(F.desc("good"), "term")
-        .limit(PHRASES)
-    )
-    exceptions = [r.term for r in harmless.collect() if r.term not in weights]
-    weights = {t: w for t, w in weights.items() if t not in set(exceptions)}
+    harmless = _counts(sample, around).where(weight < EXCEPTION_WEIGHT).select("term").collect()
+    exceptions = sorted(r.term for r in harmless if r.term not in weights)
     # what a term is worth where it is the longest match and no exception takes it
     lexicon = Lexicon(weights, exceptions)
     matched = _counts(
         sample, lambda text: {t for *_, t in lexicon.matches(marked(folded_words(text))) if t in weights}
     )
-    weighed = matched.where(weight >= 1.0).select("term", weight.alias("weight"))
-    weights = {r.term: float(r.weight) for r in weighed.collect()}
-    lexicon = Lexicon(weights, exceptions)
+    weighed = matched.where(weight >= MATCH_WEIGHT).select("term", weight.alias("weight"))
+    return {r.term: float(r.weight) for r in weighed.collect()}, exceptions
+
+
+def _features(rows_of: DataFrame, found: tuple[dict, list]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of a part of the sample, by a lexicon that was not learnt from it."""
+    lexicon = Lexicon(*found)
 
     def features(batches):
         for texts, toxic in rows(batches, "text", "toxic"):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([lexicon.features(folded_words(t)) for t in texts], pa.list_(pa.float64())),
-                    pa.array(toxic, pa.int32()),
+                    pa.array(toxic, pa.bool_()),
                 ],
                 names=["x", "y"],
             )
 
-    seen = sample.select("text", F.col("toxic").cast("int").alias("toxic"))
-    found = seen.mapInArrow(features, "x array<double>, y int").collect()  # SAMPLE rows at most
-    x = np.array([r.x for r in found], float).reshape(-1, 5)
-    theta = _curve(x, np.array([r.y > 0 for r in found], float)) if found else np.array([-30.0] + [0.0] * 4)
+    seen = rows_of.select("text", "toxic").mapInArrow(features, "x array<double>, y boolean")
+    seen = seen.orderBy("x", "y").collect()  # SAMPLE rows at most
+    return np.array([r.x for r in seen], float).reshape(-1, 5), np.array([r.y for r in seen], float)
+
+
+def fit(docs: DataFrame, labels: DataFrame, train: list[int], folds: int) -> tuple[dict, list, list]:
+    """Weights of terms, exception phrases and the curve, from labelled training documents.
+
+    The lexicon is learnt from the whole sample. The curve is fitted on what lexicons of each
+    half find in the other one, since texts a lexicon was learnt from have more matches than
+    others. What the driver takes is bounded by SAMPLE. Without toxic or without harmless rows
+    every score is about the share of toxic rows; without any labelled rows it is 0.
+    """
+    sample = _sample(docs, labels, train, folds)
+    weights, exceptions = _lexicon(sample)
+    parts = []
+    for mine in (F.col("half"), ~F.col("half")):
+        parts.append(_features(sample.where(~mine), _lexicon(sample.where(mine))))
+    x, y = (np.concatenate(p) for p in zip(*parts, strict=True))
+    theta = _curve(x, y) if len(x) else np.array([-30.0] + [0.0] * 4)
     return weights, exceptions, theta.tolist()
 
 

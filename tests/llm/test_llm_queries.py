@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from depot.llm.decontam import contamination
-from depot.llm.queries import QUERIES
+from depot.llm.queries import QUERIES, captured_pages
 from depot.operators.durable import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -67,6 +67,21 @@ def test_query_matches_sql(spark, name):
     assert sorted(repr(tuple(r)) for r in df.select(*columns).collect()) == want
 
 
+def test_pages_of_any_id_have_a_time(spark, tmp_path):
+    html = "<p>" + "same " * 40
+    pages = [(i, f"http://h/{i}", html) for i in (5 * 10**12, 2**62, -(2**63), 0, None, 10**9 + 1)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in QUERIES["op8_warc"][0](spark, str(tmp_path)).collect()}
+    assert len(got) == 6 and got[-(2**63)].record_type == "response"
+    assert {r.refers_to for r in got.values()} == {None, -(2**63)}
+    own = df.withColumns({"captured": F.lit("20200102030405"), "digest": F.lit("x"), "key_range": F.lit(1)})
+    times = {r.captured for r in captured_pages(own).collect()}
+    assert times == {"20200102030405"}
+    broken = captured_pages(own.withColumn("captured", F.lit("x"))).select("captured").collect()
+    assert all(len(r.captured) == 14 and r.captured[:2] == "20" for r in broken)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, counts = docs.columns, [docs.count()]

@@ -1,6 +1,8 @@
 """Decontamination, fertility, toxicity and personal data against plain loops."""
 
 import hashlib
+import math
+import os
 import re
 from collections import Counter
 
@@ -10,6 +12,7 @@ import pytest
 from awkward_rows import AWKWARD
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from depot.llm import decontam, fertility, pii, toxicity
 from depot.llm.texts import plain_words, space_words
@@ -211,6 +214,55 @@ def test_toxicity_learns_words_and_stems(spark):
     assert 60 < len(held) < 180 and all(0 <= r.score <= 1 for r in got.values())
 
 
+def plain_score(fitted, text):
+    """By substring search at every place: the longest term that stands there, from the left."""
+    weights, exceptions, theta = fitted
+    known = weights | dict.fromkeys(exceptions, 0.0)
+    words = toxicity.folded_words(text)
+    line, at, hits = toxicity.marked(words), 0, []
+    longest = max(map(len, known), default=0)
+    while at < len(line):
+        size = next((n for n in range(longest, 0, -1) if line[at : at + n] in known), 0)
+        if size and known[line[at : at + size]] > 0:
+            hits.append((known[line[at : at + size]], line[at : at + size]))
+        at += size or 1
+    total = sum(w for w, _ in hits)
+    x = [1.0, math.log1p(100 * total / max(len(words), 1)), math.log1p(total), math.log1p(len({t for _, t in hits}))]
+    z = sum(a * b for a, b in zip([*x, float(bool(hits))], theta, strict=True))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_toxicity_scores_as_plain_search_does(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    fitted = toxicity.fit(docs, labels, [1, 2, 3, 4], 5)
+    assert len(fitted[0]) > 5
+    got = toxicity.score(docs.select("doc_id", "text"), fitted).select("doc.text", "toxicity").collect()
+    assert len(got) == docs.count()
+    for text, score in got:
+        assert abs(score - plain_score(fitted, text)) < 1e-9
+    marks = {r.doc_id: r.toxic for r in labels.collect()}
+    whole = toxicity.toxicity(docs, labels).where("held_out").collect()
+    held = [(r.score, marks[r.doc_id]) for r in whole if r.doc_id in marks]
+    right = sum((s >= 0.5) == bool(t) for s, t in held)
+    assert right >= 0.9 * len(held)
+
+
+def test_toxicity_takes_one_row_of_an_id(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 10)
+    rows = [(1, f"bad text number {k}") for k in range(3000)] + [(k, f"good text {k}") for k in range(2, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(k, int(k == 1)) for k in range(1, 400)], "doc_id long, toxic int")
+    sample = toxicity._sample(docs, labels, [0, 1, 2, 3, 4], 5)
+    assert sample.count() == 10
+    everything = toxicity._sample(docs, labels.where("doc_id = 1"), [0, 1, 2, 3, 4], 5).collect()
+    assert len(everything) == 1 and everything[0].toxic
+    # the same text whatever the rows' order
+    again = toxicity._sample(docs.orderBy(F.desc("text")), labels.where("doc_id = 1"), [0, 1, 2, 3, 4], 5)
+    assert again.collect() == everything
+
+
 def test_toxicity_of_awkward_rows(spark, awkward, nothing):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.toxicity(awkward, none).collect()
