@@ -53,11 +53,30 @@ def duplicate_candidates(files: DataFrame, min_size: int = fixed.DUPLICATE_MIN_S
 
 
 def content_hashes(
-    files: DataFrame, content: Column, rank: Sequence[str], min_size: int = fixed.DUPLICATE_MIN_SIZE
+    files: DataFrame,
+    content: Column,
+    rank: Sequence[str],
+    min_size: int = fixed.DUPLICATE_MIN_SIZE,
+    ends: Column | None = None,
 ) -> DataFrame:
-    """Narrow rows (rank, size, content_hash) in the shared folder: contents are read and hashed once."""
-    large = files.where(F.col("size") >= min_size)
-    return materialize(large.select(*rank, "size", content.alias("content_hash")), "content-hashes")
+    """Narrow rows (rank, size, content_hash) of files that may have a copy, in the shared folder.
+
+    Contents are hashed in stages: files that share their size with another are looked at;
+    of these ``ends``, a hash of the first and last block, is taken; and only files that
+    share size and ends are hashed whole by ``content``. Without ``ends`` every file that
+    shares its size is. Stages hand on sizes and hashes, never contents.
+    """
+    sized = duplicate_candidates(files, min_size)
+    if ends is not None:
+        probed = materialize(sized.select("size", ends.alias("_ends")), "content-ends")
+        shared = probed.groupBy("size", "_ends").count().where("count > 1").select("size", "_ends")
+        sized = sized.withColumn("_ends", ends).join(shared, ["size", "_ends"], "left_semi")
+    return materialize(sized.select(*rank, "size", content.alias("content_hash")), "content-hashes")
+
+
+def content_ends(content: Column, block: int = 4096) -> Column:
+    """Hash of the first and the last block of a text or binary."""
+    return F.xxhash64(F.substring(content, 1, block), F.substring(content, -block, block))
 
 
 def duplicate_content(

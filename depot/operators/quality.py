@@ -96,14 +96,7 @@ def set_fingerprint(df: DataFrame, groups: Sequence[str], value: str) -> DataFra
     Values are hashed one by one and the hashes are added up in six lanes of 28 bits,
     so a group of any size is combined map-side and never gathered.
     """
-    hashed = df.select(*groups, F.col(value).cast("string").alias("_v")).distinct()
-    hashed = hashed.withColumn("_h", F.sha2("_v", 256))
-    lanes = [F.conv(F.substring("_h", 1 + 7 * i, 7), 16, 10).cast("bigint") for i in range(6)]
-    sums = hashed.groupBy(*groups).agg(
-        F.count("_v").alias("members"), *[F.sum(x).alias(f"_s{i}") for i, x in enumerate(lanes)]
-    )
-    text = F.concat_ws("|", F.col("members").cast("string"), *[F.col(f"_s{i}").cast("string") for i in range(6)])
-    return sums.select(*groups, "members", F.sha2(text, 256).alias("fingerprint"))
+    return state_fingerprint(set_state(df, groups, value), groups)
 
 
 def changed_sets(now: DataFrame, before: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -129,3 +122,74 @@ def readiness(
             "duration_seconds"
         ),
     )
+
+
+def build_runs(
+    markers: DataFrame, gap: str, keys: Sequence[str] = (), snapshot: str = "snapshot", timestamp: str = "timestamp"
+) -> DataFrame:
+    """Runs of a builder, from the markers it left: each with its ids, start, end and duration.
+
+    Markers of one of ``keys`` belong to one run as long as the next follows within ``gap`` (just ``gap`` later, too).
+    ``snapshots`` are the ids that the run marked, in order; they are ids of a registry, so
+    few however many markers a run leaves. Markers without time take no part.
+    """
+    marked = markers.where(F.col(timestamp).isNotNull())
+    runs = marked.groupBy(*keys, F.session_window(timestamp, gap)).agg(
+        F.min(timestamp).alias("started"),
+        F.max(timestamp).alias("ended"),
+        F.count("*").alias("markers"),
+        F.array_sort(F.collect_set(snapshot)).alias("snapshots"),
+    )
+    duration = F.unix_timestamp("ended") - F.unix_timestamp("started")
+    return runs.select(
+        *keys, "started", "ended", duration.alias("duration_seconds"), "markers", "snapshots"
+    )
+
+
+_LANES = [f"_s{i}" for i in range(6)]
+
+
+def set_state(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """What :func:`set_fingerprint` adds up, before it is hashed: members and six sums a group.
+
+    Sums can be taken further by :func:`update_sets` with only what changed.
+    """
+    members = df.select(*groups, F.col(value).cast("string").alias("_v")).distinct()
+    return _add_members(members.withColumn("_sign", F.lit(1)), groups)
+
+
+def _add_members(signed: DataFrame, groups: Sequence[str]) -> DataFrame:
+    hashed = signed.withColumn("_h", F.sha2("_v", 256))
+    counted = F.when(F.col("_v").isNotNull(), F.col("_sign")).otherwise(F.lit(0))
+    lanes = [
+        F.sum(F.conv(F.substring("_h", 1 + 7 * i, 7), 16, 10).cast("bigint") * F.col("_sign")).alias(c)
+        for i, c in enumerate(_LANES)
+    ]
+    # rows beside members: a group with a null alone is there, with no members
+    return hashed.groupBy(*groups).agg(F.sum("_sign").alias("_rows"), F.sum(counted).alias("members"), *lanes)
+
+
+def update_sets(
+    state: DataFrame, removed: DataFrame, added: DataFrame, groups: Sequence[str], value: str
+) -> DataFrame:
+    """State of the sets after ``removed`` members left and ``added`` ones came.
+
+    Both hold distinct members, as a diff of two snapshots gives them: what left was in its
+    set, and what came was not. Only they are hashed; sets and diff meet in one aggregate
+    of a row a group on the side of the sets. A set that lost all its members is gone.
+    """
+    signed = [
+        rows.select(*groups, F.col(value).cast("string").alias("_v"), F.lit(sign).alias("_sign"))
+        for rows, sign in ((removed, -1), (added, 1))
+    ]
+    change = _add_members(signed[0].unionByName(signed[1]), groups)
+    sums = [F.sum(c).alias(c) for c in ("_rows", "members", *_LANES)]
+    return state.unionByName(change).groupBy(*groups).agg(*sums).where("_rows > 0")
+
+
+def state_fingerprint(state: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Fingerprints of a state: the same as :func:`set_fingerprint` of the sets themselves."""
+    # sums of no members are left out, whether they were never there or came back to nothing
+    sums = [F.when(F.col("members") > 0, F.col(c)).cast("string") for c in _LANES]
+    text = F.concat_ws("|", F.col("members").cast("string"), *sums)
+    return state.select(*groups, "members", F.sha2(text, 256).alias("fingerprint"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from depot.functions import fixed
 from depot.functions.versions import parse_version
+from depot.sources.lines import read_lines
 from depot.sources.locks import read_texts, split_lines
 
 SNAPSHOT_SCHEMA = (
@@ -94,13 +95,34 @@ def read_markers(spark: SparkSession, path: str) -> DataFrame:
     """Marker files below a path with the directory each stands for.
 
     Spark does not list hidden files, so markers need a name without a leading dot; an
-    empty file gives no row, which is as good as not done.
+    empty file gives no row, which is as good as not done. Hidden markers are read as a
+    table by :func:`markers_of`.
     """
     texts = read_texts(spark, path)
     placed = texts.select(F.regexp_replace("file", "/[^/]*$", "").alias("dir"), "text")
     return parse_markers(placed)
 
 
+def markers_of(listing: DataFrame, name: str, path: str = "path", text: str = "text") -> DataFrame:
+    """Markers from a table of files with their texts, whatever their names are.
+
+    ``name`` is the markers' file name (hidden ones too). Every other file of the listing
+    only says that its directory is there: a directory without marker is not done.
+    """
+    parts = F.col(path)
+    marker = F.substring_index(parts, "/", -1) == name
+    placed = listing.select(
+        F.regexp_replace(parts, "/[^/]*$", "").alias("dir"), F.when(marker, F.col(text)).alias("text")
+    )
+    return parse_markers(placed.groupBy("dir").agg(F.max("text").alias("text")))
+
+
+def read_marker_log(spark: SparkSession, path: str) -> DataFrame:
+    """Audit markers of an append-only table of JSON lines, as they were appended."""
+    lines = spark.read.text(path).where("value <> ''")
+    return parse_markers(lines.select(F.col("value").alias("text"))).where("done").drop("done")
+
+
 def parse_feed(df: DataFrame, text: str = "text", mode: str = "fail") -> DataFrame:
     """Ranked URLs of feed documents; rows without a URL are left out.
 
@@ -144,12 +166,9 @@ def read_releases(spark: SparkSession, path: str) -> DataFrame:
     return parse_releases(read_texts(spark, path))
 
 
-def parse_manifest(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``url dest`` lines of manifests; any other form is an error.
-
-    Repeated destinations are found by :func:`depot.operators.quality.duplicates`.
-    """
-    lines = split_lines(df.select(*keys, text), text).where("line <> ''")
+def _manifest_rows(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Numbered lines, blanks trimmed, to ``url dest`` rows; any other form is an error."""
+    lines = lines.where("line <> ''")
     parts = F.split("line", r"\s+")
     lines = _fail_unless(
         lines, F.size(parts) == 2, F.concat(F.lit("invalid manifest line: "), F.col("line"))
@@ -159,10 +178,27 @@ def parse_manifest(df: DataFrame, keys: list[str], text: str = "text") -> DataFr
     )
 
 
+def parse_manifest(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``url dest`` lines of manifests held as texts; any other form is an error.
+
+    Repeated destinations are found by :func:`depot.operators.quality.duplicates`.
+    """
+    return _manifest_rows(split_lines(df.select(*keys, text), text), keys)
+
+
+def read_manifest_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line_no, url, dest`` of manifest files; a file may be of any size."""
+    lines = read_lines(spark, path)
+    return _manifest_rows(lines.withColumn("line", F.btrim("line", F.lit(fixed.BLANKS))), ["file"])
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Downloads of manifest files; a destination repeated in a file fails the job."""
-    rows = parse_manifest(read_texts(spark, path), ["file"])
-    folded = rows.groupBy("file", "dest").agg(F.max("url").alias("url"), F.count("*").alias("_n"))
+    folded = (
+        read_manifest_lines(spark, path)
+        .groupBy("file", "dest")
+        .agg(F.max("url").alias("url"), F.count("*").alias("_n"))
+    )
     return _fail_unless(
         folded, F.col("_n") == 1, F.concat(F.lit("repeated destination "), F.col("dest"))
     ).drop("_n")

@@ -7,6 +7,7 @@ from depot.functions import fixed
 from depot.functions.urls import resolve_dots
 from depot.functions.versions import parse_version
 from depot.operators.diff import last_wins
+from depot.sources.lines import read_lines
 
 
 def _plain(text: Column, rare: str) -> Column:
@@ -114,7 +115,14 @@ def parse_locks(
     ``mode='fail'`` fails the job on an invalid line; ``'reject'`` leaves it out (see
     :func:`lock_rejects` for those lines).
     """
-    rows = parse_lines(split_lines(texts.select(*keys, text), text), known_paths, cwd)
+    return _pins(split_lines(texts.select(*keys, text), text), keys, ["line_no"], mode, known_paths, cwd)
+
+
+def _pins(
+    lines: DataFrame, keys: list[str], order: list[str], mode: str, known_paths: DataFrame | None, cwd: str
+) -> DataFrame:
+    """Pins of numbered lines: the last line of a package counts."""
+    rows = parse_lines(lines, known_paths, cwd)
     if mode == "fail":
         # a filter, since an unused column could be pruned away
         rows = rows.where(
@@ -126,7 +134,7 @@ def parse_locks(
         rows = rows.where(F.col("error").isNull())
     else:
         raise ValueError(f"unknown mode {mode}")
-    pins = last_wins(rows.drop("error"), [*keys, "package"], ["line_no"], ["line_no", "raw_version"])
+    pins = last_wins(rows.drop("error"), [*keys, "package"], order, ["line_no", "raw_version"])
     return pins.withColumn("version", parse_version("raw_version"))
 
 
@@ -142,11 +150,20 @@ def read_locks(
     mode: str = "fail",
     known_paths: DataFrame | None = None,
     cwd: str = "/",
+    long_files: bool = False,
 ) -> DataFrame:
-    """Pins of a corpus ``.../g<snapshot>/<env>.txt``."""
-    texts = read_texts(spark, path)
+    """Pins of a corpus ``.../g<snapshot>/<env>.txt``.
+
+    A file is one row by default, which suits many small ones. With ``long_files`` files are
+    cut over tasks, and ``line_no`` counts lines that end in a newline or carriage return;
+    rarer line ends inside such a line part it further without numbers of their own.
+    """
     found = [F.regexp_extract("file", fixed.LOCK_PATH_PATTERN, i) for i in (1, 2)]
-    texts = texts.where(F.col("file").rlike(fixed.LOCK_PATH_PATTERN)).select(
-        found[0].cast("int").alias("snapshot"), found[1].alias("env"), "text"
-    )
+    keys = [found[0].cast("int").alias("snapshot"), found[1].alias("env")]
+    named = F.col("file").rlike(fixed.LOCK_PATH_PATTERN)
+    if long_files:
+        lines = read_lines(spark, path).where(named).select(*keys, F.col("line_no").alias("_row"), "line")
+        parts = split_lines(lines, "line").withColumnsRenamed({"line_no": "_part", "_row": "line_no"})
+        return _pins(parts, ["snapshot", "env"], ["line_no", "_part"], mode, known_paths, cwd)
+    texts = read_texts(spark, path).where(named).select(*keys, "text")
     return parse_locks(texts, ["snapshot", "env"], mode=mode, known_paths=known_paths, cwd=cwd)

@@ -1,14 +1,16 @@
 """Demand per time window, and the top of every closed window."""
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from depot.functions import fixed
 from depot.functions.urls import normalize_url
 from depot.operators.ranking import top_k_per_group
+from depot.sinks.log import Conflict, Log, Version
 from depot.streaming.runs import stream_run
 
 
@@ -104,3 +106,89 @@ def stream_top_k(demand_stream: DataFrame, k: int, path: str, checkpoint: str) -
     A window closes for all its URLs in one batch, so ranking the batch is final.
     """
     return append_batches(demand_stream, path, checkpoint, lambda df: window_top_k(df, k))
+
+
+def late_batch(
+    batch: DataFrame, batch_id: int, root: str, window: str, delay: str, run: str | None = None
+) -> None:
+    """Store the events of a batch that :func:`demand` with the same window and delay drops.
+
+    An event is late if its window had closed before the batch came: if the window ends at
+    or before the watermark, the latest time of all batches before less the delay. The
+    watermark is noted in the log with the batch, so a replayed batch is judged as before
+    and a new checkpoint goes on from it.
+    """
+    spark = batch.sparkSession
+    run = run or stream_run(spark)
+    log = Log(spark, root)
+    last = log.at()
+    if last.runs.get(run, -1) >= batch_id:
+        return
+    mark = last.notes.get("latest")
+    none = F.lit(None).cast("timestamp")
+    before = none if mark is None else F.timestamp_micros(F.lit(int(mark)))
+    closed = F.window("event_time", window)["end"] <= before - F.expr(f"INTERVAL {delay}")
+    stage = log.new_folder()
+    batch.where(closed).write.parquet(log.folder(stage))
+    newest = batch.agg(F.unix_micros(F.max("event_time")).alias("t")).first()["t"]
+    latest = max((int(t) for t in (mark, newest) if t is not None), default=None)
+    notes = {} if latest is None else {"latest": str(latest)}
+
+    def against(version: Version) -> None:
+        if version.number != last.number:
+            raise Conflict(f"version {version.number} came between this batch and the watermark it has read")
+
+    log.commit({"add": {"late": [stage]}, "runs": {run: batch_id}, "notes": notes}, against)
+
+
+def stream_late(
+    events: DataFrame, root: str, window: str, delay: str, checkpoint: str
+) -> StreamingQuery:
+    """Keep the late events of a stream beside the demand of the others.
+
+    It is to take the same events in the same batches as the demand.
+    """
+    return (
+        events.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(lambda df, i: late_batch(df, i, root, window, delay))
+        .start()
+    )
+
+
+def late_events(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """All late events so far."""
+    return Log(spark, root).read(schema)
+
+
+def watermark(spark: SparkSession, root: str, delay: str) -> Column:
+    """The watermark that :func:`stream_late` has come to."""
+    mark = Log(spark, root).at().notes.get("latest")
+    at = F.lit(None).cast("timestamp") if mark is None else F.timestamp_micros(F.lit(int(mark)))
+    return at - F.expr(f"INTERVAL {delay}")
+
+
+def accounts(events: DataFrame, closed: DataFrame, late: DataFrame, window: str, mark: Column) -> DataFrame:
+    """What became of all events, by source: in closed windows, in open ones, late.
+
+    ``events`` are all, ``closed`` the demand that was given out, ``late`` what was dropped,
+    ``mark`` the watermark. Open are the events of windows that end after it, none of which
+    can be late. The three add up to ``events`` exactly if nothing was lost.
+    """
+    zero = F.lit(0).cast("bigint")
+
+    def counted(df: DataFrame, name: str, n: Column) -> DataFrame:
+        names = ("events", "closed", "open", "late")
+        return df.groupBy("source").agg(n.alias("_n")).select(
+            "source", *[(F.col("_n") if c == name else zero).alias(c) for c in names]
+        )
+
+    opened = F.coalesce(F.window("event_time", window)["end"] > mark, F.lit(True))
+    rows = [
+        counted(events, "events", F.count("*")),
+        counted(events.where(opened), "open", F.count("*")),
+        counted(closed, "closed", F.sum("requests")),
+        counted(late, "late", F.count("*")),
+    ]
+    sums = [F.sum(c).alias(c) for c in ("events", "closed", "open", "late")]
+    return reduce(DataFrame.unionByName, rows).groupBy("source").agg(*sums)

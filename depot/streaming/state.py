@@ -12,7 +12,7 @@ from depot.sinks.log import Conflict, Log, Version
 from depot.streaming.runs import stream_run
 
 #: Buckets of a state by key, and folders a bucket may have before they are merged into one.
-BUCKETS, FOLDERS = 64, 8
+BUCKETS, FOLDERS = 16, 8
 
 
 def _done(version: Version, run: str, batch_id: int) -> bool:

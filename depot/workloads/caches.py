@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from depot.functions import content_fingerprint, host, normalize_url, url_key
 from depot.operators.cache import lazy_names, new_state, plan_sync, route, sync_summary, with_stat
+from depot.operators.durable import run_dir
 from depot.operators.quality import duplicates
 from depot.operators.ranking import (
     budget_prefix,
@@ -12,7 +13,7 @@ from depot.operators.ranking import (
     top_k,
     top_k_per_group,
 )
-from depot.sources.documents import parse_feed, parse_manifest, parse_state
+from depot.sources.documents import parse_feed, parse_manifest, parse_state, read_manifest_lines
 from depot.streaming.demand import route_share
 from depot.workloads.tables import OBJECTS_SQL, page_requests, part_objects, table
 
@@ -246,6 +247,29 @@ SELECT regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '/$',
 FROM pages GROUP BY 1 HAVING count(*) > 1"""
 
 
+def manifest_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of manifest files written from all lines of orders, with their numbers in each file."""
+    path = run_dir(spark, "manifests")
+    url = F.format_string("https://h/%d/%d/%d", "l_orderkey", "l_linenumber", "l_partkey")
+    shard = (F.col("l_orderkey") % 16).alias("shard")
+    rows = table(spark, sf, "lineitem").select(shard, F.concat(url, F.lit("\t d/"), "l_suppkey").alias("value"))
+    # a file a shard; lines to suppliers of an odd number are followed by a blank one
+    blank = F.when(F.col("value").rlike("[13579]$"), F.concat("value", F.lit("\n"))).otherwise(F.col("value"))
+    ordered = rows.repartition("shard").sortWithinPartitions("shard", "value")
+    ordered.withColumn("value", blank).write.partitionBy("shard").text(path)
+    found = F.regexp_extract("file", "/shard=([0-9]+)/", 1).cast("bigint")
+    return read_manifest_lines(spark, path).select(found.alias("shard"), "line_no", "url", "dest")
+
+
+MANIFEST_LINES = """
+WITH r AS (SELECT l_orderkey % 16 AS shard, 'https://h/' || l_orderkey || '/' || l_linenumber || '/' || l_partkey AS url,
+                  'd/' || l_suppkey AS dest FROM lineitem),
+b AS (SELECT shard, url, dest, url || chr(9) || ' ' || dest AS line FROM r)
+SELECT shard, url, dest,
+       (row_number() OVER w - 1 + coalesce(sum(CASE WHEN regexp_matches(dest, '[13579]$') THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS line_no
+FROM b WINDOW w AS (PARTITION BY shard ORDER BY line)"""
+
+
 def _feed_text(url: Column, other: Column) -> Column:
     def row(key: str, value: Column) -> Column:
         return F.struct(F.create_map(F.lit(key), value).alias("data"))
@@ -326,6 +350,7 @@ QUERIES = {
     "route_requests": (route_requests, ROUTE_REQUESTS),
     "url_normalise_groups": (url_normalise_groups, URL_NORMALISE_GROUPS),
     "lazy_names": (lazy_names_query, LAZY_NAMES),
+    "manifest_lines": (manifest_lines, MANIFEST_LINES),
     "manifest_duplicates": (manifest_duplicates, MANIFEST_DUPLICATES),
     "ranked_feed": (ranked_feed, RANKED_FEED),
     "top_k_demand": (top_k_demand, TOP_K_DEMAND),

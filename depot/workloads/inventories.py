@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from depot.functions import file_version
 from depot.operators.inventory import (
     duplicate_candidates,
+    content_ends,
     content_hashes,
     duplicate_content,
     links_to_make,
@@ -15,8 +16,10 @@ from depot.operators.inventory import (
     path_size,
     usage,
 )
+from depot.operators.durable import materialize, run_dir
 from depot.operators.matrix import missing
 from depot.operators.quality import (
+    build_runs,
     changed_sets,
     check,
     contiguous,
@@ -24,9 +27,13 @@ from depot.operators.quality import (
     duplicates,
     readiness,
     set_fingerprint,
+    set_state,
+    state_fingerprint,
+    update_sets,
 )
 from depot.operators.ranking import beyond_newest, expired, latest_pointer, pick_asset, stale
-from depot.sources.documents import parse_releases
+from depot.sinks.tables import append_marker
+from depot.sources.documents import parse_releases, read_marker_log
 from depot.workloads.tables import table
 
 MIN_CHARS = 1000
@@ -54,7 +61,7 @@ WHERE n_chars >= {MIN_CHARS} GROUP BY 1, 2 HAVING count(*) > 1"""
 def duplicate_links(spark: SparkSession, sf: str) -> DataFrame:
     """Every redundant document with the one to link it to."""
     rank, content = ["source", "doc_id"], F.col("content_hash")
-    hashed = content_hashes(_files(spark, sf), F.sha2("text", 256), rank, MIN_CHARS)
+    hashed = content_hashes(_files(spark, sf), F.sha2("text", 256), rank, MIN_CHARS, content_ends(F.col("text"), 256))
     return links_to_make(hashed, duplicate_content(hashed, content, rank, MIN_CHARS), content, rank)
 
 
@@ -155,6 +162,25 @@ SELECT b.* FROM b LEFT JOIN a ON a.user_id = b.user_id AND a.fingerprint = b.fin
 WHERE a.user_id IS NULL"""
 
 
+def fingerprint_view(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of each supplier: fingerprints of early lines, brought up to date with what late lines changed."""
+    lines = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_shipdate")
+    sides = lines.groupBy("l_suppkey", "l_partkey").agg(
+        F.bool_or(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")).alias("before"),
+        F.bool_or(F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp_ntz")).alias("after"),
+    )
+    sides = materialize(sides, "members")
+    state = materialize(set_state(sides.where("before"), ["l_suppkey"], "l_partkey"), "set-state")
+    removed, added = sides.where("before AND NOT after"), sides.where("after AND NOT before")
+    now = update_sets(state, removed, added, ["l_suppkey"], "l_partkey")
+    return state_fingerprint(now, ["l_suppkey"])
+
+
+FINGERPRINT_VIEW = _fingerprint_sql(
+    "(SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01')", "l_suppkey", "l_partkey"
+)
+
+
 def invariants(spark: SparkSession, sf: str) -> DataFrame:
     """Rules over orders, lines and parts with rows checked and violated."""
     orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
@@ -237,6 +263,40 @@ SELECT count(*) AS snapshots, count(ts) AS done, bool_and(ts IS NOT NULL) AS rea
 FROM months WHERE snapshot BETWEEN 199601 AND 200012"""
 
 
+def build_runs_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of each customer as markers of a builder, appended and read back: its runs.
+
+    A run goes on while the next order comes within 60 days; ids are months.
+    """
+    path = run_dir(spark, "audit")
+    month = F.year("o_orderdate") * 100 + F.month("o_orderdate")
+    attributes = {"snapshot": month, "customer": F.col("o_custkey")}
+    append_marker(table(spark, sf, "orders"), path, "build", attributes, at=F.col("o_orderdate").cast("timestamp"))
+    marks = read_marker_log(spark, path).select(
+        "timestamp",
+        F.col("attributes")["build.customer"].cast("bigint").alias("customer"),
+        F.col("attributes")["build.snapshot"].cast("int").alias("snapshot"),
+    )
+    runs = build_runs(marks, "60 days", ["customer"])
+    return runs.select(
+        "customer", "duration_seconds", "markers", F.array_join("snapshots", ",").alias("snapshots"),
+        *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "ended")],
+    )
+
+
+BUILD_RUNS = """
+WITH o AS (SELECT o_custkey AS customer, o_orderdate AS t,
+                  lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS last FROM orders),
+r AS (SELECT *, sum(CASE WHEN last IS NULL OR t > last + INTERVAL 60 DAY THEN 1 ELSE 0 END)
+                OVER (PARTITION BY customer ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM o),
+s AS (SELECT customer, run, min(t) OVER w AS started, max(t) OVER w AS ended, count(*) OVER w AS markers,
+             year(t) * 100 + month(t) AS snapshot FROM r WINDOW w AS (PARTITION BY customer, run))
+SELECT customer, (epoch(ended) - epoch(started))::BIGINT AS duration_seconds, markers,
+       string_agg(snapshot::VARCHAR, ',' ORDER BY snapshot) AS snapshots,
+       started::TIMESTAMP AS started, ended::TIMESTAMP AS ended
+FROM (SELECT DISTINCT * FROM s) GROUP BY customer, run, started, ended, markers"""
+
+
 def latest_pointer_query(spark: SparkSession, sf: str) -> DataFrame:
     months = _months(spark, sf)
     inside = latest_pointer(months, 0, 999912).withColumn("range", F.lit("all"))
@@ -329,6 +389,8 @@ SELECT p_partkey, 'v' || p_size AS release,
 FROM part"""
 
 QUERIES = {
+    "fingerprint_view": (fingerprint_view, FINGERPRINT_VIEW),
+    "build_runs": (build_runs_query, BUILD_RUNS),
     "duplicate_content": (duplicate_content_query, DUPLICATE_CONTENT),
     "duplicate_links": (duplicate_links, DUPLICATE_LINKS),
     "duplicate_candidates": (duplicate_candidates_query, DUPLICATE_CANDIDATES),

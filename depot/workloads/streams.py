@@ -5,7 +5,15 @@ from pyspark.sql import functions as F
 
 from depot.operators.durable import run_dir
 from depot.sources.events import flatten_events
-from depot.streaming.demand import demand, stream_demand, stream_top_k
+from depot.streaming.demand import (
+    accounts,
+    demand,
+    late_events,
+    stream_demand,
+    stream_late,
+    stream_top_k,
+    watermark,
+)
 from depot.streaming.state import changes, stream_latest, stream_sync, sync_plans
 from depot.workloads.tables import CUT, OBJECTS_SQL, part_objects, table
 
@@ -138,7 +146,47 @@ SELECT l_partkey, n.d AS l_shipdate, n.o AS l_orderkey, n.l AS l_linenumber, n.s
 FROM best WHERE n IS NOT NULL AND (o IS NULL OR o.s IS DISTINCT FROM n.s OR o.f IS DISTINCT FROM n.f)"""
 
 
+def stream_accounts(spark: SparkSession, sf: str) -> DataFrame:
+    """Events that arrive in three parts, a tenth of them a part late: what became of them, by type."""
+    root = run_dir(spark, "stream-accounts")
+    rows = table(spark, sf, "events").select(
+        "event_id",
+        F.col("event_type").alias("source"),
+        F.concat(F.lit("u"), "user_id").alias("url"),
+        F.lit(1).cast("bigint").alias("size"),
+        F.col("ts").cast("timestamp").alias("event_time"),
+    )
+    part = F.floor((F.dayofmonth("event_time") - 1) / 11) + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)
+    for k in range(3):
+        rows.where(F.least(part, F.lit(2)) == k).write.mode("append").parquet(f"{root}/events")
+        for stream in ("demand", "late"):
+            arriving = spark.readStream.schema(rows.schema).parquet(f"{root}/events")
+            if stream == "demand":
+                started = stream_demand(demand(arriving, "1 day", "1 day"), f"{root}/out", f"{root}/demand-checkpoint")
+            else:
+                started = stream_late(arriving, f"{root}/late", "1 day", "1 day", f"{root}/late-checkpoint")
+            started.awaitTermination()
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    closed = spark.read.schema("source string, requests bigint").parquet(f"{root}/out")
+    late = late_events(spark, f"{root}/late", schema)
+    return accounts(rows, closed, late, "1 day", watermark(spark, f"{root}/late", "1 day"))
+
+
+STREAM_ACCOUNTS = """
+WITH e AS (SELECT event_type AS source, ts, date_trunc('day', ts) + INTERVAL 1 DAY AS e,
+                  least((dayofmonth(ts) - 1) // 11 + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END, 2) AS part
+           FROM events),
+marks AS (SELECT p.part, (SELECT max(ts) FROM e WHERE e.part < p.part) - INTERVAL 1 DAY AS mark
+          FROM (VALUES (0), (1), (2), (3)) AS p(part)),
+judged AS (SELECT source, coalesce(e.e <= m.mark, FALSE) AS late, e.e > l.mark AS open
+           FROM e JOIN marks m USING (part) JOIN marks l ON l.part = 3)
+SELECT source, count(*) AS events, count(*) FILTER (NOT late AND NOT open) AS closed,
+       count(*) FILTER (open) AS open, count(*) FILTER (late) AS late
+FROM judged GROUP BY source"""
+
+
 QUERIES = {
+    "stream_accounts": (stream_accounts, STREAM_ACCOUNTS),
     "stream_demand": (stream_demand_query, STREAM_DEMAND),
     "stream_top_k": (stream_top_k_query, STREAM_TOP_K),
     "stream_sync": (stream_sync_query, STREAM_SYNC),
