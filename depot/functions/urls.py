@@ -3,7 +3,7 @@
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depot.functions import fixed
@@ -53,13 +53,32 @@ def normalize_url(url, hosts: Sequence[str] = tuple(fixed.PRESIGNED_HOSTS)) -> C
 
     A presigned URL with an empty path is unchanged as well.
     """
+    return F.coalesce(_normal(url, hosts), _col(url))
+
+
+def _normal(url, hosts: Sequence[str]) -> Column:
+    """The normalised URL; null for one that is left alone."""
     url = _col(url)
     origin = F.regexp_extract(url, _ORIGIN, 1)
     path = F.regexp_extract(url, _ORIGIN + r"([^?#]*)", 2)
     path = F.regexp_replace(path, ";[^/]*$", "")
-    return F.when(
-        is_presigned(url, hosts) & (path != ""), F.concat(origin, resolve_dots(path))
-    ).otherwise(url)
+    return F.when(is_presigned(url, hosts) & (path != ""), F.concat(origin, resolve_dots(path)))
+
+
+def with_normal_url(
+    df: DataFrame, url: str, name: str, hosts: Sequence[str] = tuple(fixed.PRESIGNED_HOSTS)
+) -> DataFrame:
+    """Add ``name``: :func:`normalize_url` of a column, taken once for each distinct stem.
+
+    What a URL becomes depends on what stands before its query and fragment alone, and
+    signed URLs of one object differ only there. So the stems, few beside the requests,
+    are normalised and looked up.
+    """
+    stem = F.substring_index(F.substring_index(F.col(url), "?", 1), "#", 1)
+    stems = df.select(stem.alias("_stem")).distinct()
+    normal = stems.select("_stem", _normal("_stem", hosts).alias("_normal")).where("_normal is not null")
+    found = df.withColumn("_stem", stem).join(normal, "_stem", "left")
+    return found.withColumn(name, F.coalesce("_normal", url)).drop("_stem", "_normal")
 
 
 def url_key(url) -> Column:

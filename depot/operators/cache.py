@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from depot.functions import fixed
-from depot.functions.urls import content_fingerprint, url_key
+from depot.functions.urls import content_fingerprint, url_key, with_normal_url
 from depot.operators.diff import last_wins
 from depot.operators.durable import materialize
 
@@ -28,7 +28,7 @@ def new_state(prefix: DataFrame, rank: str = "rank") -> DataFrame:
     return last_wins(keyed, ["hash"], [rank]).select("hash", "url", "size", "etag")
 
 
-def plan_sync(present: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+def plan_sync(present: DataFrame, old: DataFrame, new: DataFrame, clean: bool = False) -> DataFrame:
     """What to do with every file of the cache: keep, replace, delete or download.
 
     ``present`` is a listing ``(name, size)``; ``old`` and ``new`` are cache states.
@@ -36,6 +36,9 @@ def plan_sync(present: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     knows (unfinished downloads too) are deleted; a wanted file that is not there is
     downloaded, which also retries earlier failures. The three tables are united and
     folded by hash in one shuffle.
+
+    ``clean`` plans from an empty cache: every file but the state file is deleted, and all
+    that is wanted is downloaded, wanted files that are there included (as ``replace``).
     """
     obj = F.struct("url", "size", "etag")
     none_obj = F.lit(None).cast("struct<url:string,size:bigint,etag:string>")
@@ -60,7 +63,7 @@ def plan_sync(present: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     )
     here, wanted = F.col("_p").isNotNull(), F.col("_n").isNotNull()
     action = (
-        F.when(here & wanted & F.col("_o").eqNullSafe(F.col("_n")), F.lit("keep"))
+        F.when(here & wanted & F.col("_o").eqNullSafe(F.col("_n")) & F.lit(not clean), F.lit("keep"))
         .when(here & wanted, F.lit("replace"))
         .when(here, F.lit("delete"))
         .when(wanted, F.lit("download"))
@@ -179,6 +182,6 @@ def route(
 
 def lazy_names(requests: DataFrame, hosts: Sequence[str] = tuple(fixed.PRESIGNED_HOSTS)) -> DataFrame:
     """Stable cache name of lazily loaded requests (with size, etag, modified)."""
-    return requests.withColumn(
-        "fingerprint", content_fingerprint("url", "size", "etag", "modified", hosts)
-    )
+    plain = with_normal_url(requests, "url", "_url", hosts)
+    mark = content_fingerprint("_url", "size", "etag", "modified", hosts, normalized=True)
+    return plain.withColumn("fingerprint", mark).drop("_url")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from depot.functions import fixed
 from depot.functions.versions import _col, parse_version, part_text
+from depot.operators.ranking import positions
 
 
 def align_layers(
@@ -102,11 +103,34 @@ def render_requirements(df: DataFrame, keys: Sequence[str] = ("env",)) -> DataFr
 
 
 def concat_layers(frames: Sequence[DataFrame]) -> DataFrame:
-    """Requirement lists of several layers, lower layers first by ``layer_rank``."""
+    """Requirement lists of several layers, lower layers first by ``layer_rank``.
+
+    Inside a layer lines keep the columns that order them.
+    """
     ranked = [f.withColumn("layer_rank", F.lit(i)) for i, f in enumerate(frames)]
     return reduce(DataFrame.unionByName, ranked)
 
 
+def ordered_lines(
+    frames: Sequence[DataFrame], line: Sequence[str] = ("line_no",), keys: Sequence[str] = ("env",)
+) -> DataFrame:
+    """Lines of all layers as one list for each environment, with ``position`` from 1.
+
+    Lower layers come first, and inside a layer lines stay in their own order.
+    """
+    return positions(concat_layers(frames), ["layer_rank", *line], keys)
+
+
+def missing_torch(aligned: DataFrame, user: str, base: str, package: str = "torch") -> DataFrame:
+    """Environments whose user layer came to need ``package`` though the layer below has none.
+
+    The user did not ask for it, so its version was chosen by chance: ``version`` is what they
+    have to ask for.
+    """
+    chosen = F.col(user).isNotNull() & F.col(base).isNull() & (F.col("package") == package)
+    return aligned.where(chosen).select("env", F.col(user).alias("version"))
+
+
 def split_by(df: DataFrame, known: DataFrame, name: str) -> DataFrame:
     """Every row with ``special``: whether its name has a handler in ``known``."""
     handlers = known.select(F.col(known.columns[0]).alias(name), F.lit(True).alias("_k")).distinct()

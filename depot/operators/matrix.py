@@ -82,6 +82,9 @@ def select_dims(
         if no_cuda:
             raise ValueError("a single environment and no_cuda exclude each other")
 
+        # part of what raises the error too: Spark may take the picks before it takes the newest
+        is_newest = F.col("id") == defs.agg(F.max("id")).scalar()
+
         def pick(column: str, key: str | None) -> Column:
             if key is None:
                 return empty_map
@@ -89,10 +92,9 @@ def select_dims(
             return F.when(
                 F.map_contains_key(F.col(column), F.lit(key)),
                 F.map_filter(F.col(column), lambda k, _: k == key),
-            ).otherwise(missing.cast("map<string,string>"))
+            ).when(is_newest, missing.cast("map<string,string>"))
 
-        newest = defs.agg(F.max("id").alias("id"))  # one row
-        defs = defs.join(newest, "id", "left_semi").select(
+        defs = defs.where(is_newest).select(
             *[c for c in defs.columns if c not in ("python", "torch", "cuda", "cudnn")],
             pick("python", python).alias("python"),
             pick("cuda", cuda).alias("cuda"),
@@ -446,3 +448,45 @@ def matrix_venvs(defs: DataFrame, rules: DataFrame) -> DataFrame:
     return envs.select(
         "snapshot", (position + place("_cs", "cuda")).alias("position"), "python", "torch", "cuda"
     )
+
+
+def newest(df: DataFrame, column: str = "snapshot") -> DataFrame:
+    """Rows of the newest snapshot."""
+    return df.join(df.agg(F.max(column).alias(column)), column, "left_semi")  # one row
+
+
+def latest_document(defs: DataFrame, rules: DataFrame, links: DataFrame) -> DataFrame:
+    """The version matrix document of the newest snapshot alone, with links to released tools.
+
+    ``links`` has ``name, version, url``, a row a tool; they become the map ``releases``.
+    """
+    # a handful of tools
+    released = links.agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("version", "url")))).alias("releases"))
+    head = newest(matrix_summary(newest(defs, "id"), rules))
+    return head.withColumn("releases", released.scalar())
+
+
+def tool_matrix(tools: DataFrame, pythons: DataFrame, excluded: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Every tool version with every Python version: what has to be installed where.
+
+    ``tools`` has ``version`` and ``default_version``, ``pythons`` has ``python`` (full
+    versions), ``excluded`` has ``kind, python`` (major.minor): tools of a kind (the
+    letters their version begins with) that do not run there. All are per ``keys``. Versions listed
+    twice count once. A definition's Pythons are few, so they are carried to its tools as
+    a list; nothing is crossed over definitions.
+    """
+    few = pythons.groupBy(*keys).agg(F.sort_array(F.collect_set("python")).alias("_pythons"))
+    if not keys:
+        few, tools = few.withColumn("_k", F.lit(1)), tools.withColumn("_k", F.lit(1))
+    on = list(keys) or ["_k"]
+    rows = tools.distinct().join(few, on).select(*on, "version", "default_version", F.explode("_pythons").alias("python_full"))
+    rows = rows.select(
+        *keys,
+        "version",
+        major_minor(parse_version("python_full")).alias("python"),
+        "python_full",
+        F.coalesce(F.col("version") == F.col("default_version"), F.lit(False)).alias("is_default"),
+        F.regexp_extract("version", "^[A-Za-z]*", 0).alias("_kind"),
+    )
+    out = excluded.select(F.col("kind").alias("_kind"), "python").distinct()
+    return rows.join(out, ["_kind", "python"], "left_anti").drop("_kind")

@@ -73,6 +73,27 @@ def running_total(df: DataFrame, order: Sequence[str], value: str, name: str = "
     )
 
 
+def positions(df: DataFrame, order: Sequence[str], groups: Sequence[str] = (), name: str = "position") -> DataFrame:
+    """Place of every row (from 1) in a unique ``order``, in its group if there are ``groups``.
+
+    Places come from running sums over parts, so neither the table nor a group with a third
+    of its rows is ordered in one task.
+    """
+    full = [*groups, *[c for c in order if c not in groups]]
+    counted = running_total(df.withColumn("_one", F.lit(1)), full, "_one", name).drop("_one")
+    if not groups:
+        return counted
+    first = counted.groupBy(*groups).agg(F.min(name).alias("_first"))
+    return counted.join(first, list(groups)).withColumn(name, F.col(name) - F.col("_first") + 1).drop("_first")
+
+
+def version_positions(df: DataFrame, column: str, *ties: str) -> DataFrame:
+    """Rows with their place by version, newest first; text that is no version comes last."""
+    keyed = materialize(df.withColumn("_v", parse_version(column)), "versions")
+    placed = positions(keyed, ["_v", *ties])
+    return placed.withColumn("position", F.lit(keyed.count()) + 1 - F.col("position")).drop("_v")
+
+
 def budget_prefix(df: DataFrame, order: Sequence[str], size: str, budget: int) -> DataFrame:
     """Rows in ``order`` up to the first one that would exceed ``budget`` bytes.
 

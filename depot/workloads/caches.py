@@ -104,6 +104,23 @@ sync AS (SELECT hash, action, url,
 SYNC_PLAN = f"WITH {SYNC_SQL} SELECT * FROM sync"
 
 
+def sync_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """The same plan if the cache is to be emptied first."""
+    present, old, feed = _sync_inputs(spark, sf)
+    budget = feed.agg(F.sum("size").alias("s")).first()["s"] * 3 // 5
+    new = new_state(budget_prefix(feed, ["rank", "url"], "size", budget))
+    return sync_summary(plan_sync(present, old, new, clean=True))
+
+
+SYNC_CLEAN = f"""WITH {SYNC_SQL}, c AS (
+  SELECT CASE WHEN action = 'keep' THEN 'replace' ELSE action END AS action, psize, nsize FROM plan)
+SELECT count(*) FILTER (action = 'keep') AS keep, count(*) FILTER (action = 'replace') AS replace,
+       count(*) FILTER (action = 'delete') AS "delete", count(*) FILTER (action = 'download') AS download,
+       (sum(psize) FILTER (action IN ('delete', 'replace')))::BIGINT AS bytes_deleted,
+       (sum(nsize) FILTER (action IN ('download', 'replace')))::BIGINT AS bytes_downloaded
+FROM c"""
+
+
 def sync_summary_query(spark: SparkSession, sf: str) -> DataFrame:
     return sync_summary(_plan(spark, sf))
 
@@ -344,6 +361,7 @@ QUERIES = {
     "budget_prefix": (budget_prefix_query, BUDGET_PREFIX),
     "running_total": (running_total_query, RUNNING_TOTAL),
     "sync_plan": (sync_plan, SYNC_PLAN),
+    "sync_clean": (sync_clean, SYNC_CLEAN),
     "sync_summary": (sync_summary_query, SYNC_SUMMARY),
     "state_import": (state_import, STATE_IMPORT),
     "feed_with_stat": (feed_with_stat, FEED_WITH_STAT),

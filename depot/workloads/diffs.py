@@ -8,13 +8,15 @@ from depot.operators.diff import diff_chain, diff_envs, diff_snapshots, last_win
 from depot.operators.durable import run_dir
 from depot.operators.layers import (
     align_layers,
+    missing_torch,
+    ordered_lines,
     conflicts,
     overlay_excluded,
     overlay_kept,
     render_requirements,
     split_by,
 )
-from depot.operators.ranking import distinct_versions, latest_per_key
+from depot.operators.ranking import distinct_versions, latest_per_key, version_positions
 from depot.sinks.tables import read_pins, write_pins
 from depot.sources.locks import parse_lines, split_lines
 from depot.workloads.tables import CUT, LAYER_NAMES, LAYER_SQL, int_text, layer_rows, table
@@ -215,6 +217,54 @@ def version_list(spark: SparkSession, sf: str) -> DataFrame:
 VERSION_LIST = "SELECT DISTINCT l_linenumber || '.' || l_quantity::BIGINT AS version FROM lineitem"
 
 
+def version_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts by a version text, newest first; some texts are no versions."""
+    k = F.col("p_partkey")
+    text = F.concat(F.col("p_size"), F.lit("."), k % 7)
+    text = F.when(k % 11 == 0, F.concat(F.lit("v"), text)).when(
+        k % 3 == 0, F.concat(text, F.lit("."), k % 4, F.lit(".dev"), k % 13)
+    ).otherwise(text)
+    rows = table(spark, sf, "part").select("p_partkey", text.alias("version"))
+    return version_positions(rows, "version", "p_partkey")
+
+
+VERSION_ORDER = """
+WITH v AS (SELECT p_partkey, p_size || '.' || p_partkey % 7 AS base, p_partkey % 11 = 0 AS broken,
+                  p_partkey % 3 = 0 AS long, p_size, p_partkey % 7 AS minor, p_partkey % 4 AS patch,
+                  'dev' || p_partkey % 13 AS extra FROM part),
+t AS (SELECT *, CASE WHEN broken THEN 'v' || base WHEN long THEN base || '.' || patch || '.' || extra
+                     ELSE base END AS version FROM v)
+SELECT p_partkey, version, row_number() OVER (ORDER BY broken,
+         CASE WHEN NOT broken THEN p_size END DESC, CASE WHEN NOT broken THEN minor END DESC,
+         CASE WHEN NOT broken THEN CASE WHEN long THEN patch ELSE 0 END END DESC,
+         CASE WHEN NOT broken THEN CASE WHEN long THEN extra ELSE '' END END DESC,
+         CASE WHEN NOT broken THEN version END DESC, p_partkey DESC) AS position
+FROM t"""
+
+
+def layer_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of the three layers of each environment as one list, in the order they were shipped."""
+    rows = layer_rows(spark, sf)
+    line = ["l_shipdate", "l_orderkey", "package", "raw_version"]
+    frames = [rows.where(F.col("layer") == name).select("env", *line) for name in LAYER_NAMES]
+    return ordered_lines(frames, line).select("env", "layer_rank", "package", "raw_version", "position")
+
+
+LAYER_LINES = f"""WITH {LAYER_SQL}
+SELECT env, rank AS layer_rank, package, raw_version, row_number() OVER (PARTITION BY env ORDER BY rank,
+         l_shipdate, l_orderkey, package, raw_version) AS position
+FROM layer_rows JOIN (VALUES ('R', 0), ('A', 1), ('N', 2)) AS l(layer, rank) USING (layer)"""
+
+
+def layer_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """Environments whose newest layer has the first part though the oldest has not."""
+    return missing_torch(_aligned(spark, sf), "N", "R", "part-1")
+
+
+LAYER_MISSING = f"""WITH {LAYER_SQL}
+SELECT env, "N" AS version FROM aligned WHERE package = 'part-1' AND "N" IS NOT NULL AND "R" IS NULL"""
+
+
 def _aligned(spark: SparkSession, sf: str) -> DataFrame:
     return align_layers(layer_rows(spark, sf), LAYER_NAMES, ["l_shipdate", "l_orderkey"])
 
@@ -316,6 +366,9 @@ GROUP BY as_of, snapshot, env"""
 
 
 QUERIES = {
+    "version_order": (version_order, VERSION_ORDER),
+    "layer_lines": (layer_lines, LAYER_LINES),
+    "layer_missing": (layer_missing, LAYER_MISSING),
     "pin_history": (pin_history, PIN_HISTORY),
     "snapshot_diff": (snapshot_diff, SNAPSHOT_DIFF),
     "env_diff": (env_diff, ENV_DIFF),

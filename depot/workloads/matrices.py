@@ -20,19 +20,24 @@ from depot.operators.matrix import (
     compatible_matrix,
     expand,
     expected_pins,
+    latest_document,
     library_paths,
     long_form,
     lookup_strict,
     matrix_summary,
     matrix_venvs,
     missing,
+    newest,
     pending,
     select_dims,
+    single_environment,
+    tool_matrix,
     torch_companions,
     torch_rules,
 )
+from depot.operators.durable import small_table
 from depot.operators.quality import check, definition_rules, violations
-from depot.sources.documents import cuda_catalog, cudnn_catalog, parse_markers, parse_snapshots
+from depot.sources.documents import cuda_catalog, cudnn_catalog, markers_of, parse_markers, parse_snapshots
 from depot.workloads.tables import (
     CUDAS,
     DEFS_SQL,
@@ -308,24 +313,143 @@ FROM envs e JOIN p ON p.id = snapshot AND p.python = e.python
 """
 
 
+def _faulty_defs(spark: SparkSession, sf: str) -> DataFrame:
+    """Definitions of two registries; some full versions do not go on from their short ones."""
+
+    def spoilt(column: str, every: int) -> Column:
+        changed = F.transform_values(column, lambda k, v: F.concat(F.lit("0."), v))
+        return F.when(F.col("id") % every == 0, changed).otherwise(F.col(column))
+
+    kinds = {"cuda": 5, "cudnn": 6, "python": 7}
+    defs = _defs(spark, sf).withColumns({c: spoilt(c, n) for c, n in kinds.items()})
+    return defs.withColumn("environment", F.when(F.col("id") % 10 == 3, "test").otherwise("prod"))
+
+
+_FAULTY_SQL = f"""{DEFS_SQL},
+faulty AS (
+  SELECT id, CASE WHEN id % 10 = 3 THEN 'test' ELSE 'prod' END AS environment,
+         [id % 5 = 0 AND len(cuda) > 0, id % 6 = 0 AND len(cudnn) > 0, id % 7 = 0,
+          seg = 'BUILDING', (len(cuda) = 0) <> (len(cudnn) = 0)] AS broken FROM defs),
+each AS (
+  SELECT id, environment, unnest(broken) AS broken, unnest(['cuda_full_extends_short',
+    'cudnn_full_extends_short', 'python_full_extends_short', 'packages_pinned',
+    'cuda_and_cudnn_together']) AS rule FROM faulty)"""
+
+
 def definition_checks(spark: SparkSession, sf: str) -> DataFrame:
-    return check(_defs(spark, sf), definition_rules())
+    """Rules by registry, every one of them broken somewhere."""
+    return check(_faulty_defs(spark, sf), definition_rules(), ["environment"])
 
 
-DEFINITION_CHECKS = f"""WITH {DEFS_SQL}
-SELECT unnest(['cuda_full_extends_short', 'cudnn_full_extends_short', 'python_full_extends_short',
-               'packages_pinned', 'cuda_and_cudnn_together']) AS rule, count(*) AS checked,
-       unnest([0, 0, 0, count(*) FILTER (seg = 'BUILDING'), count(*) FILTER (seg = 'FURNITURE')]) AS violations
-FROM defs"""
+DEFINITION_CHECKS = f"""WITH {_FAULTY_SQL}
+SELECT environment, rule, count(*) AS checked, count(*) FILTER (broken) AS violations
+FROM each GROUP BY environment, rule"""
 
 
 def definition_violations(spark: SparkSession, sf: str) -> DataFrame:
-    return violations(_defs(spark, sf), definition_rules()).select("id", "rule")
+    return violations(_faulty_defs(spark, sf), definition_rules()).select("environment", "id", "rule")
+
+
+DEFINITION_VIOLATIONS = f"""WITH {_FAULTY_SQL} SELECT environment, id, rule FROM each WHERE broken"""
+
+
+def definition_single(spark: SparkSession, sf: str) -> DataFrame:
+    """One environment of the newest definition: its first Python and Torch, on CPU and on its first CUDA."""
+    defs = _defs(spark, sf)
+    row = newest(defs, "id").select(
+        F.map_keys("python")[0].alias("python"), F.col("torch")[0].alias("torch"),
+        F.map_keys("cuda").alias("cuda"), F.map_keys("cudnn").alias("cudnn"),
+    ).first()
+    found = single_environment(defs, torch_rules(spark), row.python, row.torch)
+    for cuda in row.cuda[:1]:
+        cudnn = row.cudnn[0] if row.cudnn else None
+        one = single_environment(defs, torch_rules(spark), row.python, row.torch, cuda, cudnn)
+        found = found.unionByName(one)
+    return found.select("snapshot", "python", "torch", "cuda", "env")
+
+
+DEFINITION_SINGLE = f"""WITH {ENVS_SQL}
+SELECT e.snapshot, e.python, e.torch, e.cuda, e.env
+FROM envs e JOIN (SELECT * FROM defs WHERE id = (SELECT max(id) FROM defs)) d ON e.snapshot = d.id
+WHERE e.python = d.python[1] AND e.torch = d.torch[1] AND (e.cuda = 'cpu' OR (e.cuda = d.cuda[1] AND len(d.cudnn) > 0))"""
+
+
+def latest_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """The document of the newest definition, with links to the newest file of two makers' parts."""
+    maker = F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("int")
+    parts = table(spark, sf, "part").where(maker.isin(11, 22)).select(
+        F.concat(F.lit("tool"), maker).alias("name"), F.col("p_partkey").alias("n")
+    )
+    links = parts.groupBy("name").agg(F.max("n").alias("n")).select(
+        "name", F.concat(F.lit("1."), "n").alias("version"), F.concat(F.lit("https://h/"), "name", F.lit("/"), "n").alias("url")
+    )
+    doc = latest_document(_defs(spark, sf), torch_rules(spark), links)
+    pair = F.transform(
+        F.map_entries("releases"), lambda e: F.concat_ws(" ", e["key"], e["value"]["version"], e["value"]["url"])
+    )
+    return doc.select(
+        "snapshot",
+        F.array_join("python_versions", ",").alias("python_versions"),
+        F.array_join("torch_versions", ",").alias("torch_versions"),
+        F.array_join(F.array_sort(pair), ";").alias("releases"),
+    )
+
+
+LATEST_MATRIX = f"""WITH {DEFS_SQL},
+links AS (SELECT 'tool' || m AS name, max(p_partkey) AS n
+          FROM (SELECT p_partkey, regexp_extract(p_brand, '([0-9]+)$', 1)::INT AS m FROM part)
+          WHERE m IN (11, 22) GROUP BY 1)
+SELECT id AS snapshot, array_to_string(python, ',') AS python_versions,
+       array_to_string(torch, ',') AS torch_versions,
+       coalesce((SELECT string_agg(name || ' 1.' || n || ' https://h/' || name || '/' || n, ';' ORDER BY name)
+                 FROM links), '') AS releases
+FROM defs WHERE id = (SELECT max(id) FROM defs)"""
+
+
+def tool_matrix_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Tool versions of every definition with its Pythons; one kind does not run on 3.8."""
+    defs = _defs(spark, sf).join(
+        table(spark, sf, "customer").select(F.col("c_custkey").cast("int").alias("id"), F.col("c_nationkey").alias("n")), "id"
+    )
+    own = F.concat(F.lit("0.14."), F.col("n") % 5)
+    tools = defs.select(
+        F.col("id").alias("snapshot"),
+        F.explode(F.array(F.lit("slim"), own, F.concat(F.lit("slim@1."), F.col("n") % 3), own)).alias("version"),
+        F.when(F.col("n") % 2 == 0, own).otherwise(F.lit("slim")).alias("default_version"),
+    )
+    pythons = defs.select(F.col("id").alias("snapshot"), F.explode(F.map_values("python")).alias("python"))
+    excluded = small_table(spark, [("slim", "3.8")], "kind, python")
+    return tool_matrix(tools, pythons, excluded, ["snapshot"])
+
+
+TOOL_MATRIX = f"""WITH {DEFS_SQL},
+t AS (SELECT id AS snapshot, n, unnest(['slim', '0.14.' || n % 5, 'slim@1.' || n % 3]) AS version FROM defs),
+p AS (SELECT id AS snapshot, unnest(python) AS python, unnest(python_full) AS python_full FROM defs)
+SELECT snapshot, version, python, python_full,
+       version = CASE WHEN n % 2 = 0 THEN '0.14.' || n % 5 ELSE 'slim' END AS is_default
+FROM t JOIN p USING (snapshot) WHERE NOT (starts_with(version, 'slim') AND python = '3.8')"""
+
+
+def marker_directories(spark: SparkSession, sf: str) -> DataFrame:
+    """Directories of customers from a table of files; those with a whole hidden marker are done."""
+    orders = table(spark, sf, "orders")
+    name = F.when(F.col("o_orderkey") % 4 == 0, ".done").otherwise(F.concat(F.lit("f"), "o_orderkey"))
+    text = F.concat(
+        F.lit('{"timestamp": "'), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"),
+        F.when(F.col("o_orderstatus") == "F", '"}').otherwise('"'),
+    )
+    path = F.concat(F.lit("/m/"), "o_custkey", F.lit("/"), name)
+    found = markers_of(orders.select(path.alias("path"), text.alias("text")), ".done")
+    return found.select("dir", "done", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
 
 
-DEFINITION_VIOLATIONS = f"""WITH {DEFS_SQL}
-SELECT id, CASE seg WHEN 'BUILDING' THEN 'packages_pinned' ELSE 'cuda_and_cudnn_together' END AS rule
-FROM defs WHERE seg IN ('BUILDING', 'FURNITURE')"""
+MARKER_DIRECTORIES = """
+WITH f AS (SELECT '/m/' || o_custkey AS dir, o_orderkey % 4 = 0 AS marker, o_orderdate AS t,
+                  '{"timestamp": "' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')
+                    || CASE WHEN o_orderstatus = 'F' THEN '"}' ELSE '"' END AS text, o_orderstatus = 'F' AS sound
+           FROM orders),
+m AS (SELECT dir, arg_max(sound, text) FILTER (marker) AS sound, arg_max(t, text) FILTER (marker) AS t FROM f GROUP BY dir)
+SELECT dir, coalesce(sound, FALSE) AS done, CASE WHEN sound THEN t::TIMESTAMP END AS timestamp FROM m"""
 
 
 def env_indexes(spark: SparkSession, sf: str) -> DataFrame:
@@ -481,6 +605,10 @@ SELECT p_partkey, kind,
 FROM k"""
 
 QUERIES = {
+    "definition_single": (definition_single, DEFINITION_SINGLE),
+    "latest_matrix": (latest_matrix, LATEST_MATRIX),
+    "tool_matrix": (tool_matrix_query, TOOL_MATRIX),
+    "marker_directories": (marker_directories, MARKER_DIRECTORIES),
     "compat_matrix": (compat_matrix, COMPAT_MATRIX),
     "definition_matrix": (definition_matrix, DEFINITION_MATRIX),
     "definition_expand": (definition_expand, DEFINITION_EXPAND),

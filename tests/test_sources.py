@@ -10,6 +10,7 @@ from depot.sources import (
     cuda_catalog,
     cudnn_catalog,
     lock_rejects,
+    markers_of,
     parse_feed,
     parse_lines,
     parse_locks,
@@ -18,6 +19,7 @@ from depot.sources import (
     parse_snapshots,
     parse_state,
     read_feed,
+    read_lines,
     read_locks,
     read_manifest,
     read_markers,
@@ -72,39 +74,88 @@ def test_invalid_line_fails_or_is_rejected(spark, rows):
     assert rows(lock_rejects(bad, ["id"])) == [(1, 1, "invalid requirement: b>=2")]
 
 
-WHEEL = "tabulate-0.9.0-py3-none-any.whl"
-GIT = "git+https://git.example.org/tables/tabulate"
-SHA = "0123456789abcdef0123456789abcdef01234567"
-
-
-@pytest.mark.parametrize(
-    "line, want",
-    [
-        ("tabulate==0.9.0", ("tabulate", "0.9.0")),
-        ("tabulate<=0.9.0", None),
-        (f"tabulate @ https://h/{WHEEL}", ("tabulate", f"https://h/{WHEEL}")),
-        (f"https://h/{WHEEL}", None),
-        (f"tabulate @ https://h/{SHA}.zip", ("tabulate", f"https://h/{SHA}.zip")),
-        (f"https://h/{SHA}.zip", None),
-        (f"tabulate @ {GIT}@v0.9.0", ("tabulate", f"{GIT}@v0.9.0")),
-        (f"{GIT}@v0.9.0", (GIT, "v0.9.0")),
-        (f"tabulate @ {GIT}@{SHA}", ("tabulate", f"{GIT}@{SHA}")),
-        (f"{GIT}@{SHA}", (GIT, SHA)),
-        (f"./{WHEEL}", (f"/src/{WHEEL}",) * 2),
-        (f"/src/{WHEEL}", (f"/src/{WHEEL}",) * 2),
-        ("./tabulate.zip", ("/src/tabulate.zip",) * 2),
-        ("/src/tabulate.zip", ("/src/tabulate.zip",) * 2),
-        ("./tabulate.git", ("/src/tabulate.git",) * 2),
-        ("/src/tabulate.git", ("/src/tabulate.git",) * 2),
-        ("marisa-trie==1.2.1", ("marisa-trie", "1.2.1")),
-    ],
-)
-def test_requirement_forms(spark, line, want):
-    paths = spark.createDataFrame(
-        [(f"/src/{n}",) for n in (WHEEL, "tabulate.zip", "tabulate.git")], "path string"
-    )
-    r = parse_lines(split_lines(texts(spark, line)), paths, "/src").first()
-    assert ((r.package, r.raw_version) if r.error is None else None) == want
+# where a requirement may come from: (text, whether it is a known path once resolved against /stock)
+ORIGINS = [
+    ("https://files.example.net/w/kit-3.1-cp312.whl", None),
+    ("https://user@files.example.net/w/kit.whl", None),
+    ("hg+https://code.example.net/a/b@rel-2", None),
+    ("svn+ssh://code.example.net/a/b", None),
+    ("/stock/kit.tar", "/stock/kit.tar"),
+    ("sub/../kit.tar", "/stock/kit.tar"),
+    ("./kit.d", "/stock/kit.d"),
+    ("/elsewhere/kit.tar", None),
+]
+# how a line names its package: bare, with extras, in another case, with a marker behind it
+NAMED = ["{}", "Kit @ {}", "kit[a,b]@{}", "  KIT_x   @   {}  ", "kit @ {} ; python_version < '3.9'", "kit==1.0 # {}"]
+
+
+def told(line):
+    """By the rules in words: the first == parts the line, else the first @, else it must be a known path."""
+    line = line.strip()
+    for mark in ("==", "@"):
+        if mark in line:
+            name, rest = line.split(mark, 1)
+            return name.strip(), rest.strip()
+    known = dict(ORIGINS).get(line)
+    return (known, known) if known else None
+
+
+def test_requirement_forms(spark):
+    lines = [form.format(text) for form in NAMED for text, _ in ORIGINS]
+    paths = spark.createDataFrame([("/stock/kit.tar",), ("/stock/kit.d",)], "path string")
+    table = spark.createDataFrame(list(enumerate(lines)), "id int, text string")
+    cut = split_lines(table, "text")
+    got = {r.id: r for r in parse_lines(cut, paths, "/stock").collect()}
+    assert len(got) == len(lines)
+    for k, line in enumerate(lines):
+        want = told(line)
+        found = (got[k].package, got[k].raw_version)
+        assert found == (want or (None, None)), line
+        assert (got[k].error is None) == (want is not None)
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path, rows):
+    texts = {
+        "a": "".join(f"line {i} {'x' * (i % 90)}\n" for i in range(3000)),
+        "b": "one\r\ntwo\n\nfour",
+        "c": "",
+        "d": "\n" * 5000,
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7k")
+        got = read_lines(spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() > 10
+        found = [(r.file.rsplit("/", 1)[1], r.line_no, r.line) for r in got.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [(n, k, line) for n, t in texts.items() for k, line in enumerate(t.replace("\r\n", "\n").split("\n"))]
+    want = [w for w in want if not (w[2] == "" and w[1] == texts[w[0]].count("\n"))]
+    assert sorted(found) == sorted(want)
+
+
+def test_long_lock_files_give_the_same_pins(spark, tmp_path, rows):
+    for env in ("e", "f"):
+        folder = tmp_path / "g00007"
+        folder.mkdir(exist_ok=True)
+        text = "".join(f"pkg{k % 50}=={k}.{env == 'e':d}\n    # via\n--opt\n" for k in range(600))
+        (folder / f"{env}.txt").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        parts = rows(read_locks(spark, str(tmp_path), long_files=True).drop("version"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert parts == rows(read_locks(spark, str(tmp_path)).drop("version")) and len(parts) == 100
+
+
+def test_markers_of_a_table_of_files(spark, rows):
+    whole, cut = '{"timestamp": "2024-01-01T00:00:00"}', '{"timestamp": "2024-01'
+    files = [("/a/.done", whole), ("/a/x", "y"), ("/b/x", whole), ("/c/.done", cut), ("/d/.done", ""), ("/e/.done", None)]
+    got = markers_of(spark.createDataFrame(files, "path string, text string"), ".done")
+    assert rows(got, "dir", "done") == [(f"/{d}", d == "a") for d in "abcde"]
 
 
 def test_read_lock_corpus(spark, tmp_path, rows):
