@@ -214,7 +214,7 @@ def _features(rows_of: DataFrame, found: tuple[dict, list]) -> tuple[np.ndarray,
             )
 
     seen = rows_of.select("text", "toxic").mapInArrow(features, "x array<double>, y boolean")
-    seen = seen.orderBy("x", "y").collect()  # SAMPLE rows at most
+    seen = sorted(seen.collect())  # SAMPLE rows at most
     return np.array([r.x for r in seen], float).reshape(-1, 5), np.array([r.y for r in seen], float)
 
 
