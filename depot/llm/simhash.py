@@ -9,8 +9,6 @@ Each comparison keeps the links that join something, never all pairs of a dense
 
 from __future__ import annotations
 
-import os
-import tempfile
 from itertools import product
 
 import numpy as np
@@ -18,8 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from depot.llm.texts import _ODD, SLICE, field_rows, hashes, lower_words, mix, rows, whole, window_hashes
+from depot.llm.texts import field_rows, lower_words, rows, whole
 from depot.operators.durable import materialize
 
 #: Fingerprints of a tile, at most about.
@@ -251,330 +250,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     )
 
 
-# ---- near copies: a wide radius, then the share of common shingles -----------------------
+def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """Whole rows of `docs`, one of each component of :func:`near_duplicates`.
 
-#: Slots of a sketch: each keeps one byte of the smallest shingle hash that falls into it.
-SLOTS = 256
-#: Words of a shingle of near copies, and the share of common shingles from which they are.
-COPY_SHINGLE, SIMILARITY = 5, 0.8
-#: Sketches that estimate less are not looked at further; for a true 0.8 that is six standard errors.
-PREFILTER = 0.65
-#: Most differing bits of two fingerprints of different shingles, and of these with two more.
-#: Of pairs at a similarity of 0.8, fewer than 1 in 1,000 exceed either (see README).
-COPY_RADIUS, BOTH_RADIUS = 24, 44
-#: Tiles of a band, if these hold at most so many classes (about 300 bytes each), and classes of a block.
-BAND_TILES, MOST_IN_TILE, BLOCK = 8, 1 << 18, 512
-#: Pairs whose sketches are compared at a time.
-CHECKED = 50_000
-
-
-def shingles(words: list[bytes], shingle: int = COPY_SHINGLE) -> np.ndarray:
-    """Sorted hashes of the different shingles; a shorter text is one."""
-    return np.unique(window_hashes(hashes(words), min(shingle, max(1, len(words)))))
-
-
-def majority(found: np.ndarray) -> int:
-    """Bits set in over half of the hashes, as a signed number."""
-    ones = np.unpackbits(found.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
-    return int(((2 * ones > len(found)).astype(np.uint64) << _BITS).sum(dtype=np.uint64).view(np.int64))
-
-
-def sketch(found: np.ndarray) -> bytes:
-    """One byte of the smallest hash for each slot; 0 stands for none."""
-    slot = (found >> np.uint64(56)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(found) else []
-    out = np.zeros(SLOTS, np.uint8)
-    out[slot[first]] = found[first] % np.uint64(255) + np.uint64(1)
-    return out.tobytes()
-
-
-def resemblance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated share of common shingles of sketches, row by row."""
-    filled = ((a | b) > 0).sum(1)
-    same = ((a == b) & (a > 0)).sum(1) / np.maximum(filled, 1)
-    return (same - 1 / 255) / (1 - 1 / 255)  # different hashes share a byte so often
-
-
-def copy_places(classes: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """owner, part, later, cls: the places where a class (cls, fp, more, size, sketch) meets a possible
-    near copy; `later` is 0 for the classes of the place's own tile.
-
-    Sizes of near copies lie within the similarity of each other, so a band of sizes is only
-    compared with itself and the next one. Bands of many classes are cut into tiles by hash,
-    BAND_TILES or as many as keep a tile in memory: a class is sent to as many places as two
-    bands have tiles, so few large tiles move less than many small ones. What is sent are
-    blocks of classes, a row each. Only classes are named, not pairs: a dense group has few.
+    It is the row with the smallest doc_id, null ids last; of rows that share it any one.
+    Rows without words are one component.
     """
-    step = float(np.log(1 / similarity))
-    banded = classes.withColumn("band", F.floor(F.log(F.col("size") + 1.0) / step).cast("int"))
-    # bands of sizes up to 2 ** 31 are fewer than a hundred
-    n = F.count("*")
-    wanted = F.greatest(F.ceil(n / MOST_IN_TILE), F.least(F.lit(BAND_TILES), F.ceil(n / TILE)))
-    tiles = materialize(
-        banded.groupBy("band").agg(wanted.cast("int").alias("tiles"), n.alias("n")), "bands"
-    )
-    mixed = F.xxhash64("cls")
-    blocks = F.ceil(F.col("n") / F.col("tiles") / BLOCK)
-    placed = (
-        banded.join(F.broadcast(tiles), "band")
-        .withColumn("tile", F.pmod(mixed, F.col("tiles")).cast("int"))
-        .withColumn("block", F.pmod(F.shiftrightunsigned(mixed, 32), blocks))
-        .groupBy("band", "tile", "block")
-        .agg(F.collect_list(F.struct("cls", "fp", "more", "size", "sketch")).alias("members"))
-    )
-    # a class is compared in its own band's tiles up to its own, and in those of the band below
-    below = tiles.select((F.col("band") + 1).alias("band"), F.col("tiles").alias("tiles_below"))
-    sent = placed.join(F.broadcast(below), "band", "left")
-    own = F.transform(
-        F.sequence(F.lit(0), F.col("tile")), lambda t: F.struct(F.col("band").alias("owner"), t.alias("part"))
-    )
-    lower = F.transform(
-        F.sequence(F.lit(0), F.coalesce("tiles_below", F.lit(1)) - 1),
-        lambda t: F.struct((F.col("band") - 1).alias("owner"), t.alias("part")),
-    )
-    places = F.when(F.col("tiles_below").isNull(), own).otherwise(F.concat(own, lower))
-    dealt = sent.select(F.explode(places).alias("at"), "band", "tile", "members")
-    mine = (F.col("band") == F.col("at.owner")) & (F.col("tile") == F.col("at.part"))
-    dealt = dealt.select("at.owner", "at.part", (~mine).cast("int").alias("later"), "members")
-    dealt = dealt.repartition("owner", "part").sortWithinPartitions("owner", "part", "later")
+    docs = whole(docs)
+    kinds = docs.schema
 
-    def compare(batches):
-        current, own, seen = None, None, np.empty(0, bool)
-
-        def named(ids, later):
-            n = len(ids)
-            arrays = [np.full(n, x) for x in (*current, later)]
-            return pa.RecordBatch.from_arrays(
-                [*[pa.array(x, pa.int32()) for x in arrays], pa.array(ids, pa.int64())], names=names
+    def run(batches):
+        for part, texts in field_rows(batches):
+            found = np.array([fingerprint(lower_words(t), shingle) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc"), pa.array(found.view(np.int64))], names=["doc", "fp"]
             )
 
-        def mark(one, other, seen_one, seen_other):
-            settled = lambda i, j: seen_one[i] & seen_other[j]
-            for i, j in _candidates(one, other, radius, similarity, settled):
-                seen_one[i] = True
-                seen_other[j] = True
-
-        for batch in batches:
-            where = np.stack([batch.column(c).to_numpy() for c in ("owner", "part", "later")], 1)
-            for a in range(batch.num_rows):
-                block = _block(batch.column("members").slice(a, 1).flatten().field)
-                if tuple(where[a, :2].tolist()) != current:
-                    if own is not None:
-                        yield named(own[0][seen], 0)
-                    current, own, seen = tuple(where[a, :2].tolist()), None, np.empty(0, bool)
-                fresh = np.zeros(len(block[0]), bool)
-                if own is not None:
-                    mark(own, block, seen, fresh)
-                if where[a, 2] == 0:  # the tile itself comes first, in one or more blocks
-                    mark(block, block, fresh, fresh)
-                    own = block if own is None else _joined(own, block)
-                    seen = np.concatenate([seen, fresh])
-                elif fresh.any():
-                    yield named(block[0][fresh], 1)
-        if own is not None:
-            yield named(own[0][seen], 0)
-
-    names = ["owner", "part", "later", "cls"]
-    return dealt.mapInArrow(compare, "owner int, part int, later int, cls long")
-
-
-def copy_links(placed: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """Links (a, b) that connect the near copies of each place, by the exact share of shingles.
-
-    `placed` has the rows of copy_places with the class's fp, more, size, sketch and all its
-    shingle hashes. A place keeps a forest of confirmed links: pairs it holds together need no look.
-    """
-    dealt = placed.repartition("owner", "part").sortWithinPartitions("owner", "part", "later")
-
-    def confirm(batches):
-        current, own, parent, stored = None, None, {}, _Stored()
-
-        def links(one, other, shingles_one, shingles_other):
-            out = []
-            settled = lambda i, j: _together(parent, one[0], other[0], i, j)
-            for i, j in _candidates(one, other, radius, similarity, settled):
-                for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                    pair = int(one[0][x]), int(other[0][y])
-                    if _root(parent, pair[0]) != _root(parent, pair[1]) and alike(
-                        shingles_one[x], shingles_other[y], similarity
-                    ):
-                        out += _forest(np.array(pair[:1]), np.array(pair[1:]), parent)
-            return out
-
-        for batch in batches:
-            where = np.stack([batch.column(c).to_numpy() for c in ("owner", "part", "later")], 1)
-            new = np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1
-            cuts = np.unique(np.concatenate([new, np.arange(0, batch.num_rows, BLOCK), [batch.num_rows]]))
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                part = batch.slice(a, b - a)
-                block = _block(part.column)
-                raw = part.column("shingles").to_pylist()
-                shingles = [np.frombuffer(x, np.uint64) for x in raw]
-                if tuple(where[a, :2]) != current:
-                    current, own, parent, stored = tuple(where[a, :2]), None, {}, _Stored()
-                out = [] if own is None else links(own, block, stored, shingles)
-                if where[a, 2] == 0:
-                    out += links(block, block, shingles, shingles)
-                    own = block if own is None else _joined(own, block)
-                    stored.add(raw)
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"]
-                    )
-
-    return dealt.mapInArrow(confirm, "a long, b long")
-
-
-def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether two sets of sorted different hashes share that much of what both have."""
-    both = np.concatenate([a, b])
-    both.sort(kind="stable")
-    common = int((both[1:] == both[:-1]).sum())
-    return common >= similarity * (len(both) - common) - 1e-9
-
-
-class _Stored:
-    """Shingle hashes of a place's own classes, in a nameless file: memory holds those in use."""
-
-    def __init__(self):
-        self.file, self.ends = tempfile.TemporaryFile(buffering=0), [0]
-
-    def add(self, raw: list[bytes]) -> None:
-        for x in raw:
-            at = 0
-            while at < len(x):
-                at += self.file.write(memoryview(x)[at:])
-            self.ends.append(self.ends[-1] + len(x))
-
-    def __getitem__(self, k: int) -> np.ndarray:
-        start, end = self.ends[k : k + 2]
-        return np.frombuffer(os.pread(self.file.fileno(), end - start, start), np.uint64)
-
-
-def _block(column) -> tuple:
-    """Arrays of the classes in these columns, see _candidates."""
-    return (
-        column("cls").to_numpy(),
-        column("fp").to_numpy().view(np.uint64),
-        column("more").to_numpy().view(np.uint64),
-        column("size").to_numpy(),
-        np.frombuffer(b"".join(column("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS),
-    )
-
-
-def _joined(a: tuple, b: tuple) -> tuple:
-    return tuple(np.concatenate(c) for c in zip(a, b, strict=True))
-
-
-def _candidates(own: tuple, other: tuple, radius: int, similarity: float, settled):
-    """Row numbers (i, j) of pairs of two blocks that may be near copies, some at a time.
-
-    Pairs of which `settled` is true at the time are left out.
-    """
-    ids, fps, more, sizes, sketches = own
-    for at in range(0, len(ids), 512):
-        rows_ = slice(at, at + 512)
-        near = np.bitwise_count(fps[rows_, None] ^ other[1][None, :]) <= radius
-        if not near.any():
-            continue
-        a, b = np.nonzero(near)
-        a += at
-        # by far the most pairs this near in 64 bits are not in 128
-        both = np.bitwise_count(fps[a] ^ other[1][b]) + np.bitwise_count(more[a] ^ other[2][b]) <= BOTH_RADIUS
-        a, b = a[both], b[both]
-        low, high = np.minimum(sizes[a], other[3][b]), np.maximum(sizes[a], other[3][b])
-        keep = (low >= similarity * high - 1e-9) & (ids[a] != other[0][b])
-        if own is other:
-            keep &= a < b
-        a, b = a[keep], b[keep]
-        for k in range(0, len(a), CHECKED):
-            i, j = a[k : k + CHECKED], b[k : k + CHECKED]
-            open_ = ~settled(i, j)
-            i, j = i[open_], j[open_]
-            close = resemblance(sketches[i], other[4][j]) >= PREFILTER
-            yield i[close], j[close]
-
-
-def _together(parent: dict, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs of classes `parent` (union-find) holds together."""
-    if not parent:
-        return np.zeros(len(i), bool)
-    ri, rj = (np.array([_root(parent, x) for x in u.tolist()], np.int64)[v] for u, v in
-              (np.unique(a[i], return_inverse=True), np.unique(b[j], return_inverse=True)))
-    return ri == rj
-
-
-def _root(parent: dict, x: int) -> int:
-    while (up := parent.get(x, x)) != x:
-        x = up
-    return x
-
-
-def one_of_each(
-    docs: DataFrame, radius: int = COPY_RADIUS, similarity: float = SIMILARITY, shingle: int = COPY_SHINGLE
-) -> DataFrame:
-    """The documents with one of each group of near copies: that with the smallest doc_id.
-
-    Near copies share at least `similarity` of their different five-word shingles, counted
-    exactly for pairs that differ in at most `radius` bits of their fingerprints (of different
-    shingles, so that repeats weigh nothing), in BOTH_RADIUS bits of two such, and whose
-    sketches estimate PREFILTER or more; groups are what such links connect. Of rows with equal ids and texts one stays. Null ids stay only
-    where a group has no other. Texts without words are copies of each other.
-    """
-    rows_ = whole(docs)
-    extra = (("cls", "long"), ("fp", "long"), ("more", "long"), ("size", "long"), ("sketch", "binary"))
-    schema = rows_.select("*", *[F.lit(None).cast(t).alias(c) for c, t in extra]).schema
-
-    def measure(batches):
-        kinds = [*[pa.int64()] * 4, pa.binary()]
-        for part, texts in field_rows(batches):
-            found = []
-            for t in texts:
-                own = shingles(lower_words(t), shingle)
-                cls = xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
-                # hashes mixed once more give bits of their own
-                with np.errstate(over="ignore"):
-                    more = majority(mix(own + np.uint64(_ODD)))
-                found.append((cls, majority(own), more, len(own), sketch(own)))
-            arrays = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc"), *arrays], names=schema.names)
-
-    measured = rows_.mapInArrow(measure, schema).withColumn("row", F.monotonically_increasing_id())
-    measured = materialize(measured, "near-copies")
-    doc_id = F.col("doc.doc_id")
-    first = F.min(F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), "row"))
-    classes = materialize(
-        measured.groupBy("cls").agg(
-            first.alias("first"), *[F.first(c).alias(c) for c in ("fp", "more", "size", "sketch")]
-        ),
-        "copy-classes",
-    )
-    places = materialize(copy_places(classes.drop("first"), radius, similarity), "copy-places")
-    # only what meets a possible copy needs all its shingles, made from the text of one row
-    some = classes.join(places.select("cls").distinct(), "cls", "left_semi")
-    some = some.select(F.col("first.row").alias("row"), "cls", "fp", "more", "size", "sketch")
-    texts = measured.select("row", F.col("doc.text").alias("text"))
-
-    def unpack(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                own = [shingles(lower_words(t), shingle).tobytes() for t in part.column("text").to_pylist()]
-                columns = [part.column(c) for c in ("cls", "fp", "more", "size", "sketch")]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(own, pa.binary())],
-                    names=["cls", "fp", "more", "size", "sketch", "shingles"],
-                )
-
-    full = texts.join(some, "row").mapInArrow(
-        unpack, "cls long, fp long, more long, size long, sketch binary, shingles binary"
-    )
-    rooted = components(copy_links(places.join(full, "cls"), radius, similarity))
-    chosen = (
-        classes.select("cls", "first")
-        .join(rooted, F.col("cls") == F.col("node"), "left")
-        .groupBy(F.coalesce("root", "cls").alias("group"))
-        .agg(F.min("first").alias("first"))
-        .select(F.col("first.row").alias("row"))
+    held = docs.mapInArrow(run, StructType([*kinds.fields, StructField("fp", LongType())]))
+    # written with a number for each row, so that of equal rows one can be told from the others
+    held = materialize(held.withColumn("row", F.monotonically_increasing_id()), "numbered-documents")
+    rank = F.struct(F.col("doc.doc_id").isNull().alias("null"), F.col("doc.doc_id").alias("id"), "row")
+    narrow = held.select("fp", "row", rank.alias("rank"))
+    classes = materialize(narrow.groupBy("fp").agg(F.min("rank").alias("first")), "document-classes")
+    rooted = components(links(classes.select("fp"), radius))
+    member = classes.join(rooted, classes.fp == rooted.node, "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")
     )
-    return measured.join(chosen, "row", "left_semi").select("doc.*")
+    member = materialize(member, "members")
+    best = member.groupBy("root").agg(F.min("first").alias("best"))
+    chosen = member.join(best, "root").select("fp", F.col("best.row").alias("chosen"))
+    gone = narrow.join(chosen, "fp").where("row != chosen").select("row")
+    return held.join(materialize(gone, "near-copies"), "row", "left_anti").select("doc.*")
