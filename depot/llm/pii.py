@@ -5,8 +5,11 @@ is a protected entity. Whether a word near an entity reveals it is a matter of i
 pointwise mutual information of word and entity, in relation to what the entity's name
 itself tells (its information content). Counts are of the different documents of the whole
 corpus (copies of a text count once): in how many the entity stands, in how many of these
-the word is near it, and in how many the word occurs at all. Words beyond the upper threshold are removed, those
-beyond the lower one are replaced by a general word, wherever they stand.
+the word is near it, and in how many the word occurs at all. How likely the word is beside the
+entity is judged in each such document by the other ones (leave one out), so that one
+document, beside whose entity every rare word stands by chance, is no evidence, and two are.
+Words beyond the upper threshold are removed, those beyond the lower one are replaced by a
+word for their class, wherever they stand.
 """
 
 from __future__ import annotations
@@ -26,8 +29,6 @@ from depot.operators.durable import materialize
 
 #: Words on either side of an entity that count as its surroundings.
 REACH = 6
-#: An entity, and an entity with a word, must be seen in so many different documents.
-LEAST = 3
 #: Shares of the entity's information beyond which a word is generalised or removed.
 GENERALISE, REMOVE = 0.75, 0.95
 #: Bits of the filter that tells tasks which words may matter (1 MB); more words than it can
@@ -158,17 +159,16 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     entities = (
         seen.groupBy("entity", "copy").agg(F.lit(1).alias("one"))
         .groupBy("entity").agg(F.count("*").alias("n_entity"))
-        .where(F.col("n_entity") >= LEAST)
     )
+    # leaving one out, a pair of one document has no likelihood, so it needs no row
     pairs = seen.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    pairs = materialize(pairs.where(F.col("n_both") >= LEAST).join(entities, "entity"), "pairs")
+    pairs = materialize(pairs.where(F.col("n_both") > 1).join(entities, "entity"), "pairs")
     wanted = _filter(pairs.select("term"))
     copies = materialize(picked.groupBy("copy").agg(F.count("*").alias("rows")), "copies")
     everywhere = _documents_with(picked, wanted, _filter(copies.where("rows > 1").select(F.col("copy").alias("term"))))
     n = F.lit(float(max(2, copies.count())))
-    share = F.log2(F.col("n_both") * n / (F.col("n_entity") * F.col("n_docs"))) / F.log2(
-        F.greatest(n / F.col("n_entity"), F.lit(2.0))
-    )
+    beside = (F.col("n_both") - 1) / (F.col("n_entity") - 1)
+    share = F.log2(beside * n / F.col("n_docs")) / F.log2(F.greatest(n / F.col("n_entity"), F.lit(2.0)))
     return (
         pairs.join(everywhere, "term")
         .groupBy("term")
@@ -307,8 +307,18 @@ def private_data(docs: DataFrame) -> DataFrame:
     )
 
 
+def general(word: str) -> str:
+    """A word for the class of a word: a number, a code of letters and digits, a name, another term."""
+    if word.isdigit():
+        return "[NUMBER]"
+    if any(c.isdigit() for c in word):
+        return "[CODE]"
+    return "[NAME]" if word[:1].isupper() else "[TERM]"
+
+
 def masked(text: str, spans: list[Span]) -> str:
-    """The text with spans replaced by their kind in brackets, or nothing where a word is removed.
+    """The text with spans replaced by their kind in brackets, generalised words by their class, and
+    nothing where a word is removed.
 
     Overlapping spans are replaced together, by the kind of the first.
     """
@@ -320,7 +330,8 @@ def masked(text: str, spans: list[Span]) -> str:
             k += 1
             end = max(end, spans[k][1])
         k += 1
-        out += [text[at:start], "" if kind == "removed" else "[TERM]" if kind == "generalised" else f"[{kind.upper()}]"]
+        instead = {"removed": "", "generalised": general(text[start:end])}
+        out += [text[at:start], instead.get(kind, f"[{kind.upper()}]")]
         at = end
     return "".join([*out, text[at:]])
 
