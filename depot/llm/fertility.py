@@ -4,7 +4,8 @@ A public vocabulary with byte fallback is laid over every document: characters a
 how well it knows the words, the share of byte tokens how foreign the characters are, the
 entropy of the tokens how varied the text is. Documents whose figures lie far outside those
 of their language (of their script, where the language is unknown) are rejected. The bands
-are quartiles over all documents of the language, so they follow the corpus.
+are quartiles over all documents of the language, drawn towards those of the script and of
+all documents the more, the fewer it has, so they follow the corpus without a step.
 """
 
 from __future__ import annotations
@@ -26,11 +27,16 @@ SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 #: A band reaches this many quartile distances beyond the quartiles.
 REACH = 6.0
-#: Texts of so many tokens at least are of one length class, shorter ones of one each; a band needs
-#: so many documents of its class, else that of the script, then that of all documents is taken.
-LEAST_TOKENS, LEAST_DOCS = (50, 25, 13), 30
-
-METRICS = ("chars_per_token", "byte_share", "entropy")
+#: Texts of so many tokens at least are of one length class, shorter ones of one each.
+LEAST_TOKENS = (50, 25, 13)
+#: Quartiles of a group count as many documents as it has against so many of the wider group.
+PRIOR = 30
+#: Decimals of the figures that quartiles are taken of: few different values, counted exactly.
+DECIMALS = {"chars_per_token": 2, "byte_share": 3, "entropy": 3}
+#: Rows of bands up to which they are broadcast.
+FEW_BANDS = 10_000
+
+METRICS = tuple(DECIMALS)
 _SCHEMA = (
     "doc_id long, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double"
@@ -125,39 +131,49 @@ def figures(docs: DataFrame, vocabulary: str) -> DataFrame:
 def bands(measured: DataFrame) -> DataFrame:
     """Lowest and highest allowed figure for each language, script and length class.
 
-    They are those of the language if it has enough documents of the class, else those of the
-    script, else those of all documents of the class, else those of all short ones; texts
-    without letters are not compared with all documents.
+    Quartiles of the language's documents of the class, blended with those of the script's,
+    which are blended with those of all documents of the class, which are blended with those
+    of all short ones: each counts as many documents as it has against PRIOR of the wider
+    group. Texts without letters are not blended with all documents.
     """
     group = ["lang", "script", "length"]
     everything = F.when(F.col("script") != "script NONE", F.lit(""))
     length, shorter = F.col("length"), F.least("length", F.lit(1))
-    keys = [(F.col("lang"), length), (F.col("script"), length), (everything, length), (everything, shorter)]
+    # from the widest to the narrowest
+    keys = [(everything, shorter), (everything, length), (F.col("script"), length), (F.col("lang"), length)]
     levels = F.array(
         *[F.struct(F.lit(k).alias("level"), x.alias("key"), n.alias("size")) for k, (x, n) in enumerate(keys)]
     )
     levelled = measured.select(*group, *METRICS, F.explode(levels).alias("at")).where("at.key is not null")
     quartiles = levelled.groupBy("at").agg(
-        F.count("*").alias("band_docs"),
-        *[F.percentile_approx(m, [0.25, 0.75], 1000).alias(m) for m in METRICS],
+        F.count("*").alias("n"),
+        *[
+            F.percentile(F.round(m, places), F.array(F.lit(0.25), F.lit(0.75))).alias(m)
+            for m, places in DECIMALS.items()
+        ],
+    )
+    found = quartiles.select("at", F.struct("n", *METRICS).alias("q"))
+    groups = measured.select(*group).distinct().withColumn("at", F.explode(levels))
+    wide = groups.join(found, "at").groupBy(*group).agg(
+        *[F.max(F.when(F.col("at.level") == k, F.col("q"))).alias(f"_{k}") for k in range(len(keys))]
     )
 
+    def blended(m: str, i: int) -> Column:
+        value = F.lit(None).cast("double")
+        for k in range(len(keys)):
+            q, n = F.col(f"_{k}").getField(m)[i], F.col(f"_{k}.n")
+            # a wider group or a level that is missing leaves the other as it is
+            value = F.coalesce((value * PRIOR + q * n) / (n + PRIOR), q, value)
+        return value
+
     def limits(m: str) -> list[Column]:
-        low, high = F.col(m)[0], F.col(m)[1]
+        low, high = F.col(f"{m}_q1"), F.col(f"{m}_q3")
         # a hundredth at least: equal quartiles do not make a band of one point
         reach = REACH * F.greatest(high - low, 0.01 * F.abs(high), F.lit(0.002))
         return [(low - reach).alias(f"{m}_low"), (high + reach).alias(f"{m}_high")]
 
-    found = quartiles.where(F.col("band_docs") >= LEAST_DOCS).select(
-        "at", F.struct(*[c for m in METRICS for c in limits(m)]).alias("band")
-    )
-    groups = measured.select(*group).distinct().withColumn("at", F.explode(levels))
-    return (
-        groups.join(found, "at")
-        .groupBy(*group)
-        .agg(F.min_by("band", "at.level").alias("band"))
-        .select(*group, "band.*")
-    )
+    wide = wide.select(*group, *[blended(m, i).alias(f"{m}_q{q}") for m in METRICS for i, q in ((0, 1), (1, 3))])
+    return wide.select(*group, *[c for m in METRICS for c in limits(m)])
 
 
 def quality(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -165,8 +181,8 @@ def quality(docs: DataFrame, vocabulary: str) -> DataFrame:
     base_failed, kept, then the token figures.
 
     base_failed: fewer than 10 words, or over a fifth of the words in repeated 5-word windows.
-    Null texts have no words. A document without a band (its language, script and all documents
-    of its length are too few) is kept unless its base fails. Missing `lang` columns count as null.
+    Null texts have no words. A document without tokens has no figures and is kept unless its
+    base fails. Missing `lang` columns count as null.
     """
     length = F.lit(len(LEAST_TOKENS))
     for k, least in reversed(list(enumerate(LEAST_TOKENS))):
@@ -179,7 +195,10 @@ def quality(docs: DataFrame, vocabulary: str) -> DataFrame:
     for m in METRICS:
         inside &= F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high"))
     verdict = F.coalesce(inside, F.lit(True))
-    return measured.join(bands(measured), ["lang", "script", "length"], "left").select(
+    allowed = materialize(bands(measured), "bands")
+    if allowed.count() <= FEW_BANDS:
+        allowed = F.broadcast(allowed)
+    return measured.join(allowed, ["lang", "script", "length"], "left").select(
         "doc_id",
         *["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"],
         failed.alias("base_failed"),
