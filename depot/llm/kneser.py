@@ -30,6 +30,10 @@ from depot.operators.durable import materialize, run_dir
 
 #: Tokens a task holds before it passes its counts on, and tokens scored together.
 CHUNK, SCORED = 1_200_000, 300_000
+#: Characters of text for a bucket, at most about: a bucket's counts are held in memory.
+BUCKET_CHARS = 16_000_000
+#: Words are numbered in so many bits.
+NUMBER_BITS = 32
 #: Hash of the end of a text, which no word has for its own: the empty string is no word.
 END = xxhash.xxh64_intdigest(b"")
 #: Additive smoothing of the base score.
@@ -215,6 +219,8 @@ def train(docs: DataFrame, buckets: int) -> dict:
     words = _count_words(texts, buckets, folder)
     files = [w[:3] for w in words]
     size = sum(w[2] for w in words)
+    if size >= 1 << NUMBER_BITS:
+        raise ValueError(f"{size} different words are more than {NUMBER_BITS} bits number")
 
     def pairs(batches):
         vocabulary = Vocabulary(files, buckets)
@@ -439,7 +445,9 @@ def language_scores(docs: DataFrame, folds: int = 10, buckets: int | None = None
     nothing to learn from, all words are unknown.
     """
     if buckets is None:
-        buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+        least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(8, least, -(-chars // BUCKET_CHARS))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(True))
     about = train(docs.where(~held_out), buckets)
     return score(docs, about).select(
