@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depot.llm.texts import field_rows, plain_words, rows, whole
+from depot.operators.durable import materialize
 
 #: Words of a block.
 BLOCK = 2
@@ -30,17 +31,19 @@ PATTERNS = 200_000
 class WuManber:
     """Finds patterns of one length, in words."""
 
-    def __init__(self, size: int, patterns: dict[tuple, list]):
+    def __init__(self, size: int, patterns: dict[tuple, dict]):
         self.size, self.patterns = size, patterns
         self.block = min(BLOCK, size)
         self.far = size - self.block + 1
         self.shift: dict[tuple, int] = {}
-        self.bucket: dict[tuple, list[tuple]] = defaultdict(list)
+        # by the block at the end, then by the words at the beginning (the prefix table)
+        self.bucket: dict[tuple, dict[tuple, set[tuple]]] = defaultdict(dict)
         for pattern in patterns:
             for end in range(self.block, size + 1):
                 key = pattern[end - self.block : end]
                 self.shift[key] = min(self.shift.get(key, self.far), size - end)
-            self.bucket[pattern[size - self.block :]].append(pattern)
+            ending = self.bucket[pattern[size - self.block :]]
+            ending.setdefault(pattern[: self.block], set()).add(pattern)
 
     def find(self, words: list[bytes]) -> Iterator[tuple[int, tuple]]:
         """Start and pattern of every occurrence."""
@@ -54,10 +57,9 @@ class WuManber:
                 end += step
                 continue
             start = end - size
-            first = words[start]
-            for pattern in self.bucket[block]:
-                if pattern[0] == first and tuple(words[start:end]) == pattern:
-                    yield start, pattern
+            begins = self.bucket[block].get(tuple(words[start : start + self.block]))
+            if begins and (found := tuple(words[start:end])) in begins:
+                yield start, found
             end += 1
 
 
@@ -70,18 +72,16 @@ def item_patterns(text: str | None, window: int) -> list[tuple]:
 
 
 def _searches(benchmark: DataFrame, window: int, most: int) -> Iterator[list[WuManber]]:
-    """Search tables for the benchmark, for at most about `most` patterns at a time."""
-    sizes: dict[int, dict[tuple, list]] = defaultdict(dict)
+    """Search tables for the benchmark, for `most` patterns at a time; a long item is cut over several."""
+    sizes: dict[int, dict[tuple, dict]] = defaultdict(dict)
     held = 0
     for item, text in benchmark.select("item_id", "text").toLocalIterator():
         for pattern in item_patterns(text, window):
-            items = sizes[len(pattern)].setdefault(pattern, [])
-            if item not in items:
-                items.append(item)
+            sizes[len(pattern)].setdefault(pattern, {})[item] = None
             held += 1
-        if held >= most:
-            yield [WuManber(k, v) for k, v in sizes.items()]
-            sizes, held = defaultdict(dict), 0
+            if held >= most:
+                yield [WuManber(k, v) for k, v in sizes.items()]
+                sizes, held = defaultdict(dict), 0
     if held:
         yield [WuManber(k, v) for k, v in sizes.items()]
 
@@ -98,7 +98,16 @@ def search(words: list[bytes], searches: list[WuManber]) -> tuple[np.ndarray, se
 
 
 def _through(docs: DataFrame, benchmark: DataFrame, window: int, most: int, step: Callable) -> DataFrame:
+    """The documents after a pass for each block of patterns.
+
+    A pass that another one follows is written and its block released, so that no task ever
+    holds the tables of two blocks.
+    """
+    held = None
     for searches in _searches(benchmark, window, most):
+        if held is not None:
+            docs = materialize(docs, "searched")
+            held.destroy()
         held = docs.sparkSession.sparkContext.broadcast(searches)
         docs = step(docs, held)
     return docs

@@ -4,7 +4,8 @@ import hashlib
 import math
 import os
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import public_tokenizers
@@ -165,6 +166,69 @@ def test_fertility_judges_short_texts_and_rare_languages(spark):
     assert got[400].n_tokens < 50 and not got[400].base_failed and not got[400].kept
 
 
+def verdicts(measured):
+    """kept by plain loops: quartiles of rounded figures, blended from all documents to the language."""
+    places = {"chars_per_token": 2, "byte_share": 3, "entropy": 3}
+
+    def length(r):
+        return sum(r.n_tokens < least for least in (50, 25, 13))
+
+    def keys(r):
+        everything = None if r.script == "script NONE" else ""
+        return [(0, everything, min(length(r), 1)), (1, everything, length(r)), (2, r.script, length(r)), (3, r.lang, length(r))]
+
+    groups = defaultdict(list)
+    for r in measured:
+        for key in keys(r):
+            groups[key].append(r)
+    out = {}
+    for r in measured:
+        fine = True
+        for m, n in places.items():
+            low = high = None
+            for key in keys(r):
+                if key[1] is None:
+                    continue
+                step = Decimal(1).scaleb(-n)
+                values = [
+                    float(Decimal(repr(getattr(x, m))).quantize(step, ROUND_HALF_UP))
+                    for x in groups[key] if getattr(x, m) is not None
+                ]
+                if not values:
+                    continue
+                many, (a, b) = len(groups[key]), np.percentile(values, [25, 75])
+                low, high = (a, b) if low is None else ((low * 30 + a * many) / (many + 30), (high * 30 + b * many) / (many + 30))
+            value = getattr(r, m)
+            if value is not None and low is not None:
+                reach = 6 * max(high - low, 0.01 * abs(high), 0.002)
+                fine &= low - reach <= value <= high + reach
+        out[r.doc_id] = fine and not (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_fertility_verdicts_by_plain_loops(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = verdicts(fertility.figures(docs, path).collect())
+    got = {r.doc_id: r.kept for r in fertility.quality(docs.repartition(7), path).collect()}
+    assert got == want and 0 < sum(got.values()) < len(got)
+
+
+def test_fertility_has_no_step(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(["people", "water", "country", "through"], 80)) + f" {i}", "en") for i in range(400)]
+    rows = [(i, " ".join(f"{w}{k}" for k, w in enumerate(t.split())), lang) for i, t, lang in rows]
+    junk = [(1000 + i, " ".join(f"q{k}\u0436{chr(0x1F300 + int(c))}" for k, c in enumerate(rng.integers(0, 200, 80))), "xx") for i in range(31)]
+    kept = []
+    for n in (28, 29, 30, 31):
+        df = spark.createDataFrame(rows + junk[:n], "doc_id long, text string, lang string")
+        got = fertility.quality(df, path).where("doc_id >= 1000 and kept").count()
+        kept.append(got / n)
+    assert max(kept) - min(kept) < 0.2
+
+
 def test_fertility_of_awkward_rows(awkward, nothing):
     path = public_tokenizers.path("piece_bpe_32k.model")
     got = fertility.quality(awkward, path)
@@ -366,3 +430,52 @@ def test_private_data_of_awkward_rows(awkward, nothing):
 def test_masked_merges_overlaps():
     assert pii.masked("abcdef", [(1, 3, "ip"), (2, 5, "phone")]) == "a[IP]f"
     assert pii.masked("ab cd", [(0, 2, "removed"), (3, 5, "generalised")]) == " [TERM]"
+    words = {"Anna": "[NAME]", "42": "[NUMBER]", "b42": "[CODE]", "anna": "[TERM]"}
+    assert {w: pii.masked(w, [(0, len(w), "generalised")]) for w in words} == words
+
+
+def plain_terms(texts):
+    """Shares of words by counting documents one by one, each pair judged by the other documents."""
+    texts = sorted(set(texts))
+    near, anywhere = [], []
+    for t in texts:
+        spans = spans_by_hand(t)
+        words = list(pii.words_outside(t, spans))
+        around = defaultdict(set)
+        for a, b, kind in spans:
+            value = t[a:b].lower()
+            value = "".join(c for c in value if c.isascii() and c.isdigit()) if kind in ("card", "phone") else value
+            before = [w for w in words if w[0] < a][-6:]
+            after = [w for w in words if w[0] >= b][:6]
+            around[kind, value] |= {w[2] for w in before + after}
+        near.append(around)
+        anywhere.append({w.lower() for w in re.findall(r"[^\W_]+", t)})
+    n, out = max(2, len(texts)), {}
+    for e in {e for around in near for e in around}:
+        mine = [around[e] for around in near if e in around]
+        for w in set().union(*mine):
+            both = sum(w in words for words in mine)
+            if both > 1:
+                docs = sum(w in words for words in anywhere)
+                share = math.log2((both - 1) / (len(mine) - 1) * n / docs) / math.log2(max(n / len(mine), 2))
+                out[w] = max(out.get(w, -math.inf), min(share, 1.0))
+    return {w: x for w, x in out.items() if x >= 0.75}
+
+
+def test_disclosing_words_by_plain_counts(spark):
+    rng = np.random.default_rng(3)
+    common = [f"c{k}" for k in range(40)]
+    texts = [" ".join(rng.choice(common, 30)) for _ in range(200)]
+    people = [("ada@x.org", "Quill"), ("bob@x.org", "Moss"), ("10.1.2.3", "gateway"), ("+44 20 7946 0018", "Front")]
+    for k, (value, name) in enumerate(people):
+        for i in range(2 + 3 * k):
+            words = texts[20 * k + i].split()
+            words[10:12] = [name, value]
+            texts[20 * k + i] = " ".join(words)
+    texts += [texts[0]] * 50 + ["only eve@x.org once Sole"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.term: r.share for r in pii.disclosing_terms(df).collect()}
+    want = plain_terms(texts)
+    assert {"quill", "moss", "gateway", "front"} <= want.keys() and "sole" not in want
+    assert got.keys() == {pii.term_hash(w) for w in want}
+    assert all(abs(got[pii.term_hash(w)] - x) < 1e-9 for w, x in want.items())
