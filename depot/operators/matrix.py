@@ -489,4 +489,5 @@ def tool_matrix(tools: DataFrame, pythons: DataFrame, excluded: DataFrame, keys:
         F.regexp_extract("version", "^[A-Za-z]*", 0).alias("_kind"),
     )
     out = excluded.select(F.col("kind").alias("_kind"), "python").distinct()
-    return rows.join(out, ["_kind", "python"], "left_anti").drop("_kind")
+    columns = [c for c in rows.columns if c != "_kind"]
+    return rows.join(out, ["_kind", "python"], "left_anti").select(*columns)
