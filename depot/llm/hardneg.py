@@ -105,7 +105,8 @@ def usable(vectors: DataFrame, vector: str = "embedding", number: str = "vec_id"
     """vec_id, label and vec of rows that take part; every seventh id has its label moved on."""
     v = F.col(vector).cast("array<double>")
     fine = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    label = F.when(F.col(number) % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    wide = F.col("label").cast("decimal(20,0)")  # the largest label has a next one too
+    label = F.when(F.col(number) % 7 == 0, (wide + 1) % 10).otherwise(wide)
     return vectors.where(
         F.col(number).isNotNull() & F.col("label").isNotNull() & F.col(vector).isNotNull() & fine
     ).select(

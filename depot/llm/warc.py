@@ -3,22 +3,23 @@
 Every task writes one archive and a run: the index of its records, sorted by URL key, time
 of capture and page. Key ranges are then merged side by side: a task opens all runs at the
 beginning of its range and merges them with a loser tree, holding one block of each. More
-runs than the fan-in are merged in several levels. The ranges, one after the other, are the
+runs than the fan-in are merged by groups first. The ranges, one after the other, are the
 capture histories of all URLs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depot.llm.shared import create, new_path, read_at, reader
@@ -268,79 +269,125 @@ class LoserTree:
             self._replay(winner)
 
 
-def _ranges(manifest: list) -> list[tuple | None]:
-    """Bounds of key ranges with about equally many rows; None is open."""
-    total = sum(m.records for m in manifest)
-    n = max(1, -(-total // RANGE_ROWS))
-    keys = sorted({order((s.k, s.t, s.p)) for m in manifest for s in m.samples})
+class _Run:
+    """A sorted run: its pieces (path, lowest key, key below which it ends), rows and sampled keys."""
+
+    def __init__(self, pieces: list[tuple], records: int, samples: list[tuple]):
+        self.pieces, self.records, self.samples = pieces, records, samples
+
+
+def _bounds(runs: list[_Run]) -> list[tuple | None]:
+    """Bounds of key ranges with about equally many rows of some runs; None is open."""
+    n = max(1, -(-sum(r.records for r in runs) // RANGE_ROWS))
+    keys = sorted({s for r in runs for s in r.samples})
     cuts = sorted({keys[len(keys) * i // n] for i in range(1, n)}) if keys else []
     return [None, *cuts, None]
 
 
+def _within(pieces: list[tuple], low: tuple | None, high: tuple | None) -> Iterator[tuple]:
+    """Entries of a run with low <= key < high; only pieces that can hold some are opened."""
+    for path, begin, end in pieces:
+        if (high is None or begin is None or begin < high) and (low is None or end is None or low < end):
+            yield from read_run(path, low, high)
+
+
+def _merges(spark: SparkSession, folder: str, groups: list[list[_Run]], work: Callable, schema: str) -> DataFrame:
+    """Runs `work(group, range, tree)` for every key range of every group of runs, a task each.
+
+    What to merge is one file in the shared folder, where a task looks its range up: the
+    driver sends numbers.
+    """
+    path = new_path(folder, "merge-plan")
+    bounds = [_bounds(runs) for runs in groups]
+    with create(path) as out:
+        out.write(pickle.dumps([([r.pieces for r in runs], b) for runs, b in zip(groups, bounds, strict=True)]))
+    ranges = [len(b) - 1 for b in bounds]
+
+    def run(batches):
+        for numbers, places in rows(batches, "group", "place"):
+            plan = pickle.loads(reader(path).readall())
+            for group, place in zip(numbers, places, strict=True):
+                pieces, cuts = plan[group]
+                low, high = cuts[place], cuts[place + 1]
+                tree = LoserTree([_within(p, low, high) for p in pieces])
+                yield from work(group, place, low, high, tree)
+
+    # numbers of the tasks, made where they are needed: a row a group goes out
+    table = spark.createDataFrame([(g, n) for g, n in enumerate(ranges)], "group int, ranges int")
+    tasks = table.select("group", F.explode(F.sequence(F.lit(0), F.col("ranges") - 1)).alias("place"))
+    return tasks.repartitionByRange(sum(ranges), "group", "place").mapInArrow(run, schema)
+
+
 def merged_index(manifest: DataFrame, folder: str | None = None) -> DataFrame:
     """The index of all archives in one order: key_range, place, then the columns of INDEX.
 
-    key_range and place order all captures by URL key, time and page. The driver holds the
-    manifest, of a row and a few sampled keys for each archive, and no captures.
+    key_range and place order all captures by URL key, time and page. At most FAN_IN runs are
+    merged at once. More are merged by groups first, each cut into key ranges of its own, whose
+    results one after the other are a run; so every level reads and writes each entry once,
+    and a range never opens more than FAN_IN runs. The driver holds a row and a few sampled
+    keys for each run and range, and no captures.
     """
     spark = manifest.sparkSession
     folder = folder or run_dir(spark, "merged-runs")
-    listed = manifest.where("records > 0").collect()
-    bounds = _ranges(listed)
-    ranges = list(zip(bounds, bounds[1:], strict=False))
-    runs: list[list[str]] = [[m.run for m in listed] for _ in ranges]
-
-    def tasks(work: list[tuple]) -> DataFrame:
-        table = spark.createDataFrame(work, "task int, key_range int, runs array<string>")
-        return table.repartitionByRange(len(work), "task")
-
-    while max(map(len, runs)) > FAN_IN:
-        work = [
-            (r, paths[i : i + FAN_IN]) for r, paths in enumerate(runs) for i in range(0, len(paths), FAN_IN)
-        ]
-
-        def level(batches):
-            for numbers, groups in rows(batches, "key_range", "runs"):
-                for r, paths in zip(numbers, groups, strict=True):
-                    low, high = ranges[r]
-                    path = new_path(folder, f"run-{r:06d}")
-                    write_run(path, iter(LoserTree([read_run(p, low, high) for p in paths])))
-                    yield pa.RecordBatch.from_pydict(
-                        {"key_range": pa.array([r], pa.int32()), "run": pa.array([path])}
-                    )
+    runs = [
+        _Run([(m.run, None, None)], m.records, [order((s.k, s.t, s.p)) for s in m.samples])
+        for m in manifest.where("records > 0").orderBy("run").collect()
+    ]
+    while len(runs) > FAN_IN:
+        groups = [runs[i : i + FAN_IN] for i in range(0, len(runs), FAN_IN)]
 
-        table = tasks([(t, r, paths) for t, (r, paths) in enumerate(work)])
-        done = materialize(table.mapInArrow(level, "key_range int, run string"), "merge-level")
-        runs = [[] for _ in ranges]
-        for row in done.orderBy("run").collect():
-            runs[row.key_range].append(row.run)
+        def level(group, place, low, high, tree):
+            path, n = new_path(folder, f"run-{group:06d}-{place:06d}"), 0
 
-    def merge(batches):
+            def counted():
+                nonlocal n
+                for entry in tree:
+                    n += 1
+                    yield entry
+
+            write_run(path, counted())
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "group": pa.array([group], pa.int32()), "place": pa.array([place], pa.int32()),
+                    "path": [path], "records": pa.array([n], pa.int64()),
+                    "bounds": pa.array([pickle.dumps((low, high))], pa.binary()),
+                }
+            )
+
+        schema = "group int, place int, path string, records long, bounds binary"
+        done = materialize(_merges(spark, folder, groups, level, schema), "merge-level")
+        merged: list[_Run] = []
+        for g, members in enumerate(groups):
+            samples = sorted(s for r in members for s in r.samples)
+            # a level's samples are as many for a run as the level's before
+            merged.append(_Run([], 0, samples[:: max(1, len(samples) // SAMPLES // FAN_IN)]))
+        for row in done.where("records > 0").orderBy("group", "place").collect():
+            merged[row.group].pieces.append((row.path, *pickle.loads(row.bounds)))
+            merged[row.group].records += row.records
+        runs = merged
+
+    def merge(_, r, low, high, tree):
         names = ["key_range", "place", *_ENTRY.names]
-        for numbers, groups in rows(batches, "key_range", "runs"):
-            for r, paths in zip(numbers, groups, strict=True):
-                low, high = ranges[r]
-                tree, place, block = LoserTree([read_run(p, low, high) for p in paths]), 0, []
+        kinds = [pa.int32(), pa.int64(), *[f.type for f in _ENTRY]]
+        place, block = 0, []
+
+        def batch():
+            columns = zip(*[(r, *b) for b in block], strict=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names
+            )
 
-                def batch(r=r):
-                    kinds = [pa.int32(), pa.int64(), *[f.type for f in _ENTRY]]
-                    columns = zip(*[(r, *b) for b in block], strict=True)
-                    arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-                    return pa.RecordBatch.from_arrays(arrays, names=names)
+        for entry in tree:
+            block.append((place, *entry))
+            place += 1
+            if len(block) == 4096:
+                yield batch()
+                block.clear()
+        if block:
+            yield batch()
 
-                for entry in tree:
-                    block.append((place, *entry))
-                    place += 1
-                    if len(block) == 4096:
-                        yield batch()
-                        block.clear()
-                if block:
-                    yield batch()
-
-    work = [(r, r, paths) for r, paths in enumerate(runs)]
-    return materialize(
-        tasks(work).mapInArrow(merge, f"key_range int, place long, {INDEX}"), "merged-index"
-    )
+    last = _merges(spark, folder, [runs], merge, f"key_range int, place long, {INDEX}")
+    return materialize(last, "merged-index")
 
 
 def read_captures(index: DataFrame) -> DataFrame:

@@ -298,6 +298,25 @@ def test_archives(spark, monkeypatch, fan_in, rows_of_range, block):
     assert manifest.agg(F.sum("records")).first()[0] == len(pages)
 
 
+def test_three_hundred_runs(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FAN_IN", 16)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 40)
+    monkeypatch.setattr(warc, "BLOCK_ROWS", 2)
+    pages = [(i, f"http://h{i % 5}.org/{i * 7919 % 300}", f"page {i}", f"2024{i % 12 + 1:02}01") for i in range(600)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, captured string")
+    # a run for each of 300 parts, over two levels of groups
+    pieces = df.repartitionByRange(300, "page_id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = warc.write_archives(pieces)
+        many = manifest.where("records > 0").count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    entries = warc.merged_index(manifest).orderBy("key_range", "place").collect()
+    keys = [warc.order((r.url_key, r.captured, r.page_id)) for r in entries]
+    assert many > 16 and keys == sorted(keys) and sorted(r.page_id for r in entries) == list(range(600))
+
+
 def test_archives_of_nothing(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string, captured string")
     assert warc.read_captures(warc.merged_index(warc.write_archives(empty))).isEmpty()
