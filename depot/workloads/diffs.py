@@ -1,10 +1,20 @@
 """Snapshot diffs, lock text, versions and layers over the given tables."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depot.functions import fixed, parse_version, snapshot_label
-from depot.operators.diff import diff_chain, diff_envs, diff_snapshots, last_wins
+from depot.operators.diff import (
+    common_names,
+    diff_chain,
+    diff_envs,
+    diff_snapshots,
+    last_wins,
+    names_only_in,
+    union_names,
+)
 from depot.operators.durable import run_dir
 from depot.operators.layers import (
     align_layers,
@@ -265,6 +275,26 @@ LAYER_MISSING = f"""WITH {LAYER_SQL}
 SELECT env, "N" AS version FROM aligned WHERE package = 'part-1' AND "N" IS NOT NULL AND "R" IS NULL"""
 
 
+def name_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of packages by environment: of all layers, of the first and the last, of the last alone."""
+    rows = layer_rows(spark, sf)
+    first, middle, last = (rows.where(F.col("layer") == n).select("env", "package") for n in LAYER_NAMES)
+    sets = {
+        "any": union_names(first, middle, last),
+        "both": common_names(first, last),
+        "last only": names_only_in(last, first),
+    }
+    named = [names.withColumn("names", F.lit(label)) for label, names in sets.items()]
+    return reduce(DataFrame.unionByName, named)
+
+
+NAME_SETS = f"""WITH {LAYER_SQL},
+n AS (SELECT DISTINCT env, package, layer FROM layer_rows)
+SELECT DISTINCT env, package, 'any' AS names FROM n
+UNION ALL (SELECT env, package, 'both' FROM n WHERE layer = 'R' INTERSECT SELECT env, package, 'both' FROM n WHERE layer = 'N')
+UNION ALL (SELECT env, package, 'last only' FROM n WHERE layer = 'N' EXCEPT SELECT env, package, 'last only' FROM n WHERE layer = 'R')"""
+
+
 def _aligned(spark: SparkSession, sf: str) -> DataFrame:
     return align_layers(layer_rows(spark, sf), LAYER_NAMES, ["l_shipdate", "l_orderkey"])
 
@@ -366,6 +396,7 @@ GROUP BY as_of, snapshot, env"""
 
 
 QUERIES = {
+    "name_sets": (name_sets, NAME_SETS),
     "version_order": (version_order, VERSION_ORDER),
     "layer_lines": (layer_lines, LAYER_LINES),
     "layer_missing": (layer_missing, LAYER_MISSING),
