@@ -134,8 +134,11 @@ DEFINITION_MATRIX = f"WITH {ENVS_SQL} SELECT snapshot, python, torch, cuda, env
 def definition_expand(spark: SparkSession, sf: str) -> DataFrame:
     """Size of the unfiltered matrix of active definitions by torch and accelerator."""
     rows = expand(active(_defs(spark, sf), 10, None, "id"))
-    return rows.groupBy("torch", "cuda").agg(
-        F.count("*").alias("n"), F.min("python_full").alias("first_python")
+    # the least text of a group cannot be kept in a hash aggregation, which would then sort the
+    # whole matrix: equal rows are counted first, and the least is taken of what differs
+    each = rows.groupBy("torch", "cuda", "python_full").agg(F.count("*").alias("n"))
+    return each.groupBy("torch", "cuda").agg(
+        F.sum("n").alias("n"), F.min("python_full").alias("first_python")
     )
 
 

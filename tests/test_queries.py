@@ -42,5 +42,13 @@ def test_query_matches_sql(spark, duck, name):
     assert got == want
 
 
+def test_expanded_matrix_is_not_sorted(spark):
+    df = driver.queries()["definition_expand"](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = {name: [line.index(name) for line in plan if name in line] for name in ("Generate", "Sort [", "HashAggregate")}
+    # a sort takes what equal rows were counted to, not the exploded rows
+    assert len(depth["HashAggregate"]) == 2 and max(depth["Sort ["]) < min(depth["HashAggregate"]) < min(depth["Generate"])
+
+
 def test_flagship_query(spark):
     assert not driver.entry(spark).isEmpty()
