@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from depot.operators.durable import materialize
+
 ONLY_LEFT, ONLY_RIGHT, CHANGED = "only_left", "only_right", "changed"
 
 
@@ -124,35 +126,90 @@ def diff_chain(
     order: Sequence[str] = (),
     within: Sequence[str] = (),
 ) -> DataFrame:
-    """Diff of every snapshot against the next one there is, in one pass.
+    """Diff of every snapshot against the next one there is.
 
-    Ids may have gaps: the snapshot before comes from the distinct ids, a row each. Every
-    row is the left side of its own pair and the right side of the one before; the first
-    and the last snapshot have one side only.
+    Ids may have gaps: the place of a snapshot is that among the distinct ids. Rows cross once
+    to become one row per snapshot and key, and that row once more to its key, where it meets
+    the snapshots beside it; a key has at most one row a snapshot there. Environments (of
+    ``within``) that a neighbouring snapshot lacks are written first: they are few as a rule,
+    and a table of known size, so that the diff need not be shuffled to leave them out.
     """
-    cols = list(dict.fromkeys([*keys, *order, value]))
-    ids = df.select(F.col(snapshot).alias("_id")).distinct()
-    # ids are as few as snapshots; all rows of one id stay together in this window
-    before = ids.select("_id", F.lag("_id").over(Window.orderBy("_id")).alias("_before"))
-    sides = F.array(
-        F.struct(F.col(snapshot).alias("_pair"), F.lit(0).alias("_side")),
-        F.struct(F.col("_before").alias("_pair"), F.lit(1).alias("_side")),
+    within = list(within)
+    seen = materialize(
+        df.where(F.col(snapshot).isNotNull()).select(F.col(snapshot).alias("_id"), *within).distinct(),
+        "chain-seen",
+    )
+    # ids are as few as snapshots
+    ids = seen.agg(F.array_sort(F.collect_set("_id"))).scalar()
+    rows = _all_set(df, [snapshot, *within])
+    picked = F.struct(*[F.col(c) for c in order], F.col(value).alias("_value")) if order else F.col(value)
+    best = rows.groupBy(F.col(snapshot).alias("_id"), *keys).agg(F.max(picked).alias("_best"))
+    last = F.col("_best._value") if order else F.col("_best")
+    placed = best.select(*keys, F.array_position(ids, F.col("_id")).alias("_i"), last.alias("_value"))
+    nothing = F.lit(None).cast(placed.schema["_value"].dataType)
+    after = F.when(F.col("_with_next"), F.col("_next_value"))
+    left = F.struct(
+        F.col("_i").alias("_pair"),
+        F.when(F.col("_with_next"), F.lit(CHANGED)).otherwise(F.lit(ONLY_LEFT)).alias("status"),
+        F.col("_value").alias("left_value"),
+        after.alias("right_value"),
+    )
+    right = F.struct(
+        (F.col("_i") - 1).alias("_pair"),
+        F.lit(ONLY_RIGHT).alias("status"),
+        nothing.alias("left_value"),
+        F.col("_value").alias("right_value"),
     )
-    paired = (
-        df.join(before, F.col(snapshot) == F.col("_id"))
-        .select(*cols, F.explode(sides).alias("_role"))
-        .select(*cols, "_role._pair", "_role._side")
-        .where(F.col("_pair").isNotNull())
+    same = F.col("_with_next") & F.col("_value").eqNullSafe(F.col("_next_value"))
+    entries = F.array(
+        F.when((F.col("_i") < F.size(ids)) & ~same, left),
+        F.when((F.col("_i") > 1) & ~F.col("_with_last"), right),
     )
-    result = _changes(_sides(paired, ["_pair", *keys], value, order), ["_pair", *keys])
-    both = (
-        paired.groupBy("_pair", *within)
-        .agg(F.min("_side").alias("_lo"), F.max("_side").alias("_hi"))
-        .where("_lo = 0 AND _hi = 1")
-        .select("_pair", *within)
+    result = (
+        _beside(placed, keys, "_value")
+        .select(*keys, F.explode(entries).alias("_e"))
+        .where(F.col("_e").isNotNull())
+        .select("_e._pair", *keys, "_e.status", "_e.left_value", "_e.right_value")
+    )
+    if within:
+        envs = _all_set(seen, within).select(*within, F.array_position(ids, F.col("_id")).alias("_i"))
+        # the last snapshot's own pair and the one before the first never come up
+        alone = F.array(
+            F.when(~F.col("_with_next"), F.col("_i")), F.when(~F.col("_with_last"), F.col("_i") - 1)
+        )
+        lacking = _beside(envs, within).select(*within, F.explode(alone).alias("_pair"))
+        lacking = materialize(
+            lacking.where(F.col("_pair").between(1, F.size(ids) - 1)).distinct(), "chain-lacking"
+        )
+        result = result.join(lacking, ["_pair", *within], "left_anti")
+    return result.select(
+        F.get(ids, (F.col("_pair") - 1).cast("int")).alias(snapshot),
+        *keys,
+        "status",
+        "left_value",
+        "right_value",
+    )
+
+
+def _all_set(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in columns]))
+
+
+def _beside(df: DataFrame, by: Sequence[str], *values: str) -> DataFrame:
+    """Add the ``values`` that ``by`` has at its next place, and whether it has the places beside ``_i``."""
+    places = Window.partitionBy(*by).orderBy("_i")
+    both = df.withColumns(
+        {
+            "_last": F.lag("_i").over(places),
+            "_next": F.lead("_i").over(places),
+            **{f"_next{v}": F.lead(v).over(places) for v in values},
+        }
     )
-    return result.join(both, ["_pair", *within], "left_semi").withColumnRenamed(
-        "_pair", snapshot
+    return both.withColumns(
+        {
+            "_with_last": F.coalesce(F.col("_last") == F.col("_i") - 1, F.lit(False)),
+            "_with_next": F.coalesce(F.col("_next") == F.col("_i") + 1, F.lit(False)),
+        }
     )
 
 

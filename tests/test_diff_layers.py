@@ -88,6 +88,37 @@ def test_chain_equals_pairwise(spark, rows):
     assert rows(chain, "snapshot", "env", "package", "status", "left_value", "right_value") == sorted(want, key=repr)
 
 
+def test_chain_with_gaps_nulls_and_repeats(spark, rows):
+    """An environment that comes and goes, null ids, environments and values, keys twice; by a plain loop."""
+    data = [(1, "a", "x", 1, "1"), (1, "a", "x", 2, "2"), (4, "a", "x", 1, "2"), (9, "a", "x", 1, None), (9, "a", "y", 1, None)]
+    data += [(1, "b", "x", 1, "1"), (9, "b", "x", 1, "2"), (16, "b", "x", 1, "2"), (16, "b", None, 1, "3"), (25, None, "x", 1, "1")]
+    data += [(None, "a", "x", 9, "9"), (1, None, "x", 1, "1"), (4, None, "x", 1, "2"), (16, "a", "x", 1, None), (16, "a", "z", 1, None)]
+    df = spark.createDataFrame(data, "snapshot int, env string, package string, n int, raw_version string")
+    ids = sorted({r[0] for r in data} - {None})
+    for within in ([], ["env"]):
+        want = []
+        for s, after in zip(ids, ids[1:]):
+            sides = [
+                {r[1:3]: r[4] for r in sorted((r for r in data if r[0] == i), key=lambda r: r[3])} for i in (s, after)
+            ]
+            envs = {e for e, _ in sides[0]} & {e for e, _ in sides[1]} - {None}
+            for k in {*sides[0], *sides[1]}:
+                if (not within or k[0] in envs) and (k not in sides[0] or k not in sides[1] or sides[0][k] != sides[1][k]):
+                    status = "only_right" if k not in sides[0] else "changed" if k in sides[1] else "only_left"
+                    want.append((s, *k, status, sides[0].get(k), sides[1].get(k)))
+        chain = diff_chain(df, "snapshot", ["env", "package"], "raw_version", order=["n"], within=within)
+        assert rows(chain) == sorted(want, key=repr)
+
+
+def test_chain_moves_a_row_once(spark):
+    """Rows go to one row per snapshot and key, those to their keys; the diff itself is not shuffled."""
+    df = spark.range(40000).selectExpr("id % 4 * 3 AS snapshot", "id % 10 AS env", "id % 5000 AS package", "id AS v")
+    chain = diff_chain(df, "snapshot", ["env", "package"], "v", within=["env"])
+    plan = chain._jdf.queryExecution().executedPlan().toString()
+    moved = [line.split("Exchange hashpartitioning")[1] for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moved) == 2 and "SortMergeJoin" not in plan, plan
+
+
 def test_env_sets(spark, rows):
     a, b = pins(spark, ("x", "p", "1"), ("y", "p", "1"), ("y", "q", "1")), pins(spark, ("y", "p", "1"), ("z", "p", "1"))
     assert rows(diff_envs(a, b)) == [("x", "removed"), ("y", "common"), ("z", "added")]
