@@ -112,7 +112,10 @@ def definition_texts(spark: SparkSession, sf: str) -> DataFrame:
             ),
         ).alias("pip_pkgs"),
     )
-    return table(spark, sf, "customer").select(F.to_json(doc).alias("text"))
+    # a definition grows to many rows, and Spark deals out files by their bytes: all customers
+    # may be the row group of one task, so they are dealt out again while they are small
+    customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").hint("rebalance")
+    return customers.select(F.to_json(doc).alias("text"))
 
 
 DEFS_SQL = f"""

@@ -22,6 +22,7 @@ from depot.operators.matrix import (
 from depot.operators.quality import check, definition_rules, violations
 from depot.plans.fleet import missing_locks, pending_envs
 from depot.sources.documents import SNAPSHOT_SCHEMA
+from depot.workloads.tables import definition_texts
 
 SEED = ["cython", "pip", "packaging", "setuptools", "wheel"]
 NEWEST = (
@@ -205,3 +206,15 @@ def test_matrix_summary(spark, newest):
     unknown = spark.createDataFrame([(1, {}, {}, {"3.9": "3.9.1"}, ["1.0"], [], "t")], SNAPSHOT_SCHEMA)
     assert matrix_summary(unknown, rules).first().torch_cudas == {}
     assert matrix_venvs(unknown, rules).isEmpty()
+
+
+def test_definitions_are_dealt_out(spark, tmp_path):
+    """Customers of one row group are not expanded by one task."""
+    n = 200000
+    one = spark.range(n).selectExpr(
+        "id AS c_custkey", "CAST(hash(id) % 12 + 12 AS int) AS c_nationkey", "md5(string(id)) AS c_mktsegment"
+    )
+    one.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    texts = definition_texts(spark, str(tmp_path)).withColumn("part", F.spark_partition_id())
+    parts = texts.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size")).collect()
+    assert sum(r.n for r in parts) == n and len(parts) >= 4 and max(r.n for r in parts) < n / 2
